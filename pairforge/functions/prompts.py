@@ -231,7 +231,7 @@ def by_kind(kind: Column, texts: dict[str, str], **values: Column) -> Column:
 
 
 def training_prompt(code: Column | str, mode: Column | str = "base") -> Column:
-    kind = F.lit(mode) if mode in TRAINING else as_col(mode)
+    kind = F.lit(mode) if isinstance(mode, str) else mode
     edge = fill(TRAINING["edge"], code=as_col(code))
     return F.when(kind == "edge", edge).otherwise(fill(TRAINING["base"], code=as_col(code)))
 

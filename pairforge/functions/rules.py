@@ -186,6 +186,10 @@ def submission_mode(c: Column | str) -> Column:
     return F.when(mode == "edge", "edge").otherwise("base")
 
 
+# Reasons that need the parser.
+PARSER_REASONS = ("not_python", "no_function")
+
+
 def admission_rules(
     pasted: Column,
     file_bytes: Column,

@@ -19,6 +19,7 @@ from pairforge.functions.rules import (
     rhs_allowed,
 )
 from pairforge.functions.text import as_col, def_name, is_arithmetic_family, let, strip
+from pairforge.session import settle
 
 # def name(params): return left op right, on one line or with an indented body;
 # optional annotations and docstring. Group 3 is the indentation.
@@ -194,7 +195,7 @@ def audit_base(pairs: DataFrame, mode: str = "strict") -> DataFrame:
         .otherwise("ok")
     )
     kept_arithmetic = arithmetic & (F.col("outcome") == "kept")
-    return (
+    judged = (
         df.withColumns({"_single": safe, "_allowed": allowed})
         .withColumn("_fixed", fixed)
         .withColumn("reason", reason)
@@ -206,6 +207,7 @@ def audit_base(pairs: DataFrame, mode: str = "strict") -> DataFrame:
         .withColumn("output", F.when(kept_arithmetic, F.col("_fixed")).otherwise(F.col("output")))
         .drop("flat", "form", "pairs", "_single", "_allowed", "_fixed")
     )
+    return settle(judged, "outcome", "reason", "note", "output")
 
 
 def _audited_text(strict: bool) -> Column:
@@ -244,7 +246,7 @@ def audit_edge(pairs: DataFrame) -> DataFrame:
             ("no_reference", ~F.arrays_overlap(test["names"], fx.function_names(func, include_tests=True))),
         ]),
     )
-    return (
+    judged = (
         pairs.withColumns({
             "_func": fx.extract_code_facts(F.when(usable, strip("input"))),
             "_test": fx.extract_code_facts(F.when(usable, strip("output"))),
@@ -253,6 +255,7 @@ def audit_edge(pairs: DataFrame) -> DataFrame:
         .withColumn("outcome", outcome_of(F.col("reason")))
         .drop("_func", "_test")
     )
+    return settle(judged, "outcome", "reason")
 
 
 def audit_summary(audited: DataFrame) -> DataFrame:

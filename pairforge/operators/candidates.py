@@ -10,12 +10,14 @@ from pairforge.functions.constants import FALLBACK_TESTS, PRESETS, PROBES
 from pairforge.functions.literals import is_close
 from pairforge.functions.rules import first_reason, structural_rules, task_kind
 from pairforge.functions.text import as_col, clean_layout, ensure_import, smoke_test
+from pairforge.session import settle
 
 STAGE_BEAM, STAGE_SAMPLING = 1, 2
 # Origin lines put above a chosen test.
 ORIGIN = {STAGE_BEAM: "# Origin: Beams \n", STAGE_SAMPLING: "# Origin : sampling \n"}
 REGEN_ORIGIN = "# Origin: Regen (sampling)\n"
 REGEN_REUSED_ORIGIN = "# Origin: Regen (fallback - reused previous)\n"
+REGEN_NOTHING = "# Origin: Regen (noop - no functions found)\n"
 
 
 # --- dimension tables: constants of this module, so their size is known -------------
@@ -110,12 +112,9 @@ def apply_op(op: Column, a: Column, b: Column) -> Column:
 
 def sanitize(df: DataFrame, text: str = "text", name: str = "func_name") -> DataFrame:
     """Clean layout, then replace what still does not parse by a callable check."""
-    return (
-        df.withColumn("_clean", clean_layout(text, name))
-        .withColumn("_ok", fx.parses("_clean"))
-        .withColumn(text, F.when(F.col("_ok"), F.col("_clean")).otherwise(smoke_test(name)))
-        .drop("_clean", "_ok")
-    )
+    checked = df.withColumn("_clean", clean_layout(text, name)).withColumn("_ok", fx.parses("_clean"))
+    cleaned = checked.withColumn(text, F.when(F.col("_ok"), F.col("_clean")).otherwise(smoke_test(name)))
+    return settle(cleaned.drop("_clean", "_ok"), text)
 
 
 def union_stages(*stages: DataFrame) -> DataFrame:
@@ -132,11 +131,8 @@ def gate_candidates(candidates: DataFrame, mode: str = "base", flow: str = "gene
     """Add ``reason`` (NULL = passes): the first structural rule a candidate breaks."""
     facts = F.col("_facts")
     rules = structural_rules(F.col(text), facts, F.col(target), mode, flow, **limits)
-    return (
-        candidates.withColumn("_facts", fx.extract_code_facts(text))
-        .withColumn("reason", first_reason(rules))
-        .drop("_facts")
-    )
+    gated = candidates.withColumn("_facts", fx.extract_code_facts(text)).withColumn("reason", first_reason(rules))
+    return settle(gated.drop("_facts"), "reason")
 
 
 def first_passing(gated: DataFrame, targets: list[str], text: str = "text") -> DataFrame:
@@ -146,7 +142,7 @@ def first_passing(gated: DataFrame, targets: list[str], text: str = "text") -> D
     passing = F.when(F.col("reason").isNull(), F.struct("stage", "idx"))
     best = F.min_by(F.struct("stage", "idx", text), passing)
     return gated.groupBy(*targets).agg(
-        F.when(F.count(passing) > 0, best).alias("_best"), F.count("*").alias("n_candidates"),
+        best.alias("_best"), F.count("*").alias("n_candidates")
     ).select(*targets, "n_candidates", "_best.stage", "_best.idx", F.col(f"_best.{text}").alias(text))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.literals import compare_close, is_close, number
+from pairforge.functions.literals import arrays_close, compare_close, is_close, number
+from pairforge.functions.text import let, strip
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], value: str, rtol: float = 1e-9,
@@ -44,30 +45,58 @@ def _as_number(text: Column) -> Column:
     return F.when(text == "True", F.lit(1.0)).when(text == "False", F.lit(0.0)).otherwise(number(text)["d"])
 
 
-def _inner_text(text: Column) -> Column:
-    return F.when(text.rlike(r"\A('[^'\\]*'|\"[^\"\\]*\")\z"), F.substring(text, F.lit(2), F.length(text) - 2))
+QUOTED = r"\A('[^'\\]*'|\"[^\"\\]*\")\z"
+NUMBERS = r"\A(\[[-+0-9.eE,\s]*\]|\([-+0-9.eE,\s]*\))\z"
 
 
-def side_holds(left: Column, op: Column, right: Column) -> Column:
-    """Does ``left op right`` hold for two literal texts? NULL when it cannot be told.
+def _inner(text: Column) -> Column:
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _elements(text: Column) -> Column:
+    """Numbers of a list or tuple display, NULL for anything else."""
+    items = F.transform(F.split(F.regexp_replace(_inner(text), r",\s*\z", ""), ","), lambda t: number(strip(t))["d"])
+    empty = F.array().cast("array<double>")
+    return F.when(text.rlike(NUMBERS), F.when(strip(_inner(text)) == "", empty).otherwise(items))
 
-    Numbers compare with tolerance, ``is`` is strict for a boolean right side and
-    compares truth otherwise, equal text is equal, ordering of non-numbers is trusted."""
-    a, b = _as_number(left), _as_number(right)
-    numeric = a.isNotNull() & b.isNotNull()
-    strict = right.isin("True", "False")
-    identical = F.when(strict, left == right).otherwise(_truthy(left) == _truthy(right))
-    plain = F.coalesce(_inner_text(left), left) == F.coalesce(_inner_text(right), right)
+
+def _is_literal(text: Column) -> Column:
     return (
-        F.when(op == "is", identical)
-        .when(op == "is not", ~identical)
-        .when(numeric, compare_close(a, b, op))
-        .when(op == "==", plain)
-        .when(op == "!=", ~plain)
-        .otherwise(F.lit(True))
+        number(text)["d"].isNotNull() | text.isin("True", "False", "None") | text.rlike(QUOTED) | text.rlike(NUMBERS)
     )
 
 
+def side_holds(left: Column, op: Column, right: Column) -> Column:
+    """Does ``left op right`` hold for two literal texts? NULL when it cannot be told.
+
+    Numbers compare with tolerance, lists and tuples of numbers element by element,
+    ``is`` is strict for a boolean right side and compares truth otherwise, equal text
+    is equal, ordering of non-numbers is trusted."""
+
+    def body(v: Column) -> Column:
+        left, op, right = v["left"], v["op"], v["right"]
+        a, b = _as_number(left), _as_number(right)
+        same_kind = F.substring(left, 1, 1) == F.substring(right, 1, 1)
+        identical = F.when(right.isin("True", "False"), left == right).otherwise(_truthy(left) == _truthy(right))
+        equal = (
+            F.when(a.isNotNull() & b.isNotNull(), is_close(a, b))
+            .when(left.rlike(NUMBERS) & right.rlike(NUMBERS), same_kind & arrays_close(_elements(left), _elements(right)))
+            .when(left.rlike(QUOTED) & right.rlike(QUOTED), _inner(left) == _inner(right))
+            .otherwise(left == right)
+        )
+        return F.when(
+            _is_literal(left) & _is_literal(right),
+            F.when(op == "is", identical)
+            .when(op == "is not", ~identical)
+            .when(op == "==", equal)
+            .when(op == "!=", ~equal)
+            .when(a.isNotNull() & b.isNotNull(), compare_close(a, b, op))
+            .otherwise(F.lit(True)),
+        )
+
+    return let(F.struct(left.alias("left"), op.alias("op"), right.alias("right")), body)
+
+
 def asserts_hold(asserts: Column) -> Column:
     """All asserts (facts array, sides already reduced to literals) hold. A chain
     ``a < b < c`` holds pairwise; a bare value is checked for truth; anything that

@@ -58,7 +58,7 @@ def with_position(
 
 
 def time_bucket(ts: Column, width_seconds: int = 3600) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(width_seconds * 1_000_000))
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(width_seconds * 1_000_000))
 
 
 def int_bucket(value: Column, width: int = 4096) -> Column:

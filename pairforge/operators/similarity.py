@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from pairforge.functions import facts as fx
 from pairforge.functions.text import as_col, let, similarity_key
+from pairforge.session import settle
 
 SIMILAR = 0.88
 RENAME = 0.58
@@ -78,12 +79,13 @@ def with_similarity(pairs: DataFrame, previous: str, candidate: str, threshold:
     )
     open_pair = F.col("_settled").isNull()
     ratio = exact_ratio(F.when(open_pair, F.col("_a")), F.when(open_pair, F.col("_b")))
-    return (
-        keyed.withColumn("_settled", settled)
+    compared = (
+        settle(keyed.withColumn("_settled", settled), "_settled", "_a", "_b")
         .withColumn("_ratio", ratio)
         .withColumn("too_similar", F.coalesce(F.col("_settled"), F.col("_ratio") >= threshold))
         .drop("_a", "_b", "_settled", "_ratio")
     )
+    return settle(compared, "too_similar")
 
 
 def too_similar(previous: DataFrame, candidates: DataFrame, on: list[str], previous_text: str = "previous",

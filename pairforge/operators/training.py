@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def train_eval_split(df: DataFrame, key: str, share: float = EVAL_SHARE, seed: i
 def _digest_at(digests: DataFrame, share: float) -> str:
     """Smallest hex digest with at least ``ceil(share·n)`` digests at or below it."""
     total = digests.count()
-    wanted = -int(-total * share // 1)
+    wanted = math.ceil(total * share)
     prefix, rest = "", digests
     digits = DIGIT_BITS // 4
     while wanted > 0 and len(prefix) < 32:
@@ -56,7 +58,7 @@ def _digest_at(digests: DataFrame, share: float) -> str:
         if row["n"] == wanted:
             # The cut falls on the end of this prefix: every longer digest is included.
             return prefix + "g"
-        rest = rest.filter(F.col("d").startswith(row["p"] if len(prefix) == digits else prefix))
+        rest = digests.filter(F.col("d").startswith(prefix))
     return prefix
 
 

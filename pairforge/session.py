@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,6 +33,16 @@ def get_session(app: str = "pairforge", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns once, before anything that follows.
+
+    Catalyst moves a filter below the projection that computes its column, which would
+    copy a long rule expression (and the parser call in it) into the filter and evaluate
+    it twice. A one-row generator is a narrow step that filters do not cross."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``. Only a session in
     local mode that names none falls back to a temporary folder."""
