@@ -11,16 +11,49 @@ INT_LITERAL = r"\A[-+]?(0+|[1-9][0-9]*)\z"
 FLOAT_LITERAL = r"\A[-+]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?=[eE]))([eE][-+]?[0-9]+)?\z"
 # Integers above this are not exact in a double.
 EXACT_INT = float(2**53)
+# Largest double below 2**63; digits of larger ones are approximate.
+LONG_LIMIT = float(2**63 - 1024)
+
+
+def _ten_decimals(x: Column) -> Column:
+    """|x| with ten decimals, rounded half-even on the *exact* binary value, for
+    2**-10 <= |x| < 2**53. Formatting functions round the shortest decimal form, which
+    differs once a number has more than 17 digits or sits next to a tie.
+
+    The fraction is a multiple of 2**-62 there, so frac·10**10 is frac·2**62·5**10 / 2**52,
+    taken apart into two products that fit into a long."""
+    whole = F.floor(F.abs(x))
+    scaled = ((F.abs(x) - whole) * float(2**62)).cast("bigint")
+
+    def split(m: Column) -> Column:
+        low = m.bitwiseAND(F.lit(2**31 - 1)) * F.lit(5**10)
+        high = F.shiftright(m, 31) * F.lit(5**10) + F.shiftright(low, 31)
+        rest = F.shiftleft(high.bitwiseAND(F.lit(2**21 - 1)), 31) + low.bitwiseAND(F.lit(2**31 - 1))
+        return F.struct(F.shiftright(high, 21).alias("q"), rest.alias("r"))
+
+    def text(v: Column) -> Column:
+        q, r = v["q"], v["r"]
+        up = (r > 2**51) | ((r == 2**51) & (q % 2 == 1))
+        return let(
+            q + up.cast("bigint"),
+            lambda d: F.concat(
+                (whole + F.when(d == 10**10, 1).otherwise(0)).cast("string"),
+                F.lit("."),
+                F.lpad((d % 10**10).cast("string"), 10, "0"),
+            ),
+        )
+
+    return F.concat(F.when(x < 0, "-").otherwise(""), let(let(scaled, split), text))
 
 
 def format_literal(x: Column | str, keep_float_zero: bool = True) -> Column:
     """A double as literal text: at most 10 decimals, integral values as ints.
 
     ``keep_float_zero``: the audit writes a float zero as ``0.0``; the candidate
-    cleaner writes ``0``. Rounding is half-even on the shortest decimal form of the
-    double, so exact binary ties agree with C-style formatting."""
+    cleaner writes ``0``. Rounding is half-even, as in C-style formatting."""
     def body(x: Column) -> Column:
-        digits = F.format_string("%.10f", F.bround(x, 10))
+        tiny = F.format_string("%.10f", F.bround(x, 10))
+        digits = F.when(F.abs(x) < 2.0**-10, tiny).otherwise(_ten_decimals(x))
         text = F.regexp_replace(F.regexp_replace(digits, r"0+\z", ""), r"\.\z", "")
         zero = "0.0" if keep_float_zero else "0"
         return (
@@ -29,6 +62,8 @@ def format_literal(x: Column | str, keep_float_zero: bool = True) -> Column:
             .when(x == float("inf"), F.lit("float('inf')"))
             .when(x == float("-inf"), F.lit("float('-inf')"))
             .when(x == 0, F.lit(zero))
+            # Whole numbers: all digits of the double, not its shortest form.
+            .when(F.abs(x).between(EXACT_INT, LONG_LIMIT), x.cast("bigint").cast("string"))
             .otherwise(F.regexp_replace(text, r"\A-0\z", "0"))
         )
 
@@ -94,7 +129,8 @@ def _closed_form(v: Column) -> Column:
         .when((op == "**") & exact & ~F.isnan(F.pow(a, b)), F.pow(a, b))
     )
     stays_int = ints & (op != "/") & ~((op == "**") & (b < 0))
-    text = F.when(stays_int, int_value.cast("string")).otherwise(format_literal(float_value))
+    known_digits = (F.abs(float_value) <= LONG_LIMIT) | (F.abs(float_value) == float("inf")) | F.isnan(float_value)
+    text = F.when(stays_int, int_value.cast("string")).otherwise(format_literal(F.when(known_digits, float_value)))
     text = F.when(~raises & a.isNotNull() & b.isNotNull(), text)
 
     def pack(t: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def with_fallback(df: DataFrame, text: str = "text", func_name: str = "func_name
     )
 
 
-def probe_families(functions: DataFrame, function_id: str, family: str, value_of) -> DataFrame:
+def probe_families(functions: DataFrame, family: str, value_of: Callable[[Column, Column], Column]) -> DataFrame:
     """One row per function with ``passes``: every probe of its family gives the expected
     value (tolerant). ``value_of(a, b)`` is the closed form of the function as a column.
     Families without probes pass. The probes of a family stay in one array, so the

@@ -230,7 +230,7 @@ def q_probe_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every function under its family name; one in five computes a modulus-like '//' instead."""
     df = pairs(spark, sf_dir).withColumn("op", F.regexp_extract("input", r"return a (\*\*|[-+*/]) b", 1))
     df = df.withColumn("op", F.when(F.col("pair_id") % 5 == 1, "//").otherwise(F.col("op")))
-    return probe_families(df, "pair_id", "family", lambda a, b: apply_op(F.col("op"), a, b)).select("pair_id", "passes")
+    return probe_families(df, "family", lambda a, b: apply_op(F.col("op"), a, b)).select("pair_id", "passes")
 
 
 @query(PAIRS_SQL + """SELECT pair_id, CASE pair_id % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS same_args FROM pairs""")
