@@ -21,29 +21,31 @@ def _ten_decimals(x: Column) -> Column:
     differs once a number has more than 17 digits or sits next to a tie.
 
     The fraction is a multiple of 2**-62 there, so frac·10**10 is frac·2**62·5**10 / 2**52,
-    taken apart into two products that fit into a long."""
+    taken apart into two products that fit into a long.
+    Every step hands all it needs to the next one in a struct."""
     whole = F.floor(F.abs(x))
-    scaled = ((F.abs(x) - whole) * float(2**62)).cast("bigint")
+    start = F.struct(
+        F.when(x < 0, "-").otherwise("").alias("sign"),
+        whole.alias("whole"),
+        ((F.abs(x) - whole) * float(2**62)).cast("bigint").alias("m"),
+    )
 
-    def split(m: Column) -> Column:
-        low = m.bitwiseAND(F.lit(2**31 - 1)) * F.lit(5**10)
-        high = F.shiftright(m, 31) * F.lit(5**10) + F.shiftright(low, 31)
+    def products(v: Column) -> Column:
+        low = v["m"].bitwiseAND(F.lit(2**31 - 1)) * F.lit(5**10)
+        high = F.shiftright(v["m"], 31) * F.lit(5**10) + F.shiftright(low, 31)
         rest = F.shiftleft(high.bitwiseAND(F.lit(2**21 - 1)), 31) + low.bitwiseAND(F.lit(2**31 - 1))
-        return F.struct(F.shiftright(high, 21).alias("q"), rest.alias("r"))
+        return F.struct(v["sign"].alias("sign"), v["whole"].alias("whole"), F.shiftright(high, 21).alias("q"), rest.alias("r"))
+
+    def rounded(v: Column) -> Column:
+        up = (v["r"] > 2**51) | ((v["r"] == 2**51) & (v["q"] % 2 == 1))
+        return F.struct(v["sign"].alias("sign"), v["whole"].alias("whole"), (v["q"] + up.cast("bigint")).alias("d"))
 
     def text(v: Column) -> Column:
-        q, r = v["q"], v["r"]
-        up = (r > 2**51) | ((r == 2**51) & (q % 2 == 1))
-        return let(
-            q + up.cast("bigint"),
-            lambda d: F.concat(
-                (whole + F.when(d == 10**10, 1).otherwise(0)).cast("string"),
-                F.lit("."),
-                F.lpad((d % 10**10).cast("string"), 10, "0"),
-            ),
-        )
+        carry = F.when(v["d"] == 10**10, 1).otherwise(0)
+        decimals = F.lpad((v["d"] % 10**10).cast("string"), 10, "0")
+        return F.concat(v["sign"], (v["whole"] + carry).cast("string"), F.lit("."), decimals)
 
-    return F.concat(F.when(x < 0, "-").otherwise(""), let(let(scaled, split), text))
+    return let(let(let(start, products), rounded), text)
 
 
 def format_literal(x: Column | str, keep_float_zero: bool = True) -> Column:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 # What Python calls white space (str.strip, re '\s') and line ends
 # (str.splitlines). Java's '\s' alone covers ASCII only.
 SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARS = "".join(
+    map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+              0x202F, 0x205F, 0x3000])
+)
+LINE_END_CHARS = r"\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 # Invisible characters removed at the start / anywhere.
@@ -35,7 +40,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Python's ``str.strip``: Unicode white space on both ends."""
-    return F.regexp_replace(as_col(c), f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(as_col(c), F.lit(SPACE_CHARS))
 
 
 def split_lines(c: Column | str) -> Column:
@@ -92,10 +97,11 @@ def collapse_space(c: Column | str, preserve_indent: bool = True) -> Column:
 
 def similarity_key(c: Column | str) -> Column:
     """Layout-free form of a test: no blank or comment lines, single blanks, lower case."""
-    lines = F.transform(split_lines(c), strip)
-    kept = F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
-    joined = F.regexp_replace(F.array_join(kept, " "), f"[{SPACE}]+", " ")
-    return strip(F.lower(joined))
+    # Joining stripped lines by a blank and squeezing blanks is the same as squeezing the
+    # whole text, line ends included, once the comment lines are gone.
+    comment = f"(?<![^{LINE_END_CHARS}])[{SPACE}&&[^{LINE_END_CHARS}]]*#[^{LINE_END_CHARS}]*"
+    squeezed = F.regexp_replace(F.regexp_replace(as_col(c), comment, ""), f"[{SPACE}]+", " ")
+    return F.trim(F.lower(squeezed))
 
 
 def unwrap_quotes(c: Column | str) -> Column:

@@ -33,23 +33,27 @@ CLOSED_FORM = (
 def closed_form_of(source: Column | str) -> Column:
     """struct<name, params, left, op, right> of a one-operation function, else NULL."""
     source = as_col(source)
+    # One match gives all groups: name, params, left, op, right, parentheses.
+    groups = F.split(F.regexp_replace(source, CLOSED_FORM, "\x01$1\x01$2\x01$5\x01$6\x01$7\x01$4$8"), "\x01")
+
+    def body(g: Column) -> Column:
+        return F.struct(
+            F.get(g, F.lit(1)).alias("name"), F.transform(F.split(F.get(g, F.lit(2)), ","), strip).alias("params"),
+            F.get(g, F.lit(3)).alias("left"), F.get(g, F.lit(4)).alias("op"), F.get(g, F.lit(5)).alias("right"),
+            ((F.size(g) == 7) & (F.get(g, F.lit(0)) == "") & F.get(g, F.lit(6)).isin("", "()")).alias("matched"),
+        )
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(source, CLOSED_FORM, i)
-
-    def body(params: Column) -> Column:
-        simple = F.forall(params, lambda p: p.rlike(r"\A[A-Za-z_]\w*(\s*:\s*[\w.]+)?\z"))
-        names = F.transform(params, lambda p: F.regexp_extract(p, r"\A\w+", 0))
-        distinct = F.size(F.array_distinct(names)) == F.size(names)
-        balanced = (part(4) == "(") == (part(8) == ")")
-        parts = F.struct(
-            part(1).alias("name"), names.alias("params"),
-            part(5).alias("left"), part(6).alias("op"), part(7).alias("right"),
+    def check(f: Column) -> Column:
+        simple = F.forall(f["params"], lambda p: p.rlike(r"\A[A-Za-z_]\w*(\s*:\s*[\w.]+)?\z"))
+        names = F.transform(f["params"], lambda p: F.regexp_extract(p, r"\A\w+", 0))
+        form = F.struct(
+            f["name"].alias("name"), names.alias("params"), f["left"].alias("left"), f["op"].alias("op"),
+            f["right"].alias("right"),
         )
-        return F.when(simple & distinct & balanced, parts)
+        distinct = F.size(F.array_distinct(names)) == F.size(f["params"])
+        return F.when(f["matched"] & simple & distinct, form)
 
-    params = F.transform(F.split(part(2), ","), strip)
-    return F.when(source.rlike(CLOSED_FORM), let(params, body))
+    return F.when(~source.contains("\x01"), let(let(groups, body), check))
 
 
 def pair_pattern(name: Column, word_boundary: bool = True) -> Column:

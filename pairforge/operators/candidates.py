@@ -114,7 +114,7 @@ def apply_op(op: Column, a: Column, b: Column) -> Column:
 
 def sanitize(df: DataFrame, text: str = "text", name: str = "func_name") -> DataFrame:
     """Clean layout, then replace what still does not parse by a callable check."""
-    checked = df.withColumn("_clean", clean_layout(text, name)).withColumn("_ok", fx.parses("_clean"))
+    checked = settle(df.withColumn("_clean", clean_layout(text, name)), "_clean").withColumn("_ok", fx.parses("_clean"))
     cleaned = checked.withColumn(text, F.when(F.col("_ok"), F.col("_clean")).otherwise(smoke_test(name)))
     return settle(cleaned.drop("_clean", "_ok"), text)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.literals import format_literal
+from pairforge.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def pick(index: Column, values: tuple[str, ...]) -> Column:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One (function, test) pair per order: six families, every fifth value wrong."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     df = orders.select(
         F.col("o_orderkey").alias("pair_id"),
         F.col("o_custkey").alias("owner"),

@@ -13,6 +13,7 @@ from pairforge.functions.rules import route_prompt
 from pairforge.operators.candidates import sanitize
 from pairforge.queries import query
 from pairforge.queries.tables import LITERAL_SQL, PAIRS_SQL, pairs, table
+from pairforge.session import spread
 
 # Blanks as SQL needs them (same code points as pairforge.functions.text.SPACE).
 SPACE = tx.SPACE
@@ -23,7 +24,7 @@ def strip_sql(expr: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *columns)
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", *columns)
 
 
 @query(r"""SELECT doc_id, regexp_replace(replace(replace(text, '. ', '.' || chr(13) || chr(10)), ', ', chr(13)),

@@ -33,6 +33,13 @@ def get_session(app: str = "pairforge", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has cores, ahead of work
+    that is heavy per row. A scan with enough partitions is left alone: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame, *names: str) -> DataFrame:
     """Compute the named columns once, before anything that follows.
 

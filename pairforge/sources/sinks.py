@@ -16,19 +16,21 @@ def kept_line() -> Column:
     return set_fields(F.col("extra"), {"output": F.col("output")})
 
 
-def write_split(audited: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """``<path>/outcome=kept|rejected|quarantined/`` text files in one pass: kept
+def write_split(audited: DataFrame, path: str, mode: str = "overwrite", batch: int | None = None) -> None:
+    """``<path>/lines/outcome=kept|rejected|quarantined/`` text files in one pass: kept
     records re-serialised with all their keys, the others as their raw line; plus
     ``<path>/reasons`` with the raw line, outcome and reason as Parquet.
 
-    One job per output and no count in between; row order is not kept."""
+    ``batch`` adds a ``batch=<n>`` level to both, for a stream that writes one folder per
+    micro-batch. One job per output and no count in between; row order is not kept."""
+    level = "" if batch is None else f"/batch={batch}"
     line = F.when(F.col("outcome") == "kept", kept_line()).otherwise(F.col("raw"))
-    audited.select(line.alias("value"), "outcome").write.mode(mode).partitionBy("outcome").text(path + "/lines")
+    audited.select(line.alias("value"), "outcome").write.mode(mode).partitionBy("outcome").text(path + "/lines" + level)
     (
         audited.filter(F.col("outcome") != "kept")
         .select("raw", "outcome", "reason")
         .write.mode(mode)
-        .parquet(path + "/reasons")
+        .parquet(path + "/reasons" + level)
     )
 
 

@@ -26,7 +26,7 @@ def audit_stream(spark: SparkSession, path: str, out: str, checkpoint: str, kind
         # Two outputs of one parse; the copy spills to disk and goes when both are written.
         batch = batch.persist()
         try:
-            write_split(batch, f"{out}/batch={batch_id}")
+            write_split(batch, out, batch=batch_id)
         finally:
             batch.unpersist()
 

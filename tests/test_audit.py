@@ -133,15 +133,15 @@ def test_split_round_trip(spark, corpus, tmp_path):
 def test_stream_equals_batch(spark, corpus, tmp_path):
     out, checkpoint = str(tmp_path / "stream"), str(tmp_path / "checkpoint")
     audit_stream(spark, corpus, out, checkpoint, max_files_per_trigger=1).awaitTermination()
-    assert sorted(os.listdir(out)) == ["batch=0", "batch=1"]
-    streamed = spark.read.text(out + "/batch=*/lines").select("value").collect()
+    assert sorted(os.listdir(out + "/lines")) == ["batch=0", "batch=1"]
+    streamed = spark.read.text(out + "/lines").select("value").collect()
     batch_out = str(tmp_path / "batch")
     audit_corpus(spark, corpus, batch_out)
     batch = spark.read.text(batch_out + "/lines").select("value").collect()
     assert sorted(r["value"] for r in streamed) == sorted(r["value"] for r in batch)
     # Nothing new: a second run writes nothing.
     audit_stream(spark, corpus, out, checkpoint).awaitTermination()
-    assert len(os.listdir(out)) == 2
+    assert len(os.listdir(out + "/lines")) == 2
 
 
 def test_running_counts(spark, corpus, tmp_path):
