@@ -15,7 +15,9 @@ SPACE_CHARS = "".join(
     map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
               0x202F, 0x205F, 0x3000])
 )
-LINE_END_CHARS = r"\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
+# The same characters without line ends, and the line ends other than a line feed.
+BLANK = r" \t\x{1f}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+OTHER_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 # Invisible characters removed at the start / anywhere.
@@ -99,8 +101,8 @@ def similarity_key(c: Column | str) -> Column:
     """Layout-free form of a test: no blank or comment lines, single blanks, lower case."""
     # Joining stripped lines by a blank and squeezing blanks is the same as squeezing the
     # whole text, line ends included, once the comment lines are gone.
-    comment = f"(?<![^{LINE_END_CHARS}])[{SPACE}&&[^{LINE_END_CHARS}]]*#[^{LINE_END_CHARS}]*"
-    squeezed = F.regexp_replace(F.regexp_replace(as_col(c), comment, ""), f"[{SPACE}]+", " ")
+    lines = F.translate(as_col(c), OTHER_LINE_ENDS, "\n" * len(OTHER_LINE_ENDS))
+    squeezed = F.regexp_replace(F.regexp_replace(lines, f"(?md)^[{BLANK}]*#[^\n]*", ""), f"[{BLANK}\n]+", " ")
     return F.trim(F.lower(squeezed))
 
 

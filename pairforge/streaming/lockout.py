@@ -3,11 +3,14 @@
 The rule is sequential: an attempt during a block changes nothing, so windows alone
 cannot express it. What can be cut is *where* the sequence must be followed: a pause of
 one lockout period between failures ends every counter and every block. Each key is
-cut there, and the pieces are followed independently and in parallel."""
+cut there. Where no pause comes, a piece of the timeline is followed from every state it
+can be entered in, so that the pieces of one key run in parallel as well."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +23,8 @@ from pairforge.functions.text import as_col, strip
 # Failures until the block, seconds a counter or block lives.
 ATTEMPTS, LOCKOUT_SECONDS = 5, 300
 OK, WRONG, BLOCKED = 200, 401, 429
+# Lockout periods followed by one task at most (a day at five minutes).
+PIECE_BUCKETS = 288
 
 State = tuple[int, int, int]  # failures, counter expiry, block expiry (microseconds)
 CLEAR: State = (0, 0, 0)
@@ -47,15 +52,8 @@ def step(state: State, ts: int, ok: bool, attempts: int, ttl: int) -> tuple[Stat
     return (failures, ts + ttl, 0), WRONG, attempts - failures
 
 
-def with_segments(attempts: DataFrame, key: str, ts: str, ok: str, lockout_seconds: int = LOCKOUT_SECONDS) -> DataFrame:
-    """Add ``segment``: counts pauses of at least one lockout period between failures.
-
-    Skew-safe: failures are first reduced to (key, time bucket) extremes. A bucket is one
-    lockout period wide, so a pause can only lie between buckets and the ordered window
-    sees a few numbers per bucket, however many attempts a key has."""
-    ttl = F.lit(lockout_seconds * 1_000_000)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    staged = attempts.withColumn("_us", us).withColumn("_bucket", F.floor(us / ttl))
+def bucket_table(staged: DataFrame, key: str, ok: str, ttl: Column) -> DataFrame:
+    """Per (key, time bucket): first failure and the number of the segment the bucket is in."""
     failed_at = F.when(~F.col(ok), F.col("_us"))
     extremes = staged.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_b")).agg(
         F.min(failed_at).alias("_first"), F.max(failed_at).alias("_last")
@@ -63,12 +61,158 @@ def with_segments(attempts: DataFrame, key: str, ts: str, ok: str, lockout_secon
     by_time = Window.partitionBy("_key").orderBy("_b")
     previous = F.max("_last").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.when(F.col("_first") - previous >= ttl, 1).otherwise(0)
-    numbered = extremes.withColumn("_starts", starts).withColumn("_segment", F.sum("_starts").over(by_time))
+    return extremes.withColumn("_starts", starts).withColumn("_segment", F.sum("_starts").over(by_time))
+
+
+def with_pieces(
+    attempts: DataFrame, key: str, ts: str, ok: str, lockout_seconds: int, piece_buckets: int
+) -> tuple[DataFrame, DataFrame]:
+    """Attempts with ``segment`` (counts pauses of at least one lockout period between
+    failures) and ``piece`` (a stretch of ``piece_buckets`` periods), and the segments that
+    have more than one piece.
+
+    Skew-safe: failures are first reduced to (key, time bucket) extremes. A bucket is one
+    lockout period wide, so a pause can only lie between buckets and the ordered window
+    sees a few numbers per bucket, however many attempts a key has."""
+    ttl = F.lit(lockout_seconds * 1_000_000)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    staged = attempts.withColumn("_us", us).withColumn("_bucket", F.floor(us / ttl))
+    buckets = bucket_table(staged, key, ok, ttl)
+    piece = F.floor(F.col("_b") / piece_buckets)
+    # Rows ahead of the failure that starts a segment still belong to the one before.
     before_start = F.coalesce((F.col("_starts") == 1) & (F.col("_us") < F.col("_first")), F.lit(False))
-    return (
-        staged.join(numbered, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+    cut = (
+        staged.join(buckets, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("segment", F.col("_segment") - before_start.cast("int"))
-        .select(*attempts.columns, "segment")
+        .withColumn("piece", piece)
+        .select(*attempts.columns, "_us", "segment", "piece")
+    )
+    long = (
+        buckets.select("_key", piece.alias("_p"), F.explode(F.array("_segment", F.col("_segment") - F.col("_starts"))).alias("_s"))
+        .groupBy("_key", "_s").agg(F.min("_p").alias("_from"), F.max("_p").alias("_to"))
+        .filter("_from < _to")
+        .select(F.col("_key").alias(key), F.col("_s").alias("segment"))
+    )
+    return cut, long
+
+
+def all_ways_through(events: Iterator[tuple[int, bool]], window_end: int, attempts: int, ttl: int):
+    """Follow one piece from every state it can be entered in, in one pass.
+
+    Ways in: clear from any event of the first lockout period (a block from before ends
+    there), or with 1..n-1 live failures at the first event. Ways that reach the same state
+    are one from then on, and not blocked ones differ by their count only, so an event
+    touches at most ``attempts`` groups. Yields (live failures, event time, state after)."""
+    parent: list[int] = []
+    entries: list[tuple[int, int, int]] = []
+    free: list[int | None] = [None] * attempts  # group per failure count
+    blocked: deque[tuple[int, int]] = deque()  # (end of block, group), ends ascending
+    counter_until, last_entry, closed = 0, None, False
+
+    def enter(live: int, at: int) -> None:
+        parent.append(len(parent))
+        entries.append((live, at, len(parent) - 1))
+        join(live, len(parent) - 1)
+
+    def join(count: int, group: int) -> None:
+        if free[count] is None:
+            free[count] = group
+        else:
+            parent[group] = free[count]
+
+    def merge_free() -> None:
+        for count in range(1, attempts):
+            if free[count] is not None:
+                join(0, free[count])
+                free[count] = None
+
+    for at, good in events:
+        while blocked and blocked[0][0] <= at:
+            join(0, blocked.popleft()[1])
+        if last_entry is None:
+            counter_until = at + 1  # the live failures of an entry are alive here
+            for live in range(1, attempts):
+                enter(live, at)
+        if not closed and at != last_entry:
+            enter(0, at)
+            last_entry, closed = at, at >= window_end
+        if good or at >= counter_until:
+            merge_free()
+        if not good:
+            if free[-1] is not None:
+                blocked.append((at + ttl, free[-1]))
+            free[1:] = free[:-1]
+            free[0] = None
+            counter_until = at + ttl
+    final = {g: (c, counter_until, 0) if c else CLEAR for c, g in enumerate(free) if g is not None}
+    final.update({g: (attempts, end, end) for end, g in blocked})
+    for live, at, node in entries:
+        while parent[node] != node:
+            parent[node] = parent[parent[node]]
+            node = parent[node]
+        yield live, at, final[node]
+
+
+STATE_FIELDS = [T.StructField(n, T.LongType()) for n in ("failures", "counter_until", "blocked_until")]
+
+
+def start_states(long_events: DataFrame, key: str, ok: str, order: list[str], max_failures: int, ttl: int,
+                 piece_us: int) -> DataFrame:
+    """(key, segment, piece, state at its start) of long segments.
+
+    Pieces are followed in parallel from all states they can be entered in; the resulting
+    small tables (entry, exit) are then chained per segment. Both run as sorted streams."""
+    where = [long_events.schema[key], T.StructField("segment", T.LongType()), T.StructField("piece", T.LongType())]
+    ways_schema = T.StructType([
+        *where, T.StructField("first_us", T.LongType()), T.StructField("live", T.IntegerType()),
+        T.StructField("entry_us", T.LongType()), *STATE_FIELDS,
+    ])
+    starts_schema = T.StructType([*where, *STATE_FIELDS])
+
+    def rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+        for pdf in batches:
+            yield from zip(*(pdf[c].tolist() for c in columns))
+
+    def ways(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = rows(batches, [key, "segment", "piece", "_us", ok])
+        for place, events in groupby(stream, key=lambda r: r[:3]):
+            followed = list(all_ways_through(
+                ((r[3], r[4]) for r in events), place[2] * piece_us + ttl, max_failures, ttl
+            ))
+            first = followed[0][1]
+            # Of neighbouring clear entries with one exit the last stands for all.
+            kept = [
+                w for w, after in zip(followed, followed[1:] + [None])
+                if w[0] or after is None or (after[0], after[2]) != (0, w[2])
+            ]
+            yield pd.DataFrame(
+                [(*place, first, live, at, *state) for live, at, state in kept], columns=ways_schema.names
+            )
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, CLEAR
+        stream = rows(batches, ways_schema.names)
+        for place, table in groupby(stream, key=lambda r: r[:3]):
+            if place[:2] != current:
+                current, state = place[:2], CLEAR
+            yield pd.DataFrame([(*place, *state)], columns=starts_schema.names)
+            failures, counter_until, blocked_until = state
+            table = list(table)
+            first = table[0][3]
+            if blocked_until <= first and 0 < failures and first < counter_until:
+                match = (r for r in table if r[4] == failures)
+            else:
+                match = (r for r in table if r[4] == 0 and r[5] >= blocked_until)
+            # Without a way in, the whole piece lies inside the block.
+            state = next((r[6:9] for r in match), state)
+
+    passed = (
+        long_events.repartition(key, "segment", "piece").sortWithinPartitions(key, "segment", "piece", *order)
+        .mapInPandas(ways, ways_schema)
+    )
+    return (
+        passed.repartition(key, "segment").sortWithinPartitions(key, "segment", "piece", "live", "entry_us")
+        .mapInPandas(chain, starts_schema)
     )
 
 
@@ -80,38 +224,45 @@ def login_lockout(
     row_id: str | None = None,
     max_failures: int = ATTEMPTS,
     lockout_seconds: int = LOCKOUT_SECONDS,
+    piece_buckets: int = PIECE_BUCKETS,
 ) -> DataFrame:
     """Add ``status`` (200 / 401 / 429) and ``attempts_left`` to every attempt.
 
-    Attempts are followed in time order (``row_id`` breaks ties) as a sorted stream with
-    one small state, so no group is ever held in memory."""
+    Attempts are followed in time order (``row_id`` breaks ties) as sorted streams with one
+    small state, so no group is held in memory, and one task never gets more of a key than
+    ``piece_buckets`` lockout periods: a key under attack without a pause is followed piece
+    by piece, from start states found by :func:`start_states`. Whether there are such keys
+    is looked up in the bucket totals when this is called."""
     ttl = lockout_seconds * 1_000_000
     columns = attempts.columns
+    place = [key, "segment", "piece"]
+    order = ["_us"] + ([row_id] if row_id else [])
     out = T.StructType(
         attempts.schema.fields
         + [T.StructField("status", T.IntegerType()), T.StructField("attempts_left", T.IntegerType())]
     )
+    cut, long = with_pieces(attempts, key, ts, ok, lockout_seconds, piece_buckets)
+    if long.isEmpty():
+        staged = cut.withColumns({f.name: F.lit(0).cast("bigint") for f in STATE_FIELDS})
+    else:
+        long_events = cut.join(long, [key, "segment"], "left_semi")
+        starts = start_states(long_events, key, ok, order, max_failures, ttl, piece_buckets * ttl)
+        staged = cut.join(starts, place, "left").fillna(0, [f.name for f in STATE_FIELDS])
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, CLEAR
         for pdf in batches:
             status, left = [], []
-            for k, segment, at, good in zip(pdf[key], pdf["segment"], pdf["_us"], pdf[ok]):
-                if (k, segment) != current:
-                    current, state = (k, segment), CLEAR
+            inputs = [pdf[c].tolist() for c in (*place, "_us", ok, *(f.name for f in STATE_FIELDS))]
+            for k, segment, piece, at, good, *start in zip(*inputs):
+                if (k, segment, piece) != current:
+                    current, state = (k, segment, piece), tuple(start)
                 state, code, remaining = step(state, at, good, max_failures, ttl)
                 status.append(code)
                 left.append(remaining)
             yield pdf[columns].assign(status=status, attempts_left=pd.array(left, dtype="Int32"))
 
-    order = [key, "segment", "_us"] + ([row_id] if row_id else [])
-    return (
-        with_segments(attempts, key, ts, ok, lockout_seconds)
-        .withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-        .repartition(key, "segment")
-        .sortWithinPartitions(*order)
-        .mapInPandas(follow, out)
-    )
+    return staged.repartition(*place).sortWithinPartitions(*place, *order).mapInPandas(follow, out)
 
 
 def lockout_stream(
