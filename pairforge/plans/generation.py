@@ -122,7 +122,7 @@ def regenerate(
         .alias("previous"),
     )
     keys = [item_id, "func_name"]
-    offered = sanitize(candidates).join(per_function.select(*keys, "previous"), keys)
+    offered = sanitize(candidates).join(per_function.select(*keys, "previous").dropDuplicates(keys), keys)
     compared = with_similarity(offered, "previous", "text").withColumns({
         "_prev": fx.extract_code_facts("previous"), "_cand": fx.extract_code_facts("text"),
     })

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A repeated JSON key keeps its last value, as in Python.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Merge session windows before the shuffle, so that a busy key travels as few rows.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Code texts are short but can reach 200 kB; small Arrow batches keep the
     # Python side of a task bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
@@ -35,7 +37,8 @@ def get_session(app: str = "pairforge", master: str | None = None, **conf: str)
 
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer partitions than the cluster has cores, ahead of work
-    that is heavy per row. A scan with enough partitions is left alone: no shuffle."""
+    that is heavy per row. For plain scans only: a plan with shuffles would run them to
+    answer. A scan with enough partitions is left alone: no shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
