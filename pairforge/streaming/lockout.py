@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,8 @@ ATTEMPTS, LOCKOUT_SECONDS = 5, 300
 OK, WRONG, BLOCKED = 200, 401, 429
 # Lockout periods followed by one task at most (a day at five minutes).
 PIECE_BUCKETS = 288
+# Attempts without a pause that one task follows in one go.
+PIECE_ATTEMPTS = 1_000_000
 
 State = tuple[int, int, int]  # failures, counter expiry, block expiry (microseconds)
 CLEAR: State = (0, 0, 0)
@@ -56,7 +58,7 @@ def bucket_table(staged: DataFrame, key: str, ok: str, ttl: Column) -> DataFrame
     """Per (key, time bucket): first failure and the number of the segment the bucket is in."""
     failed_at = F.when(~F.col(ok), F.col("_us"))
     extremes = staged.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_b")).agg(
-        F.min(failed_at).alias("_first"), F.max(failed_at).alias("_last")
+        F.min(failed_at).alias("_first"), F.max(failed_at).alias("_last"), F.count("*").alias("_n")
     )
     by_time = Window.partitionBy("_key").orderBy("_b")
     previous = F.max("_last").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
@@ -65,11 +67,11 @@ def bucket_table(staged: DataFrame, key: str, ok: str, ttl: Column) -> DataFrame
 
 
 def with_pieces(
-    attempts: DataFrame, key: str, ts: str, ok: str, lockout_seconds: int, piece_buckets: int
+    attempts: DataFrame, key: str, ts: str, ok: str, lockout_seconds: int, piece_buckets: int, piece_attempts: int
 ) -> tuple[DataFrame, DataFrame]:
     """Attempts with ``segment`` (counts pauses of at least one lockout period between
-    failures) and ``piece`` (a stretch of ``piece_buckets`` periods), and the segments that
-    have more than one piece.
+    failures) and ``piece`` (a stretch of ``piece_buckets`` periods), and the segments worth
+    cutting into pieces: several of them and more than ``piece_attempts`` attempts.
 
     Skew-safe: failures are first reduced to (key, time bucket) extremes. A bucket is one
     lockout period wide, so a pause can only lie between buckets and the ordered window
@@ -88,9 +90,12 @@ def with_pieces(
         .select(*attempts.columns, "_us", "segment", "piece")
     )
     long = (
-        buckets.select("_key", piece.alias("_p"), F.explode(F.array("_segment", F.col("_segment") - F.col("_starts"))).alias("_s"))
-        .groupBy("_key", "_s").agg(F.min("_p").alias("_from"), F.max("_p").alias("_to"))
-        .filter("_from < _to")
+        buckets.select(
+            "_key", "_n", piece.alias("_p"),
+            F.explode(F.array_distinct(F.array("_segment", F.col("_segment") - F.col("_starts")))).alias("_s"),
+        )
+        .groupBy("_key", "_s").agg(F.min("_p").alias("_from"), F.max("_p").alias("_to"), F.sum("_n").alias("_total"))
+        .filter((F.col("_from") < F.col("_to")) & (F.col("_total") > piece_attempts))
         .select(F.col("_key").alias(key), F.col("_s").alias("segment"))
     )
     return cut, long
@@ -173,29 +178,27 @@ def start_states(long_events: DataFrame, key: str, ok: str, order: list[str], ma
         for pdf in batches:
             yield from zip(*(pdf[c].tolist() for c in columns))
 
-    def ways(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = rows(batches, [key, "segment", "piece", "_us", ok])
+    def frames(found: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+        while part := list(islice(found, 10_000)):
+            yield pd.DataFrame(part, columns=columns)
+
+    def ways(stream: Iterator[tuple]) -> Iterator[tuple]:
         for place, events in groupby(stream, key=lambda r: r[:3]):
             followed = list(all_ways_through(
                 ((r[3], r[4]) for r in events), place[2] * piece_us + ttl, max_failures, ttl
             ))
             first = followed[0][1]
             # Of neighbouring clear entries with one exit the last stands for all.
-            kept = [
-                w for w, after in zip(followed, followed[1:] + [None])
-                if w[0] or after is None or (after[0], after[2]) != (0, w[2])
-            ]
-            yield pd.DataFrame(
-                [(*place, first, live, at, *state) for live, at, state in kept], columns=ways_schema.names
-            )
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for way, after in zip(followed, followed[1:] + [None]):
+                if way[0] or after is None or (after[0], after[2]) != (0, way[2]):
+                    yield (*place, first, way[0], way[1], *way[2])
+
+    def chain(stream: Iterator[tuple]) -> Iterator[tuple]:
         current, state = None, CLEAR
-        stream = rows(batches, ways_schema.names)
         for place, table in groupby(stream, key=lambda r: r[:3]):
             if place[:2] != current:
                 current, state = place[:2], CLEAR
-            yield pd.DataFrame([(*place, *state)], columns=starts_schema.names)
+            yield (*place, *state)
             failures, counter_until, blocked_until = state
             table = list(table)
             first = table[0][3]
@@ -206,13 +209,19 @@ def start_states(long_events: DataFrame, key: str, ok: str, order: list[str], ma
             # Without a way in, the whole piece lies inside the block.
             state = next((r[6:9] for r in match), state)
 
+    def follow_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from frames(ways(rows(batches, [key, "segment", "piece", "_us", ok])), ways_schema.names)
+
+    def chain_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from frames(chain(rows(batches, ways_schema.names)), starts_schema.names)
+
     passed = (
         long_events.repartition(key, "segment", "piece").sortWithinPartitions(key, "segment", "piece", *order)
-        .mapInPandas(ways, ways_schema)
+        .mapInPandas(follow_pieces, ways_schema)
     )
     return (
         passed.repartition(key, "segment").sortWithinPartitions(key, "segment", "piece", "live", "entry_us")
-        .mapInPandas(chain, starts_schema)
+        .mapInPandas(chain_pieces, starts_schema)
     )
 
 
@@ -225,14 +234,15 @@ def login_lockout(
     max_failures: int = ATTEMPTS,
     lockout_seconds: int = LOCKOUT_SECONDS,
     piece_buckets: int = PIECE_BUCKETS,
+    piece_attempts: int = PIECE_ATTEMPTS,
 ) -> DataFrame:
     """Add ``status`` (200 / 401 / 429) and ``attempts_left`` to every attempt.
 
     Attempts are followed in time order (``row_id`` breaks ties) as sorted streams with one
-    small state, so no group is held in memory, and one task never gets more of a key than
-    ``piece_buckets`` lockout periods: a key under attack without a pause is followed piece
-    by piece, from start states found by :func:`start_states`. Whether there are such keys
-    is looked up in the bucket totals when this is called."""
+    small state, so no group is held in memory. A stretch without a pause of more than
+    ``piece_attempts`` attempts (a key under attack) is followed in pieces of
+    ``piece_buckets`` lockout periods, from start states found by :func:`start_states`.
+    Whether there are any is looked up in the bucket totals when this is called."""
     ttl = lockout_seconds * 1_000_000
     columns = attempts.columns
     place = [key, "segment", "piece"]
@@ -241,13 +251,16 @@ def login_lockout(
         attempts.schema.fields
         + [T.StructField("status", T.IntegerType()), T.StructField("attempts_left", T.IntegerType())]
     )
-    cut, long = with_pieces(attempts, key, ts, ok, lockout_seconds, piece_buckets)
+    cut, long = with_pieces(attempts, key, ts, ok, lockout_seconds, piece_buckets, piece_attempts)
     if long.isEmpty():
-        staged = cut.withColumns({f.name: F.lit(0).cast("bigint") for f in STATE_FIELDS})
+        staged = cut.withColumns({"piece": F.lit(0), **{f.name: F.lit(0).cast("bigint") for f in STATE_FIELDS}})
     else:
-        long_events = cut.join(long, [key, "segment"], "left_semi")
-        starts = start_states(long_events, key, ok, order, max_failures, ttl, piece_buckets * ttl)
-        staged = cut.join(starts, place, "left").fillna(0, [f.name for f in STATE_FIELDS])
+        marked = cut.join(long.withColumn("_long", F.lit(True)), [key, "segment"], "left")
+        starts = start_states(marked.filter("_long"), key, ok, order, max_failures, ttl, piece_buckets * ttl)
+        staged = (
+            marked.withColumn("piece", F.when(F.col("_long"), F.col("piece")).otherwise(0))
+            .join(starts, place, "left").fillna(0, [f.name for f in STATE_FIELDS])
+        )
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, CLEAR

@@ -70,7 +70,8 @@ def test_pieces_follow_one_timeline(spark, seed, gap, good):
     """Pieces of two lockout periods: nearly every segment is cut, nothing may change."""
     attempts = attack(seed, 700, gap, good)
     want = brute(attempts)
-    assert run(spark, attempts, piece_buckets=2) == want
+    assert run(spark, attempts, piece_buckets=2, piece_attempts=0) == want
+    assert run(spark, attempts, piece_buckets=3, piece_attempts=100) == want
     assert run(spark, attempts) == want
 
 
