@@ -11,7 +11,16 @@ from pairforge.functions import facts as fx
 from pairforge.functions.constants import FALLBACK_TESTS, PRESETS, PROBES
 from pairforge.functions.literals import is_close
 from pairforge.functions.rules import first_reason, structural_rules, task_kind
-from pairforge.functions.text import as_col, clean_layout, ensure_import, smoke_test
+from pairforge.functions.text import (
+    as_col,
+    clean_layout,
+    ensure_import,
+    smoke_test,
+    standardize_test,
+    unwrap_quotes,
+    wrap_as_test,
+)
+from pairforge.operators.similarity import rename_calls_to_target
 from pairforge.session import settle
 
 STAGE_BEAM, STAGE_SAMPLING = 1, 2
@@ -119,6 +128,15 @@ def sanitize(df: DataFrame, text: str = "text", name: str = "func_name") -> Data
     return settle(cleaned.drop("_clean", "_ok"), text)
 
 
+def clean_candidates(df: DataFrame, text: str = "text", name: str = "func_name") -> DataFrame:
+    """Raw model output to a test: outer quotes off, wrapped if it is only a body, header and
+    spacing standardised, calls renamed to the target, sanitised, import on top."""
+    raw = F.coalesce(F.col(text), F.lit(""))
+    standard = standardize_test(wrap_as_test(unwrap_quotes(raw), name), name)
+    renamed = rename_calls_to_target(settle(df.withColumn(text, standard), text), text, name)
+    return sanitize(renamed, text, name).withColumn(text, ensure_import(text))
+
+
 def union_stages(*stages: DataFrame) -> DataFrame:
     """Candidates of all stages as one relation with ``stage`` 1, 2, …"""
     out = None

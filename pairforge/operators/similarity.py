@@ -58,6 +58,15 @@ def _ratio_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.float64())
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _ratios_udf(names: pa.Array, target: pa.Array) -> pa.Array:
+    out = [
+        None if xs is None or y is None else [SequenceMatcher(None, x, y).ratio() for x in xs]
+        for xs, y in zip(names.to_pylist(), target.to_pylist())
+    ]
+    return pa.array(out, type=pa.list_(pa.float64()))
+
+
 def exact_ratio(a: Column | str, b: Column | str) -> Column:
     """Matching-blocks ratio of two texts. It depends on the order of its arguments
     (previous first) and treats frequent characters of long texts specially."""
@@ -109,19 +118,25 @@ def same_call_args(previous: Column, candidate: Column, name: Column) -> Column:
     )
 
 
-def fuzzy_rename(calls: DataFrame, called: str = "name", target: str = "target", threshold: float = RENAME) -> DataFrame:
-    """Add ``renamed``: the target for a call whose name is close enough, its own name
-    otherwise. A predicate target (``is_…``) takes any ``is*`` call but library ones;
-    a name equal to the target without underscores is the target."""
+def settled_rename(called: Column, target: Column, threshold: float = RENAME) -> Column:
+    """Is the call meant for the target? NULL when only the exact ratio can tell."""
     name, goal = F.lower(called), F.lower(target)
     kept_predicate = name.isin(*KEPT_PREDICATES)
-    settled = (
-        F.when(F.col(called) == F.col(target), F.lit(True))
-        .when(F.col(called) == F.replace(F.col(target), F.lit("_"), F.lit("")), F.lit(True))
-        .when(F.col(target).startswith("is_") & name.startswith("is") & ~kept_predicate, F.lit(True))
+    return (
+        F.when(called == target, F.lit(True))
+        .when(called == F.replace(target, F.lit("_"), F.lit("")), F.lit(True))
+        .when(target.startswith("is_") & name.startswith("is") & ~kept_predicate, F.lit(True))
         .when(length_bound(name, goal) < threshold, F.lit(False))
         .when(overlap_bound(name, goal) < threshold, F.lit(False))
     )
+
+
+def fuzzy_rename(calls: DataFrame, called: str = "name", target: str = "target", threshold: float = RENAME) -> DataFrame:
+    """Add ``renamed``: the target for a call whose name is close enough, its own name
+    otherwise. A predicate target (``is_…``) takes any ``is*`` call but library ones;
+    a name equal to the target without underscores is the target."""
+    name, goal = F.lower(called), F.lower(target)
+    settled = settled_rename(F.col(called), F.col(target), threshold)
     open_pair = F.col("_settled").isNull()
     return (
         calls.withColumn("_settled", settled)
@@ -134,6 +149,32 @@ def fuzzy_rename(calls: DataFrame, called: str = "name", target: str = "target",
     )
 
 
+def rename_calls_to_target(df: DataFrame, text: str, target: str, threshold: float = RENAME) -> DataFrame:
+    """Apply :func:`fuzzy_rename` to all bare-name calls of each test and rewrite the text.
+    The calls of a test stay in an array of its row. Text that does not parse only gets
+    the plain rule (the target written without its underscores)."""
+    plain = F.concat(F.lit(r"\b"), F.replace(F.col(target), F.lit("_"), F.lit("")), F.lit(r"\b"))
+    named = settle(df.withColumn(text, F.regexp_replace(F.col(text), plain, F.col(target))), text)
+    facts = fx.extract_code_facts(text)
+    calls = F.transform(F.filter(F.col("_facts.calls"), lambda c: c["kind"] == "name"), lambda c: c["name"])
+    verdicts = F.transform("_names", lambda n: settled_rename(n, F.col(target), threshold))
+    undecided = F.exists("_verdicts", lambda v: v.isNull())
+    lowered = F.when(undecided, F.transform("_names", F.lower))
+    close = F.transform(
+        F.arrays_zip(F.col("_names").alias("n"), F.col("_verdicts").alias("v"), F.col("_ratios").alias("r")),
+        lambda p: F.struct(p["n"].alias("old"), F.coalesce(p["v"], p["r"] >= threshold).alias("hit")),
+    )
+    hits = F.transform(F.filter(close, lambda p: p["hit"] & (p["old"] != F.col(target))), lambda p: p["old"])
+    return (
+        settle(named.withColumn("_facts", facts).withColumn("_names", F.array_distinct(calls)).drop("_facts"), "_names")
+        .withColumn("_verdicts", verdicts)
+        .withColumn("_ratios", F.coalesce(_ratios_udf(lowered, F.lower(target)), F.array().cast("array<double>")))
+        .withColumn("_hits", hits)
+        .withColumn(text, rename_calls(text, F.col("_hits"), F.transform("_hits", lambda _: F.col(target))))
+        .drop("_names", "_verdicts", "_ratios", "_hits")
+    )
+
+
 def rename_calls(text: Column | str, names: Column, renamed: Column) -> Column:
     """Rewrite ``name(`` to ``renamed(`` for parallel arrays of call names."""
     return F.aggregate(

@@ -21,9 +21,9 @@ from pairforge.operators.candidates import (
     REGEN_NOTHING,
     REGEN_ORIGIN,
     REGEN_REUSED_ORIGIN,
+    clean_candidates,
     first_passing,
     gate_candidates,
-    sanitize,
     with_fallback,
     with_origin,
     with_presets,
@@ -79,7 +79,7 @@ def generation_requests(admitted: DataFrame) -> DataFrame:
 
 def choose_tests(requests: DataFrame, candidates: DataFrame, keys: list[str], mode: str = "base") -> DataFrame:
     """The test of every requested function: first passing candidate, else the fallback."""
-    gated = gate_candidates(sanitize(candidates), mode, "generate")
+    gated = gate_candidates(clean_candidates(candidates), mode, "generate")
     chosen = with_origin(first_passing(gated, [*keys, "func_name"]))
     joined = requests.select(*keys, "pos", "func_name").join(chosen, [*keys, "func_name"], "left")
     return with_fallback(joined)
@@ -122,7 +122,7 @@ def regenerate(
         .alias("previous"),
     )
     keys = [item_id, "func_name"]
-    offered = sanitize(candidates).join(per_function.select(*keys, "previous").dropDuplicates(keys), keys)
+    offered = clean_candidates(candidates).join(per_function.select(*keys, "previous").dropDuplicates(keys), keys)
     compared = with_similarity(offered, "previous", "text").withColumns({
         "_prev": fx.extract_code_facts("previous"), "_cand": fx.extract_code_facts("text"),
     })

@@ -35,8 +35,8 @@ SHELL_SQL = literal_sql(
 
 
 @query(PAIRS_SQL + f"""SELECT pair_id, '# Origin: Beams (multi-function)' || chr(10) ||
-  CASE WHEN pair_id % 3 = 2 THEN 'import pytest' || chr(10) || chr(10) || {FALLBACK_SQL} || chr(10) || chr(10) || {SHELL_SQL}
-    ELSE {TEST_SQL} || chr(10) || chr(10) || 'import pytest' || chr(10) || chr(10) || {SHELL_SQL} END AS generated_tests FROM pairs""")
+  'import pytest' || chr(10) || chr(10) || CASE WHEN pair_id % 3 = 2 THEN {FALLBACK_SQL} ELSE {TEST_SQL} END
+    || chr(10) || chr(10) || {SHELL_SQL} AS generated_tests FROM pairs""")
 def q_choose_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two functions per submission. The first has a passing beam, a passing sample behind a
     failing beam, or only failing candidates; the second has none at all."""
@@ -51,7 +51,7 @@ def q_choose_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_by_submission(chosen, ["pair_id"])
 
 
-@query(PAIRS_SQL + f"""SELECT pair_id AS id, CASE WHEN pair_id % 2 = 0 THEN '# Origin: Regen (sampling)' || chr(10) || 'def test_' || family || '():' || chr(10) ||
+@query(PAIRS_SQL + f"""SELECT pair_id AS id, CASE WHEN pair_id % 2 = 0 THEN '# Origin: Regen (sampling)' || chr(10) || 'import pytest' || chr(10) || chr(10) || 'def test_' || family || '():' || chr(10) ||
     '    assert ' || family || '(100, 7) == 1' || chr(10) || '    assert ' || family || '(55, -66) == 2'
   ELSE '# Origin: Regen (fallback - reused previous)' || chr(10) || {TEST_SQL} END AS generated_tests FROM pairs""")
 def q_regenerate(spark: SparkSession, sf_dir: str) -> DataFrame:

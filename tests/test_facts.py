@@ -9,7 +9,7 @@ from pairforge.functions import facts as fx
 from pairforge.functions import rules as rl
 from pairforge.functions.prompts import generation_prompt
 from pairforge.operators.blocks import merge_snippets, merge_tests, split_tests
-from pairforge.operators.candidates import gate_candidates, rejection_log, sanitize, union_stages
+from pairforge.operators.candidates import clean_candidates, gate_candidates, rejection_log, sanitize, union_stages
 from pairforge.operators.compare import asserts_hold
 from pairforge.operators.ranking import int_bucket
 from pairforge.operators.similarity import (
@@ -155,6 +155,21 @@ def test_sanitize(spark):
     assert got == ["def test_f():\n    assert f('a') == 1", shell, smoke, shell]
 
 
+def test_clean_candidates(spark):
+    raw = [
+        ("add_num", '"assert addnum(1, 2)  ==3\\nassert add_nums( 4,5 ) == 9"'), ("is_even", "def test_X():\n    assert isOdd(3) and isinstance(1, int)"),
+        ("add", "def test_add():\n    assert subtract(1, 2) == add (1)"), ("f", None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(raw)], "i int, func_name string, text string")
+    got = [r["text"] for r in clean_candidates(df).orderBy("i").collect()]
+    assert got == ["import pytest\n\n" + t for t in (
+        "def test_add_num():\n    assert add_num(1, 2) ==3\n    assert add_num( 4,5 ) == 9",
+        "def test_is_even():\n    assert is_even(3) and isinstance(1, int)",
+        "def test_add():\n    assert subtract(1, 2) == add(1)",
+        "def test_f():\n    # fallback: callable smoke test\n    assert callable(f)\n",
+    )]
+
+
 def test_decode_and_read_files(spark, tmp_path):
     (tmp_path / "a.py").write_bytes("é = 1".encode())
     (tmp_path / "b.py").write_bytes(b"caf\xe9 = 1")
@@ -192,9 +207,9 @@ def test_generation_end_to_end(spark):
     candidates = union_stages(beams, samples)
     chosen = choose_tests(requests, candidates, ["id"])
     blocks = {r["id"]: r["generated_tests"] for r in merge_by_submission(chosen, ["id"]).collect()}
-    assert blocks[2] == "# Origin: Beams \n" + good.format("add")
+    assert blocks[2] == "# Origin: Beams \nimport pytest\n\n" + good.format("add")
     assert blocks[1] == (
-        "# Origin: Beams (multi-function)\n" + good.format("add") + "\n\nimport pytest\n\ndef test_sub():\n"
+        "# Origin: Beams (multi-function)\nimport pytest\n\n" + good.format("add") + "\n\ndef test_sub():\n"
         "    # model could not produce a valid passing test yet\n    assert callable(sub)"
     )
     assert "assert callable(harmonic)" in blocks[5]
@@ -215,7 +230,7 @@ def test_regeneration(spark):
         (1, "add", 2, 0, old + "  "), (1, "add", 2, 1, same_args), (1, "add", 2, 2, fresh), (2, "sub", 2, 0, "def test_sub():\n    assert sub(5, 3) == 2"),
     ], "id int, func_name string, stage int, idx int, text string")
     got = {r["id"]: r["generated_tests"] for r in regenerate(items, candidates).collect()}
-    assert got[1] == "# Origin: Regen (sampling)\n" + fresh
+    assert got[1] == "# Origin: Regen (sampling)\nimport pytest\n\n" + fresh
     assert got[2] == "# Origin: Regen (multi-function)\n\n" + old + "\n\ndef test_sub():\n    assert sub(5, 3) == 2"
     assert got[3] == "kept" and got[4].startswith("# Origin: Regen (noop")
 
