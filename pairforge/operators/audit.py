@@ -24,8 +24,8 @@ from pairforge.session import settle
 # def name(params): return left op right, on one line or with an indented body;
 # optional annotations and docstring. Group 3 is the indentation.
 CLOSED_FORM = (
-    r"\A(?:[ \t]*\n)*def[ \t]+([A-Za-z_]\w*)[ \t]*\(([^()]*)\)[ \t]*(?:->[ \t]*[\w.]+[ \t]*)?:"
-    r"(?:[ \t]*|[ \t]*(?:\n[ \t]*)*\n([ \t]+)(?:\"\"\"[^\"]*\"\"\"[ \t]*(?:\n[ \t]*)*\n\3)?)"
+    r"\A(?:[ \t\n]*\n)?def[ \t]+([A-Za-z_]\w*)[ \t]*\(([^()]*)\)[ \t]*(?:->[ \t]*[\w.]+[ \t]*)?:"
+    r"(?:[ \t]*|[ \t\n]*\n([ \t]+)(?:\"\"\"[^\"]*\"\"\"[ \t\n]*\n\3)?)"
     r"return[ \t]+(\(?)[ \t]*([\w.]+)[ \t]*(\*\*|//|[-+*/])[ \t]*([\w.]+)[ \t]*(\)?)\s*\z"
 )
 
