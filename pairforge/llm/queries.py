@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.llm.near_dups import near_duplicates
 from pairforge.llm.substrings import remove_repeats
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Words of each document, numbered over the table in order of (doc_id, position).
 WORDS_SQL = r"""listed AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents)"""
 
 
@@ -47,7 +48,7 @@ gone_lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
 kept AS (
   SELECT l.doc_id, len(l.ws) AS n_words, coalesce(len(g.ps), 0) AS n_removed,
     CASE WHEN g.ps IS NULL THEN l.ws
-      ELSE list_transform(list_filter(range(len(l.ws)), i -> NOT list_contains(g.ps, i)), i -> l.ws[i + 1]) END AS ws
+      ELSE list_transform(list_filter(range(len(l.ws)), lambda i: NOT list_contains(g.ps, i)), lambda i: l.ws[i + 1]) END AS ws
   FROM listed l LEFT JOIN gone_lists g USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(ws, ' '), '')) AS kept_sha256 FROM kept""")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,3 +56,27 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query(r"""WITH RECURSIVE listed AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws]
+      ELSE list_transform(range(len(ws) - 4), lambda i: list_slice(ws, i + 1, i + 5)) END) AS s FROM listed)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id, m.component_id = d.doc_id AS kept
+FROM documents d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id
+LEFT JOIN sizes s ON s.doc_id = d.doc_id""")
+def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets are at least 0.85 alike."""
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
