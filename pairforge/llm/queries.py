@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairforge.llm.near_dups import near_duplicates
 from pairforge.llm.substrings import remove_repeats
+from pairforge.llm.token_files import block_starts, read_token_files, scratch_path, write_token_files
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -80,3 +81,20 @@ LEFT JOIN sizes s ON s.doc_id = d.doc_id""")
 def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets are at least 0.85 alike."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query()
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written in grammar-compressed blocks and read back."""
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), path)
+    docs = read_token_files(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return docs.join(block_starts(spark, path), ["part", "block"]).select(
+        "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
+    )
