@@ -8,9 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.llm.fingerprints import with_edits
+from pairforge.llm.mixing import mix_plan
 from pairforge.llm.near_dups import near_duplicates
+from pairforge.llm.packing import pack
+from pairforge.llm.pii_crf import KINDS, find_personal
+from pairforge.llm.quality_pu import classify, fit, held_out
+from pairforge.llm.rule_votes import base_failed
+from pairforge.llm.rule_votes import judge as judge_rules
 from pairforge.llm.substrings import remove_repeats
 from pairforge.llm.token_files import block_starts, read_token_files, scratch_path, write_token_files
+from pairforge.llm.url_filter import judge as judge_urls
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -98,3 +106,66 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(block_starts(spark, path), ["part", "block"]).select(
         "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a positive-unlabelled classifier."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return classify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
+@query()
+def op2_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and edited texts by consistent weighted sampling."""
+    return with_edits(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every URL: rules, else a regression on character n-grams."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from every document."""
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of every document and the verdict of its posterior."""
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    return judge_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & (F.col("posterior") >= 0.5)).alias("kept"), "posterior",
+    )
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query()
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: patterns and what the random field adds."""
+    base = F.filter("spans", lambda s: s["base"])
+
+    def found(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return find_personal(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[found(kind) for kind in KINDS],
+        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query()
+def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in optimal length buckets and batches of a word budget."""
+    return pack(table(spark, sf_dir, "documents"))
