@@ -24,10 +24,13 @@ from pairforge.llm.common import parts_for, texts
 from pairforge.llm.hashing import Words, batches, utf8, windows
 
 #: Text bytes of a chunk: what one task holds at a time.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 6_000_000
+#: Text bytes whose windows meet in one bucket.
+BUCKET_BYTES = 24_000_000
 _NO_ID = -(2**63)
-#: A block hash travels as six bytes: it only proposes windows, which 128 bits confirm.
+#: A block hash is cut to 48 bits: it only proposes windows, which 96 bits confirm.
 _NARROW = np.uint64(16)
+_HALF = np.uint64(0xFFFFFFFF)
 
 
 def _order(table: pa.Table) -> pa.Table:
@@ -59,14 +62,21 @@ def _hashed(table: pa.Table, *wanted: tuple[int, int]) -> tuple[list[np.ndarray]
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Six low bytes of each value."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Sorted values as steps of as many bytes as the widest needs."""
+    if not len(values):
+        return b""
+    steps = np.diff(values, prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    if not blob:
+        return np.zeros(0, dtype=np.uint64)
+    width = blob[0]
+    out = np.zeros(((len(blob) - 1) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(blob, dtype=np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(out.view("<u8").ravel())
 
 
 def _deal(values: np.ndarray, parts: int) -> list[tuple[int, slice, np.ndarray]]:
@@ -128,7 +138,22 @@ def _match(table: pa.Table) -> pa.Table:
     })
 
 
-_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8")])
+#: A window travels as 96 bits of hash; documents are named once for a run of windows.
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u4")])
+_RUN = np.dtype([("doc", "<i8"), ("n", "<u4")])
+
+
+def _pack_runs(rows: np.ndarray, doc: np.ndarray) -> bytes:
+    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    runs = np.empty(len(begin), dtype=_RUN)
+    runs["doc"], runs["n"] = doc[begin], np.diff(np.append(begin, len(doc)))
+    return np.array([len(runs)], dtype="<u4").tobytes() + runs.tobytes() + rows.tobytes()
+
+
+def _unpack_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, dtype="<u4", count=1)[0])
+    runs = np.frombuffer(blob, dtype=_RUN, count=n, offset=4)
+    return np.frombuffer(blob, dtype=_WINDOW, offset=4 + n * _RUN.itemsize), np.repeat(runs["doc"], runs["n"])
 
 
 def _first_of_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,15 +187,16 @@ def _windows(size: int, block: int, parts: int):
             mark[at10[hit]] = 1
             np.cumsum(mark, out=run_sum[1:])
             near = run_sum[at + size - block + 1] > run_sum[at]
-            a, b, at = a[near], b[near], at[near]
+            a, b, at = a[near], b[near] & _HALF, at[near]
             first = _first_of_each(a, b)
             ids = table["doc_id"].to_pylist()
             doc = np.array([_NO_ID if x is None else x for x in ids], dtype=np.int64)
+            first.sort()  # by document, for runs
             rows = np.empty(len(first), dtype=_WINDOW)
             rows["a"], rows["b"] = a[first], b[first]
-            rows["doc"] = doc[np.searchsorted(offsets, at[first], side="right") - 1]
+            doc = doc[np.searchsorted(offsets, at[first], side="right") - 1]
             for bucket, span, order in _deal(rows["a"], parts):
-                sent[bucket] = rows[order[span]].tobytes()
+                sent[bucket] = _pack_runs(rows[order[span]], doc[order[span]])
         chunk = table["chunk"][0].as_py() if table.num_rows else None
         return pa.table({
             "bucket": pa.array(list(sent), pa.int64()), "chunk": pa.array([chunk] * len(sent), pa.int64()),
@@ -191,10 +217,10 @@ def _starts(offsets: np.ndarray, size: int) -> np.ndarray:
 def _losers(table: pa.Table) -> pa.Table:
     """Windows whose first occurrence lies in another chunk; to each chunk its own."""
     chunks = table["chunk"].to_pylist()
-    pieces = [np.frombuffer(x, dtype=_WINDOW) for x in table["windows"].to_pylist()]
-    rows = np.concatenate(pieces)
-    who = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-    order = np.lexsort((rows["doc"], rows["b"], rows["a"]))
+    pieces = [_unpack_runs(x) for x in table["windows"].to_pylist()]
+    rows, doc = np.concatenate([p for p, _ in pieces]), np.concatenate([d for _, d in pieces])
+    who = np.repeat(np.arange(len(pieces)), [len(p) for p, _ in pieces])
+    order = np.lexsort((doc, rows["b"], rows["a"]))
     rows, who = rows[order], who[order]
     later = np.zeros(len(rows), dtype=bool)
     later[1:] = (rows["a"][1:] == rows["a"][:-1]) & (rows["b"][1:] == rows["b"][:-1])
@@ -218,12 +244,13 @@ def _removed(size: int):
         table = _order(table)
         rows = utf8(table["text"])
         (a, b), offsets, at = _hashed(table, (size, 0), (size, 1))
+        b &= _HALF
         again = np.ones(len(a), dtype=bool)
         again[_first_of_each(a, b)] = False
         pairs = np.empty((sum(map(len, (x for x in answers["a"].to_pylist()))) // 8, 2), dtype=np.uint64)
         if len(pairs):
             pairs[:, 0] = np.frombuffer(b"".join(answers["a"].to_pylist()), dtype="<u8")
-            pairs[:, 1] = np.frombuffer(b"".join(answers["b"].to_pylist()), dtype="<u8")
+            pairs[:, 1] = np.frombuffer(b"".join(answers["b"].to_pylist()), dtype="<u4")
             pairs = pairs[np.argsort(pairs[:, 0])]
             found = np.minimum(np.searchsorted(pairs[:, 0], a), len(pairs) - 1)
             again |= (pairs[found, 0] == a) & (pairs[found, 1] == b)
@@ -254,10 +281,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = CHUNK_B
     earlier: in a smaller doc_id, or earlier in the same document. Everything is judged on the
     input. Null or empty texts have no words; texts shorter than a window keep all. Rows that
     share a doc_id (or have none: they come first) are ordered by text, so of repeated rows one
-    keeps its words. Window sequences are compared by 128-bit hashes."""
+    keeps its words. Window sequences are compared by 96-bit hashes."""
     block = (window + 1) // 2
-    parts = parts_for(docs, chunk_bytes)
-    dealt = texts(docs).withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(parts)))
+    n_chunks = parts_for(docs, chunk_bytes)
+    parts = max(1, n_chunks * chunk_bytes // BUCKET_BYTES)
+    dealt = texts(docs).withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(n_chunks)))
     chunks = dealt.groupBy("chunk")
     anchors = chunks.applyInArrow(_blocks(block, parts), "bucket long, chunk long, anchors binary, probes binary")
     hits = anchors.groupBy("bucket").applyInArrow(_match, "chunk long, hits binary")
