@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pairforge.llm.common import durable, texts
 from pairforge.llm.hashing import Words, batches, mix, utf8, windows
 
-PERMUTATIONS, BITS = 256, 4
+PERMUTATIONS, BITS = 384, 4
 #: A pair at similarity 0.85 shares none of 24 bands of 4 with probability 2e-8; at 0.8, 3e-6.
 BANDS, ROWS = 24, 4
 #: A pair is dropped unconfirmed when its estimate lies this many standard errors too low.
@@ -173,6 +173,8 @@ def _across(percent: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for borders, t in _groups(tables):
             ids, n, comp, sketch = t["id"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sketch"])
+            key = t["key"].to_numpy()
+            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             for begin, end in zip(borders[:-1], borders[1:], strict=True):
                 c = comp[begin:end]
                 if (c == c[0]).all():
@@ -185,6 +187,8 @@ def _across(percent: int):
                     rest = order[k + 1 :]
                     rest = rest[(comp[rest] != comp[x]) & _fits(n[rest], n[x], percent)]
                     rest = rest[agreement(sketch[rest], sketch[x]) >= cut]
+                    # A pair that meets in several bands leaves from the first of them.
+                    rest = rest[bands[x][(bands[rest] == bands[x]).argmax(axis=1)] == key[x]]
                     if len(rest):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.minimum(ids[rest], ids[x])), pa.array(np.maximum(ids[rest], ids[x]))], ["a", "b"]
@@ -261,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     keys = nodes.select("id", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     members = durable(keys.join(shared, "key"))
-    sketches = nodes.select("id", "n", "sketch")
+    sketches = nodes.select("id", "n", "sketch", "bands")
     sets = durable(
         texts(docs).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").mapInArrow(
             _sets(size), "doc_id long, shingles binary"
@@ -290,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     )
     open_keys = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     across = (
-        by_bucket(known.join(open_keys, "key").join(sketches, "id").select("key", "id", "n", "comp", "sketch"))
+        by_bucket(known.join(open_keys, "key").join(sketches, "id").select("key", "id", "n", "comp", "sketch", "bands"))
         .mapInArrow(_across(percent), "a long, b long").distinct()
     )
     star = first.select("a", F.col("component").alias("b"))
