@@ -305,3 +305,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     return rows.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs``, whole rows, with one document of each group left: the one of the smallest
+    doc_id. Of rows that share a doc_id one stays; rows without doc_id all stay."""
+    kept = near_duplicates(docs, percent).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"))
+    left = docs.join(kept.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.union(docs.where("doc_id is null"))
