@@ -110,17 +110,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     plan = mix_plan(docs, weights, epochs, seed).groupBy(named(F.col("doc_id")), F.col("text_hash").alias("_key"), F.col("size").alias("_size")).agg(
         F.sum("taken").alias("_taken")
     )
-    keyed = docs.select("*", named(F.col("doc_id")), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
+    keyed = docs.select(F.struct("*").alias("_row"), named(F.col("doc_id")), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
     once = keyed.join(plan.where("_taken > 0"), ["_id", "_key"]).dropDuplicates(["_id", "_key"])
-    copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    left = (F.col("_taken") % F.col("_size")).cast("int")
+    copies, left = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    none = F.array().cast("array<int>")
     counts = F.concat(
-        F.when(copies > 0, F.array_repeat(F.lit(None).cast("int"), copies)).otherwise(F.array().cast("array<int>")),
-        F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<int>")),
+        F.when(copies > 0, F.array_repeat(F.lit(None).cast("int"), copies)).otherwise(none), F.when(left > 0, F.array(left)).otherwise(none)
     )
-    each = once.withColumn("_words", F.explode(counts))
-    cut = F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.col("_words")), " "))
-    each = each.withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return each.select(*docs.columns)
+    each = once.select("_row", F.explode(counts).alias("_words"))
+    cut = F.array_join(F.slice(words(F.col("_row.text")), 1, F.col("_words")), " ")
+    changed = {"text": cut, "n_chars": F.length(cut).cast("long")}
+
+    def column(name):
+        own = F.col("_row")[name]
+        return F.when(F.col("_words").isNull(), own).otherwise(changed[name]).alias(name) if name in changed else own.alias(name)
+
+    return each.select(*[column(c) for c in docs.columns])

@@ -120,6 +120,15 @@ def _holds(kind: str, match: str) -> bool:
     return 14 <= len(digits) <= 19 and (sum(digits[::-2]) + sum(doubled)) % 10 == 0
 
 
+def _possible(kind: str, match: str) -> bool:
+    """What the field calls a span must at least have the characters of its kind."""
+    if kind == "email":
+        return "@" in match[1:-1]
+    digits = sum(c in "0123456789" for c in match)
+    least, most = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}[kind]
+    return least <= digits <= most and not any(c.isalpha() for c in match)
+
+
 def shape(word: str) -> str:
     """Kinds of characters with run lengths up to four."""
     out = []
@@ -271,7 +280,7 @@ def find(rows: list[str | None], field: Field) -> list[list[tuple[int, int, str,
                 first, last = run[t], run[end - 1]
                 a = first.start() + len(first[0]) - len(first[0].lstrip(_AROUND))
                 b = last.end() - len(last[0]) + len(last[0].rstrip(_AROUND))
-                if a < b and _SIGN.search(rows[i], a, b) and not any(x < b and a < y for x, y in taken):
+                if a < b and _possible(_LABELS[labels[t]], rows[i][a:b]) and not any(x < b and a < y for x, y in taken):
                     found[i].append((a, b, _LABELS[labels[t]], False))
             t = end
     return [sorted(s, key=lambda x: (x[0], KINDS.index(x[2]))) for s in found]
