@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import facts as fx
 from pairforge.functions.constants import FALLBACK_TESTS, PRESETS, PROBES
-from pairforge.functions.literals import is_close
-from pairforge.functions.rules import first_reason, structural_rules, task_kind
+from pairforge.functions.literals import is_close, number
+from pairforge.functions.rules import first_reason, keep_target_asserts, structural_rules, task_kind
 from pairforge.functions.text import (
     as_col,
     clean_layout,
     ensure_import,
+    let,
     smoke_test,
     standardize_test,
     unwrap_quotes,
     wrap_as_test,
 )
+from pairforge.operators.audit import assert_pairs, closed_form_of, verify_pairs
 from pairforge.operators.similarity import rename_calls_to_target
 from pairforge.session import settle
 
@@ -118,6 +120,76 @@ def apply_op(op: Column, a: Column, b: Column) -> Column:
     )
 
 
+# --- truth --------------------------------------------------------------------------------
+
+
+def _value_of(form: Column) -> Callable[[Column, Column], Column]:
+    """The closed form of a function of two parameters as a column of its arguments."""
+
+    def value(a: Column, b: Column) -> Column:
+        def operand(which: Column) -> Column:
+            at = F.array_position(form["params"], which)
+            return F.when(at == 1, a).when(at == 2, b).when(at == 0, which.try_cast("double"))
+
+        return apply_op(form["op"], operand(form["left"]), operand(form["right"]))
+
+    return value
+
+
+def with_forms(functions: DataFrame, code: str = "func_src", name: str = "func_name") -> DataFrame:
+    """Add ``form`` (closed form or NULL) and ``probed``: false where the function has a closed
+    form of two parameters and it fails a probe of the operation it seems to be (``op`` inferred
+    from its code, else its name)."""
+    formed = settle(functions.withColumn("form", closed_form_of(code)), "form")
+    kind = F.coalesce(F.col("op"), F.lower(name)) if "op" in functions.columns else F.lower(name)
+    probed = probe_families(formed.withColumn("_kind", kind), "_kind", _value_of(F.col("form")))
+    known = F.col("form").isNotNull() & (F.size("form.params") == 2)
+    return settle(probed.withColumn("probed", ~known | F.col("passes")).drop("passes", "_kind"), "form", "probed")
+
+
+def truth_reason(text: Column, facts: Column, target: Column, form: Column, probed: Column) -> Column:
+    """Why a test is not known to hold, NULL when every assert of it is proven.
+
+    ``raises``: a call with these arguments fails; ``wrong_value``: a call gives another value
+    than the test says (numbers are compared with tolerance); ``probe_failed``: the function
+    does not do what its operation should; ``unverifiable``: some assert cannot be computed."""
+
+    def body(pairs: Column) -> Column:
+        def wrong(p: Column) -> Column:
+            close = is_close(number(p["value"])["d"], number(p["rhs"])["d"])
+            literal = number(p["rhs"])["d"].isNotNull() | p["rhs"].rlike(r"\A(True|False|None|'[^']*'|\"[^\"]*\")\z")
+            return (p["status"] == "corrected") & literal & ~F.coalesce(close, F.lit(False))
+
+        def open_(p: Column) -> Column:
+            return (p["status"] == "unverifiable") | ((p["status"] == "corrected") & number(p["rhs"])["d"].isNull())
+
+        return (
+            F.when(F.exists(pairs, lambda p: p["status"] == "raises"), "raises")
+            .when(F.exists(pairs, wrong), "wrong_value")
+            .when(~probed, "probe_failed")
+            .when(F.exists(pairs, open_) | (F.size(pairs) != fx.n_asserts(facts)) | (F.size(pairs) == 0), "unverifiable")
+        )
+
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
+    return let(verify_pairs(assert_pairs(flat, target), form), body)
+
+
+def strip_foreign_asserts(df: DataFrame, text: str = "text", target: str = "func_name") -> DataFrame:
+    """Drop module-level asserts that do not call the target, where another one does; without
+    any that does, the text stays and the gate judges it. Only texts with an assert in column
+    0 are parsed."""
+    facts = F.col("_facts")
+    parsed = settle(df.withColumn("_facts", fx.extract_code_facts(F.when(F.col(text).rlike(r"(?m)^assert\b"), F.col(text)))), "_facts")
+    keep = keep_target_asserts(facts, F.col(target))
+    gone = F.array_except(F.transform(F.filter(facts["asserts"], lambda a: a["top_level"]), lambda a: a["src"]), keep)
+    lines = F.aggregate(
+        gone, F.concat(F.lit("\n"), F.col(text), F.lit("\n")),
+        lambda t, src: F.replace(t, F.concat(F.lit("\n"), src, F.lit("\n")), F.lit("\n")),
+    )
+    cut = F.when(F.size(gone) > 0, F.regexp_replace(lines, r"\A\n|\n\z", "")).otherwise(F.col(text))
+    return settle(parsed.withColumn(text, cut).drop("_facts"), text)
+
+
 # --- candidates -------------------------------------------------------------------------
 
 
@@ -147,12 +219,22 @@ def union_stages(*stages: DataFrame) -> DataFrame:
 
 
 def gate_candidates(candidates: DataFrame, mode: str = "base", flow: str = "generate",
-                    text: str = "text", target: str = "func_name", **limits) -> DataFrame:
-    """Add ``reason`` (NULL = passes): the first structural rule a candidate breaks."""
+                    text: str = "text", target: str = "func_name", unverifiable: str = "refuse", **limits) -> DataFrame:
+    """Add ``reason`` (NULL = passes): the first structural rule a candidate breaks, then, where
+    the frame has ``form`` and ``probed`` of the function (:func:`with_forms`), why it is not
+    true. Tests whose asserts cannot be computed are refused as ``unverifiable``, or pass with
+    ``unverifiable="accept"``."""
+    if unverifiable not in ("refuse", "accept"):
+        raise ValueError(f"unverifiable is 'refuse' or 'accept', not {unverifiable!r}")
     facts = F.col("_facts")
-    rules = structural_rules(F.col(text), facts, F.col(target), mode, flow, **limits)
-    gated = candidates.withColumn("_facts", fx.extract_code_facts(text)).withColumn("reason", first_reason(rules))
-    return settle(gated.drop("_facts"), "reason")
+    reason = first_reason(structural_rules(F.col(text), facts, F.col(target), mode, flow, **limits))
+    parsed = settle(candidates.withColumn("_facts", fx.extract_code_facts(text)), "_facts")
+    gated = settle(parsed.withColumn("reason", reason), "reason")
+    if "form" in candidates.columns:
+        truth = truth_reason(F.col(text), facts, F.col(target), F.col("form"), F.col("probed"))
+        truth = truth if unverifiable == "refuse" else F.nullif(truth, F.lit("unverifiable"))
+        gated = settle(gated.withColumn("reason", F.coalesce("reason", truth)), "reason")
+    return gated.drop("_facts")
 
 
 def first_passing(gated: DataFrame, targets: list[str], text: str = "text") -> DataFrame:

@@ -24,7 +24,9 @@ from pairforge.operators.candidates import (
     clean_candidates,
     first_passing,
     gate_candidates,
+    strip_foreign_asserts,
     with_fallback,
+    with_forms,
     with_origin,
     with_presets,
 )
@@ -77,9 +79,18 @@ def generation_requests(admitted: DataFrame) -> DataFrame:
     )
 
 
-def choose_tests(requests: DataFrame, candidates: DataFrame, keys: list[str], mode: str = "base") -> DataFrame:
-    """The test of every requested function: first passing candidate, else the fallback."""
-    gated = gate_candidates(clean_candidates(candidates), mode, "generate")
+def choose_tests(
+    requests: DataFrame, candidates: DataFrame, keys: list[str], mode: str = "base", unverifiable: str = "refuse"
+) -> DataFrame:
+    """The test of every requested function: the first candidate that passes the structural
+    rules and is true, else the fallback. ``unverifiable="accept"`` also takes tests that
+    cannot be computed from a closed form."""
+    named = [*keys, "func_name"]
+    cleaned = clean_candidates(candidates)
+    if mode != "edge":
+        cleaned = strip_foreign_asserts(cleaned)
+    forms = with_forms(requests).select(*named, "form", "probed").dropDuplicates(named)
+    gated = gate_candidates(cleaned.join(forms, named), mode, "generate", unverifiable=unverifiable)
     chosen = with_origin(first_passing(gated, [*keys, "func_name"]))
     joined = requests.select(*keys, "pos", "func_name").join(chosen, [*keys, "func_name"], "left")
     return with_fallback(joined)
@@ -102,33 +113,35 @@ def merge_by_submission(tests: DataFrame, keys: list[str], origin: str = GENERAT
 
 def regenerate(
     items: DataFrame, candidates: DataFrame, item_id: str = "id", code: str = "source_code",
-    tests: str = "generated_tests", mode: str = "base",
+    tests: str = "generated_tests", mode: str = "base", unverifiable: str = "refuse",
 ) -> DataFrame:
     """New block per item from sampled candidates (``item_id``, ``func_name``, ``stage``,
     ``idx``, ``text``). A candidate too close to the earlier test, or calling the target
-    with the same arguments, is refused; without any, the earlier test stays."""
-    parsed = items.select(item_id, F.col(code).alias("code"), F.coalesce(tests, F.lit("")).alias("block")).withColumn(
+    with the same arguments, or not true (see :func:`choose_tests`), is refused; without any
+    left, the earlier test stays."""
+    parsed = settle(items.select(item_id, F.col(code).alias("code"), F.coalesce(tests, F.lit("")).alias("block")).withColumn(
         "facts", fx.extract_code_facts("code")
-    )
+    ), "facts")
     # With several functions each one meets its own slice of the earlier block.
     names = fx.function_names(F.col("facts"))
     sliced = parsed.withColumn("n_functions", F.size(names)).withColumn(
         "slices", F.when(F.size(names) > 1, split_tests("block", names))
     )
     per_function = functions(sliced.filter(F.col("n_functions") > 0)).select(
-        item_id, "pos", "func_name", "n_functions",
+        item_id, "pos", "func_name", "n_functions", "func_src", "op",
         F.when(F.col("n_functions") > 1, previous_test(F.col("slices"), "func_name"))
         .otherwise(F.col("block"))
         .alias("previous"),
     )
     keys = [item_id, "func_name"]
-    offered = clean_candidates(candidates).join(per_function.select(*keys, "previous").dropDuplicates(keys), keys)
-    compared = with_similarity(offered, "previous", "text").withColumns({
-        "_prev": fx.extract_code_facts("previous"), "_cand": fx.extract_code_facts("text"),
-    })
+    # What belongs to the function is computed once for it, not once a candidate.
+    known = with_forms(per_function.dropDuplicates(keys).withColumn("_prev", fx.extract_code_facts("previous")))
+    known = settle(known.select(*keys, "previous", "_prev", "form", "probed"), "_prev")
+    offered = strip_foreign_asserts(clean_candidates(candidates)).join(known, keys)
+    compared = settle(with_similarity(offered, "previous", "text").withColumn("_cand", fx.extract_code_facts("text")), "_cand")
     same_args = same_call_args(F.col("_prev"), F.col("_cand"), F.col("func_name"))
     compared = compared.withColumn("_same_args", same_args).drop("_prev", "_cand")
-    gated = gate_candidates(compared, mode, "regenerate")
+    gated = gate_candidates(compared, mode, "regenerate", unverifiable=unverifiable)
     gated = gated.withColumn(
         "reason",
         F.when(F.col("reason") == "syntax", "syntax")
