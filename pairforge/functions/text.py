@@ -217,13 +217,18 @@ def smoke_test(name: Column | str) -> Column:
 # --- names and titles -----------------------------------------------------------
 
 
+# How a function is found in text. Word characters and blanks are Unicode's.
+DEF_NAME = r"(?U)def\s+([a-zA-Z_]\w*)\s*\("
+DEF_LINE = r"(?mU)^def\s+([a-zA-Z_]\w*)\s*\("
+
+
 def def_name(c: Column | str) -> Column:
-    return first_match(c, r"def\s+([a-zA-Z_]\w*)\s*\(")
+    return first_match(c, DEF_NAME)
 
 
 def def_names(c: Column | str) -> Column:
     """Names of all ``def`` lines that start in column 0, in order."""
-    return F.regexp_extract_all(as_col(c), F.lit(r"(?m)^def\s+([a-zA-Z_]\w*)\s*\("), F.lit(1))
+    return F.regexp_extract_all(as_col(c), F.lit(DEF_LINE), F.lit(1))
 
 
 def function_name_or_default(c: Column | str, parsed_name: Column | None = None) -> Column:
@@ -304,7 +309,9 @@ def auto_title(title: Column | str, session_id: Column | str, code: Column | str
 
 # --- tokens -----------------------------------------------------------------------
 
-TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
+# A token is a run of letters, marks, digits and underscores, or one other sign.
+WORD_CHARS = r"\p{L}\p{M}\p{N}_"
+TOKEN = rf"[{WORD_CHARS}]+|[^{WORD_CHARS}{SPACE}]"
 
 
 def tokens(c: Column | str) -> Column:
@@ -313,12 +320,20 @@ def tokens(c: Column | str) -> Column:
 
 
 def truncate_tokens(c: Column | str, n: int) -> Column:
-    """struct<text, n_tokens, was_truncated>: the first ``n`` tokens joined by a blank."""
-    def body(toks: Column) -> Column:
+    """struct<text, n_tokens, was_truncated>: the text up to the end of its ``n``-th token,
+    layout and all. A text of at most ``n`` tokens stays byte for byte.
+
+    One bounded pattern reads no further than the cut; only texts shorter than that have
+    their tokens counted."""
+    head = F.regexp_extract(as_col(c), rf"\A(?:[{SPACE}]*+(?:[{WORD_CHARS}]++|[^{WORD_CHARS}{SPACE}])){{{n}}}", 0)
+
+    def body(v: Column) -> Column:
+        full = v["head"] != ""
+        more = full & F.substring(v["text"], F.length(v["head"]) + 1, F.length(v["text"])).rlike(f"[^{SPACE}]")
         return F.struct(
-            F.array_join(F.slice(toks, 1, n), " ").alias("text"),
-            F.least(F.size(toks), F.lit(n)).alias("n_tokens"),
-            (F.size(toks) > n).alias("was_truncated"),
+            F.when(more, v["head"]).otherwise(v["text"]).alias("text"),
+            F.when(full, F.lit(n)).otherwise(F.size(tokens(v["text"]))).alias("n_tokens"),
+            more.alias("was_truncated"),
         )
 
-    return let(tokens(c), body)
+    return let(F.struct(as_col(c).alias("text"), head.alias("head")), body)

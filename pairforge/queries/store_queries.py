@@ -324,8 +324,9 @@ def q_split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 HALF_DAY = 43_200
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, event_type = 'purchase' AS ok,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM (SELECT *, event_type = 'purchase' AS ok FROM (SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN -1 ELSE user_id END AS user_id) FROM events))
+  WHERE event_id % 17 <> 0),
 run AS (
   SELECT user_id, n, event_id, CASE WHEN ok THEN 0 ELSE 1 END AS fails, CASE WHEN ok THEN 0 ELSE t + {HALF_DAY}000000 END AS counter_until,
     CAST(0 AS BIGINT) AS blocked_until, CASE WHEN ok THEN 200 ELSE 401 END AS status FROM e WHERE n = 1
@@ -338,10 +339,13 @@ run AS (
     CASE WHEN e.t < run.blocked_until THEN 429 WHEN e.ok THEN 200
       WHEN (CASE WHEN e.t < run.counter_until THEN run.fails + 1 ELSE 1 END) >= 5 THEN 429 ELSE 401 END
   FROM run JOIN e ON e.user_id = run.user_id AND e.n = run.n + 1)
-SELECT event_id, CAST(status AS INTEGER) AS status, CAST(CASE WHEN status = 401 THEN 5 - fails END AS INTEGER) AS attempts_left FROM run""")
+SELECT event_id, CAST(status AS INTEGER) AS status, CAST(CASE WHEN status = 401 THEN 5 - fails END AS INTEGER) AS attempts_left FROM run
+UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 17 = 0""")
 def q_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 13th event has no key (they are one key), every 17th no time."""
     attempts = table(spark, sf_dir, "events").select(
-        "event_id", "ts", F.col("user_id").cast("string").alias("key"), (F.col("event_type") == "purchase").alias("ok")
+        "event_id", F.when(F.col("event_id") % 17 != 0, F.col("ts")).alias("ts"),
+        F.when(F.col("event_id") % 13 != 0, F.col("user_id").cast("string")).alias("key"), (F.col("event_type") == "purchase").alias("ok"),
     )
     return login_lockout(attempts, row_id="event_id", lockout_seconds=HALF_DAY).select("event_id", "status", "attempts_left")
 

@@ -11,6 +11,7 @@ from pairforge.functions import prompts as pr
 from pairforge.functions import text as tx
 from pairforge.functions.rules import route_prompt
 from pairforge.operators.candidates import sanitize
+from pairforge.operators.training import prepare_training
 from pairforge.queries import query
 from pairforge.queries.tables import LITERAL_SQL, PAIRS_SQL, pairs, table
 from pairforge.session import spread
@@ -250,42 +251,21 @@ def q_regeneration_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("pair_id", "route", pr.regeneration_prompt("route", "family", "input", "output").alias("prompt"))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{tx.TOKEN}') AS xs FROM documents)
-SELECT doc_id, array_to_string(xs[1:512], ' ') AS text, CAST(least(len(xs), 512) AS INTEGER) AS n_tokens, len(xs) > 512 AS was_truncated
+# Tokens with the layout in front of each: joined again, they are the text itself.
+@query(rf"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[{tx.SPACE}]*(?:{tx.TOKEN})') AS xs FROM documents)
+SELECT doc_id, CASE WHEN len(xs) > 512 THEN array_to_string(xs[1:512], '') ELSE text END AS text,
+  CAST(least(len(xs), 512) AS INTEGER) AS n_tokens, len(xs) > 512 AS was_truncated
 FROM t""")
 def q_truncate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in four languages, cut after 512 tokens with their layout kept."""
     cut = documents(spark, sf_dir, tx.truncate_tokens("text", 512).alias("c"))
     return cut.select("doc_id", "c.text", "c.n_tokens", "c.was_truncated")
 
 
-@query(PAIRS_SQL + """SELECT pair_id, CASE pair_id % 4 WHEN 1 THEN 'total' WHEN 2 THEN 'generated' ELSE family END AS name FROM pairs""")
-def q_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("pair_id") % 4
-    code = (
-        F.when(k == 1, "total = 3").when(k == 2, "# nothing").when(k == 3, F.concat("input", F.lit("\n  bad indent")))
-        .otherwise(F.col("input"))
-    )
-    df = pairs(spark, sf_dir).withColumn("code", code)
-    parsed = fx.first_function(fx.extract_code_facts("code"))
-    return df.select("pair_id", tx.function_name_or_default("code", parsed).alias("name"))
-
-
-@query(PAIRS_SQL + """SELECT pair_id, string_split(family || '_tax', '_')[1] AS family, family <> 'is_even' AS arithmetic FROM pairs""")
-def q_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat("family", F.lit("_tax"))
-    return pairs(spark, sf_dir).select(
-        "pair_id", tx.family_of(name).alias("family"), tx.is_arithmetic_family(name).alias("arithmetic")
-    )
-
-
-@query(PAIRS_SQL + """SELECT pair_id, CASE WHEN pair_id % 3 = 0 THEN 'tests_item_' || pair_id || '.py' ELSE 'test_' || family || '.py' END AS file_name FROM pairs""")
-def q_export_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = F.when(F.col("pair_id") % 3 == 0, "assert True").otherwise(F.col("output"))
-    return pairs(spark, sf_dir).select("pair_id", tx.export_name(tests, "pair_id").alias("file_name"))
-
-
-@query()
-def q_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as raw model output; what survives as a test is for the parser to say."""
-    named = documents(spark, sf_dir, F.lit("doc").alias("func_name"), F.concat(F.lit("junk def test_doc():\n    "), "text").alias("text"))
-    return sanitize(named)
+@query(PAIRS_SQL + r"""SELECT pair_id, output AS label,
+  CAST(len(regexp_extract_all(output, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) AS INTEGER) AS label_tokens, false AS was_truncated
+FROM pairs""")
+def q_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of training rows: far below the limit, so each is its output byte for byte."""
+    rows = prepare_training(pairs(spark, sf_dir).withColumn("func_name", F.col("family")))
+    return rows.select("pair_id", "label", "label_tokens", "was_truncated")

@@ -18,9 +18,9 @@ DEFAULTS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Merge session windows before the shuffle, so that a busy key travels as few rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-    # Code texts are short but can reach 200 kB; small Arrow batches keep the
-    # Python side of a task bounded.
+    # Code texts are short but can reach 200 kB: batches for Python are bounded in bytes too.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
 }
 
 
@@ -36,11 +36,11 @@ def get_session(app: str = "pairforge", master: str | None = None, **conf: str)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores, ahead of work
-    that is heavy per row. For plain scans only: a plan with shuffles would run them to
-    answer. A scan with enough partitions is left alone: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Spread a scan over the partitions that ``pairforge.spread`` names in the session, ahead
+    of work that is heavy per row. Not set (the default): no shuffle, the scan's own splits
+    count. For small files of one row group, as in tests and the bench."""
+    parts = df.sparkSession.conf.get("pairforge.spread", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def settle(df: DataFrame, *names: str) -> DataFrame:
@@ -54,8 +54,8 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Only a session in
-    local mode that names none falls back to a temporary folder."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only a session in local mode that
+    names none, as in tests, gets a temporary folder of its own."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:

@@ -25,8 +25,6 @@ ATTEMPTS, LOCKOUT_SECONDS = 5, 300
 OK, WRONG, BLOCKED = 200, 401, 429
 # Lockout periods followed by one task at most (a day at five minutes).
 PIECE_BUCKETS = 288
-# Attempts without a pause that one task follows in one go.
-PIECE_ATTEMPTS = 1_000_000
 
 State = tuple[int, int, int]  # failures, counter expiry, block expiry (microseconds)
 CLEAR: State = (0, 0, 0)
@@ -58,7 +56,7 @@ def bucket_table(staged: DataFrame, key: str, ok: str, ttl: Column) -> DataFrame
     """Per (key, time bucket): first failure and the number of the segment the bucket is in."""
     failed_at = F.when(~F.col(ok), F.col("_us"))
     extremes = staged.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_b")).agg(
-        F.min(failed_at).alias("_first"), F.max(failed_at).alias("_last"), F.count("*").alias("_n")
+        F.min(failed_at).alias("_first"), F.max(failed_at).alias("_last")
     )
     by_time = Window.partitionBy("_key").orderBy("_b")
     previous = F.max("_last").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
@@ -67,11 +65,11 @@ def bucket_table(staged: DataFrame, key: str, ok: str, ttl: Column) -> DataFrame
 
 
 def with_pieces(
-    attempts: DataFrame, key: str, ts: str, ok: str, lockout_seconds: int, piece_buckets: int, piece_attempts: int
+    attempts: DataFrame, key: str, ts: str, ok: str, lockout_seconds: int, piece_buckets: int
 ) -> tuple[DataFrame, DataFrame]:
     """Attempts with ``segment`` (counts pauses of at least one lockout period between
-    failures) and ``piece`` (a stretch of ``piece_buckets`` periods), and the segments worth
-    cutting into pieces: several of them and more than ``piece_attempts`` attempts.
+    failures) and ``piece`` (a stretch of ``piece_buckets`` periods), and the segments that
+    reach over several pieces.
 
     Skew-safe: failures are first reduced to (key, time bucket) extremes. A bucket is one
     lockout period wide, so a pause can only lie between buckets and the ordered window
@@ -91,11 +89,11 @@ def with_pieces(
     )
     long = (
         buckets.select(
-            "_key", "_n", piece.alias("_p"),
+            "_key", piece.alias("_p"),
             F.explode(F.array_distinct(F.array("_segment", F.col("_segment") - F.col("_starts")))).alias("_s"),
         )
-        .groupBy("_key", "_s").agg(F.min("_p").alias("_from"), F.max("_p").alias("_to"), F.sum("_n").alias("_total"))
-        .filter((F.col("_from") < F.col("_to")) & (F.col("_total") > piece_attempts))
+        .groupBy("_key", "_s").agg(F.min("_p").alias("_from"), F.max("_p").alias("_to"))
+        .filter(F.col("_from") < F.col("_to"))
         .select(F.col("_key").alias(key), F.col("_s").alias("segment"))
     )
     return cut, long
@@ -234,33 +232,37 @@ def login_lockout(
     max_failures: int = ATTEMPTS,
     lockout_seconds: int = LOCKOUT_SECONDS,
     piece_buckets: int = PIECE_BUCKETS,
-    piece_attempts: int = PIECE_ATTEMPTS,
 ) -> DataFrame:
     """Add ``status`` (200 / 401 / 429) and ``attempts_left`` to every attempt.
 
     Attempts are followed in time order (``row_id`` breaks ties) as sorted streams with one
-    small state, so no group is held in memory. A stretch without a pause of more than
-    ``piece_attempts`` attempts (a key under attack) is followed in pieces of
-    ``piece_buckets`` lockout periods, from start states found by :func:`start_states`.
-    Whether there are any is looked up in the bucket totals when this is called."""
+    small state, so no group is held in memory. A stretch without a pause that reaches over
+    several pieces of ``piece_buckets`` lockout periods (a key under attack) is followed piece
+    by piece, from start states found by :func:`start_states`; all others start clear.
+
+    Attempts without a key are one key. Attempts without a time cannot be placed: they keep
+    their row, with NULL status and attempts left, and count for nobody."""
     ttl = lockout_seconds * 1_000_000
     columns = attempts.columns
+    untimed = attempts.filter(F.col(ts).isNull()).withColumns({
+        "status": F.lit(None).cast("int"), "attempts_left": F.lit(None).cast("int"),
+    })
+    # Keys as text that is never NULL, so that joins lose no row.
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    attempts, key = attempts.filter(F.col(ts).isNotNull()).withColumn("_who", name), "_who"
     place = [key, "segment", "piece"]
     order = ["_us"] + ([row_id] if row_id else [])
     out = T.StructType(
-        attempts.schema.fields
+        [f for f in attempts.schema.fields if f.name in columns]
         + [T.StructField("status", T.IntegerType()), T.StructField("attempts_left", T.IntegerType())]
     )
-    cut, long = with_pieces(attempts, key, ts, ok, lockout_seconds, piece_buckets, piece_attempts)
-    if long.isEmpty():
-        staged = cut.withColumns({"piece": F.lit(0), **{f.name: F.lit(0).cast("bigint") for f in STATE_FIELDS}})
-    else:
-        marked = cut.join(long.withColumn("_long", F.lit(True)), [key, "segment"], "left")
-        starts = start_states(marked.filter("_long"), key, ok, order, max_failures, ttl, piece_buckets * ttl)
-        staged = (
-            marked.withColumn("piece", F.when(F.col("_long"), F.col("piece")).otherwise(0))
-            .join(starts, place, "left").fillna(0, [f.name for f in STATE_FIELDS])
-        )
+    cut, long = with_pieces(attempts, key, ts, ok, lockout_seconds, piece_buckets)
+    marked = cut.join(long.withColumn("_long", F.lit(True)), [key, "segment"], "left")
+    starts = start_states(marked.filter("_long"), key, ok, order, max_failures, ttl, piece_buckets * ttl)
+    staged = (
+        marked.withColumn("piece", F.when(F.col("_long"), F.col("piece")).otherwise(0))
+        .join(starts, place, "left").fillna(0, [f.name for f in STATE_FIELDS])
+    )
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, CLEAR
@@ -275,7 +277,8 @@ def login_lockout(
                 left.append(remaining)
             yield pdf[columns].assign(status=status, attempts_left=pd.array(left, dtype="Int32"))
 
-    return staged.repartition(*place).sortWithinPartitions(*place, *order).mapInPandas(follow, out)
+    followed = staged.repartition(*place).sortWithinPartitions(*place, *order).mapInPandas(follow, out)
+    return followed.unionByName(untimed)
 
 
 def lockout_stream(

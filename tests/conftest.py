@@ -13,7 +13,7 @@ from pairforge import get_session  # noqa: E402
 def spark():
     session = get_session("tests", "local[4]", **{
         "spark.ui.enabled": "false",
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "4", "pairforge.spread": "4",
         "spark.driver.memory": "4g",
     })
     session.sparkContext.setLogLevel("ERROR")

@@ -70,11 +70,19 @@ def test_pieces_follow_one_timeline(spark, seed, gap, good):
     """Pieces of two lockout periods: nearly every segment is cut, nothing may change."""
     attempts = attack(seed, 700, gap, good)
     want = brute(attempts)
-    assert run(spark, attempts, piece_buckets=2, piece_attempts=0) == want
-    assert run(spark, attempts, piece_buckets=3, piece_attempts=100) == want
+    assert run(spark, attempts, piece_buckets=2) == want
+    assert run(spark, attempts, piece_buckets=3) == want
     assert run(spark, attempts) == want
 
 
+def test_rows_without_key_or_time_stay(spark):
+    attempts = [(None, float(10 * i), False, i) for i in range(6)] + [("a", 5.0, False, 6)]
+    rows = [(k, START + timedelta(seconds=at), good, i) for k, at, good, i in attempts] + [("a", None, False, 7), (None, None, True, 8)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, ok boolean, i int")
+    got = {r["i"]: (r["status"], r["attempts_left"]) for r in login_lockout(df, row_id="i").collect()}
+    assert got == {0: (401, 4), 1: (401, 3), 2: (401, 2), 3: (401, 1), 4: (429, None), 5: (429, None), 6: (401, 4), 7: (None, None), 8: (None, None)}
+
+
 def test_client_key(spark):
     df = spark.createDataFrame(
         [(" Bob ", "1.1.1.1, 2.2.2.2", "9.9.9.9"), ("bob", None, "1.1.1.1"), (None, "", None)], "u string, f string, r string"
