@@ -268,9 +268,18 @@ def audit_summary(audited: DataFrame) -> DataFrame:
 
 
 def partition_check(source: DataFrame, kept: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Lines lost or invented by a split: empty when kept ∪ rejected = source. One
-    signed count per line instead of two set differences."""
-    signed = source.select(F.lit(1).alias("sign"), *source.columns)
-    for part in (kept, rejected):
-        signed = signed.unionByName(part.select(F.lit(-1).alias("sign"), *source.columns))
-    return signed.groupBy(*source.columns).agg(F.sum("sign").alias("balance")).filter("balance <> 0")
+    """Lines lost or invented by a split, with their balance: empty when kept ∪ rejected =
+    source. Signed counts are shuffled by a 128-bit hash of the line; the lines themselves are
+    fetched only for hashes that do not balance."""
+    columns = source.columns
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.select(*columns, F.xxhash64(*columns).alias("_h"), F.xxhash64(F.lit(1), *columns).alias("_g"))
+
+    parts = [(hashed(df), sign) for df, sign in ((source, 1), (kept, -1), (rejected, -1))]
+    signed, lines = None, None
+    for df, sign in parts:
+        one = df.select("_h", "_g", F.lit(sign).alias("_sign"))
+        signed, lines = (one, df) if signed is None else (signed.unionByName(one), lines.unionByName(df))
+    off = signed.groupBy("_h", "_g").agg(F.sum("_sign").alias("balance")).filter("balance <> 0")
+    return lines.join(off, ["_h", "_g"]).dropDuplicates(["_h", "_g"]).select(*columns, "balance")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.prompts import training_prompt
 from pairforge.functions.text import truncate_tokens
+from pairforge.session import cut_lineage
 
 # Token limits of source and target, share and seed of the evaluation set.
 SOURCE_TOKENS, TARGET_TOKENS = 512, 256
@@ -42,6 +43,8 @@ def train_eval_split(df: DataFrame, key: str, share: float = EVAL_SHARE, seed: i
 
 def _digest_at(digests: DataFrame, share: float) -> str:
     """Smallest hex digest with at least ``ceil(share·n)`` digests at or below it."""
+    # Read and hash the corpus once; every step counts the digests alone.
+    digests = cut_lineage(digests)
     total = digests.count()
     wanted = math.ceil(total * share)
     prefix, rest = "", digests

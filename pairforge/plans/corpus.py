@@ -13,11 +13,10 @@ from pairforge.sources.training import read_training, write_training
 
 
 def audit_corpus(spark: SparkSession, path: str, out: str, kind: str = "base", mode: str = "strict") -> DataFrame:
-    """Audit a JSONL corpus into ``out`` and return the audited frame (lazy)."""
+    """Audit a JSONL corpus into ``out`` and return the table it wrote (outcome, reason, raw
+    and kept line): the audit runs once, reports read the table."""
     pairs = read_pairs(spark, path)
-    audited = audit_base(pairs, mode) if kind == "base" else audit_edge(pairs)
-    write_split(audited, out)
-    return audited
+    return write_split(audit_base(pairs, mode) if kind == "base" else audit_edge(pairs), out)
 
 
 def training_tables(spark: SparkSession, cleaned: str, out: str, mode: str = "base", exact: bool = False) -> None:

@@ -298,14 +298,19 @@ def q_similar_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+# A text of n characters and the same with k foreign ones appended have the ratio 2n / (2n + k).
+@query(PAIRS_SQL + r"""SELECT pair_id, pair_id % 30 AS k,
+  pair_id % 30 = 0 OR 2.0 * n / (2.0 * n + pair_id % 30) >= 0.88 AS too_similar
+FROM (SELECT pair_id, length(lower(regexp_replace(trim(output), '\s+', ' ', 'g'))) AS n FROM pairs)""")
 def q_too_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn by turn as above, decided by the exact ratio where the bounds leave it open."""
+    """Each test against itself with 0 to 29 foreign characters: equal keys, pairs that the
+    bounds settle, and (for some 13 of 30) pairs that need the exact ratio."""
     from pairforge.operators.similarity import too_similar
 
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    previous = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("previous"))
-    return too_similar(previous, turns, ["conv_id", "turn"]).select("conv_id", "turn", "too_similar")
+    tests = pairs(spark, sf_dir).select("pair_id", (F.col("pair_id") % 30).alias("k"), "output")
+    longer = tests.select("pair_id", "k", F.concat("output", F.repeat(F.lit("\u00df"), F.col("k").cast("int"))).alias("text"))
+    previous = tests.select("pair_id", F.col("output").alias("previous"))
+    return too_similar(previous, longer, ["pair_id"]).select("pair_id", "k", "too_similar")
 
 
 FUZZY_SQL = """SELECT p_partkey, name, round(2.0 * least(length(name), length(target)) / (length(name) + length(target)), 6) AS by_length

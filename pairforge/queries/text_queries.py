@@ -269,3 +269,51 @@ def q_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of training rows: far below the limit, so each is its output byte for byte."""
     rows = prepare_training(pairs(spark, sf_dir).withColumn("func_name", F.col("family")))
     return rows.select("pair_id", "label", "label_tokens", "was_truncated")
+
+
+@query(PAIRS_SQL + """SELECT pair_id, CASE pair_id % 4 WHEN 1 THEN 'total' WHEN 2 THEN 'generated' ELSE family END AS name FROM pairs""")
+def q_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("pair_id") % 4
+    code = (
+        F.when(k == 1, "total = 3").when(k == 2, "# nothing").when(k == 3, F.concat("input", F.lit("\n  bad indent")))
+        .otherwise(F.col("input"))
+    )
+    df = pairs(spark, sf_dir).withColumn("code", code)
+    parsed = fx.first_function(fx.extract_code_facts("code"))
+    return df.select("pair_id", tx.function_name_or_default("code", parsed).alias("name"))
+
+
+@query(PAIRS_SQL + """SELECT pair_id, string_split(family || '_tax', '_')[1] AS family, family <> 'is_even' AS arithmetic FROM pairs""")
+def q_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("family", F.lit("_tax"))
+    return pairs(spark, sf_dir).select(
+        "pair_id", tx.family_of(name).alias("family"), tx.is_arithmetic_family(name).alias("arithmetic")
+    )
+
+
+@query(PAIRS_SQL + """SELECT pair_id, CASE WHEN pair_id % 3 = 0 THEN 'tests_item_' || pair_id || '.py' ELSE 'test_' || family || '.py' END AS file_name FROM pairs""")
+def q_export_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = F.when(F.col("pair_id") % 3 == 0, "assert True").otherwise(F.col("output"))
+    return pairs(spark, sf_dir).select("pair_id", tx.export_name(tests, "pair_id").alias("file_name"))
+
+
+@query()
+def q_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as raw model output; what survives as a test is for the parser to say."""
+    named = documents(spark, sf_dir, F.lit("doc").alias("func_name"), F.concat(F.lit("junk def test_doc():\n    "), "text").alias("text"))
+    return sanitize(named)
+
+
+@query(PAIRS_SQL + """SELECT pair_id, CASE pair_id % 4 WHEN 0 THEN output WHEN 1 THEN 'def test_' || family || '():' || chr(10) || '    pass'
+  WHEN 2 THEN 'def test_' || family || '():' || chr(10) || '    # fallback: callable smoke test' || chr(10) || '    assert callable(' || family || ')' || chr(10)
+  ELSE output || chr(10) || 'x = 1' END AS text FROM pairs""")
+def q_sanitize_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw output with prose in front of a test, prose alone, a test that does not parse, and
+    a test with more code behind it."""
+    k = F.col("pair_id") % 4
+    raw = (
+        F.when(k == 0, F.concat(F.lit("Here it is: "), "output")).when(k == 1, "no test at all")
+        .when(k == 2, F.concat(F.lit("def test_"), "family", F.lit("():\n    assert (1 =="))).otherwise(F.concat("output", F.lit("\nx = 1")))
+    )
+    df = pairs(spark, sf_dir).select("pair_id", F.col("family").alias("func_name"), raw.alias("text"))
+    return sanitize(df).select("pair_id", "text")

@@ -16,22 +16,23 @@ def kept_line() -> Column:
     return set_fields(F.col("extra"), {"output": F.col("output")})
 
 
-def write_split(audited: DataFrame, path: str, mode: str = "overwrite", batch: int | None = None) -> None:
-    """``<path>/lines/outcome=kept|rejected|quarantined/`` text files in one pass: kept
-    records re-serialised with all their keys, the others as their raw line; plus
-    ``<path>/reasons`` with the raw line, outcome and reason as Parquet.
-
-    ``batch`` adds a ``batch=<n>`` level to both, for a stream that writes one folder per
-    micro-batch. One job per output and no count in between; row order is not kept."""
+def write_split(audited: DataFrame, path: str, mode: str = "overwrite", batch: int | None = None) -> DataFrame:
+    """Write an audited frame once, as ``<path>/audited`` (outcome, reason, raw and the line to
+    keep, Parquet by outcome), and from that table ``<path>/lines/outcome=kept|rejected|
+    quarantined/`` text files: kept records re-serialised with all their keys, the others as
+    their raw line; and ``<path>/reasons`` with raw line, outcome and reason. Returns the table.
+
+    ``batch`` adds a ``batch=<n>`` level to all, for a stream that writes one folder per
+    micro-batch. The audit runs once, with no count in between; row order is not kept."""
     level = "" if batch is None else f"/batch={batch}"
     line = F.when(F.col("outcome") == "kept", kept_line()).otherwise(F.col("raw"))
-    audited.select(line.alias("value"), "outcome").write.mode(mode).partitionBy("outcome").text(path + "/lines" + level)
-    (
-        audited.filter(F.col("outcome") != "kept")
-        .select("raw", "outcome", "reason")
-        .write.mode(mode)
-        .parquet(path + "/reasons" + level)
-    )
+    once = path + "/audited" + level
+    audited.select("raw", "reason", line.alias("value"), "outcome").write.mode(mode).partitionBy("outcome").parquet(once)
+    schema = "raw string, reason string, value string, outcome string"
+    written = audited.sparkSession.read.schema(schema).parquet(once)
+    written.select("value", "outcome").write.mode(mode).partitionBy("outcome").text(path + "/lines" + level)
+    written.filter(F.col("outcome") != "kept").select("raw", "outcome", "reason").write.mode(mode).parquet(path + "/reasons" + level)
+    return written
 
 
 def exported(items: DataFrame) -> DataFrame:
