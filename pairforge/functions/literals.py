@@ -11,6 +11,8 @@ INT_LITERAL = r"\A[-+]?(0+|[1-9][0-9]*)\z"
 FLOAT_LITERAL = r"\A[-+]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?=[eE]))([eE][-+]?[0-9]+)?\z"
 # Integers above this are not exact in a double.
 EXACT_INT = float(2**53)
+# Integers beyond a long are computed as decimals of 38 digits.
+WIDE = "decimal(38,0)"
 # Largest double below 2**63; digits of larger ones are approximate.
 LONG_LIMIT = float(2**63 - 1024)
 
@@ -77,13 +79,30 @@ def format_bool(x: Column | str) -> Column:
 
 
 def number(text: Column) -> Column:
-    """struct<i bigint, d double>: ``i`` is set for int literals only, ``d`` for
-    every numeric literal; both NULL for anything else (or on overflow)."""
+    """struct<i bigint, e decimal(38,0), d double>: ``e`` is set for int literals of up to 38
+    digits, ``i`` for those that fit into a long, ``d`` for every numeric literal; all NULL for
+    anything else (or on overflow)."""
     is_int, is_float = text.rlike(INT_LITERAL), text.rlike(FLOAT_LITERAL)
-    i = F.when(is_int, text.try_cast("bigint"))
     return F.struct(
-        i.alias("i"),
-        F.when(is_int, i.cast("double")).when(is_float, text.try_cast("double")).alias("d"),
+        F.when(is_int, text.try_cast("bigint")).alias("i"),
+        F.when(is_int, text.try_cast(WIDE)).alias("e"),
+        F.when(is_int, text.try_cast(WIDE).cast("double")).when(is_float, text.try_cast("double")).alias("d"),
+    )
+
+
+def _wide_value(op: Column, i: Column, j: Column) -> Column:
+    """``i op j`` for ints of up to 38 digits, exact; NULL beyond."""
+    remainder = F.try_mod(i, j)
+    quotient = F.try_divide(F.try_subtract(i, remainder), j).cast(WIDE)
+    floored = F.when((remainder != 0) & ((remainder < 0) != (j < 0)), F.try_subtract(quotient, F.lit(1)).cast(WIDE)).otherwise(quotient)
+    factors = F.sequence(F.lit(1), j.cast("int"))
+    power = F.aggregate(factors, F.lit(1).cast(WIDE), lambda product, _: F.try_multiply(product, i).cast(WIDE))
+    return (
+        F.when(op == "+", F.try_add(i, j).cast(WIDE))
+        .when(op == "-", F.try_subtract(i, j).cast(WIDE))
+        .when(op == "*", F.try_multiply(i, j).cast(WIDE))
+        .when(op == "//", floored)
+        .when((op == "**") & j.between(1, 126), power)
     )
 
 
@@ -92,13 +111,14 @@ def closed_form(op: Column, x: Column, y: Column) -> Column:
 
     struct<known boolean, raises boolean, text string>. Python rules: ints stay
     ints except under ``/`` and negative powers, ``//`` floors, division by zero and
-    float power overflow raise. Int overflow is unknown, never a wrong value."""
+    float power overflow raise. Ints are exact up to 38 digits and unknown beyond, never wrong."""
     return let(F.struct(op.alias("op"), x.alias("x"), y.alias("y")), _closed_form)
 
 
 def _closed_form(v: Column) -> Column:
     op, i, j, a, b = v["op"], v["x"]["i"], v["y"]["i"], v["x"]["d"], v["y"]["d"]
-    ints = i.isNotNull() & j.isNotNull()
+    wide_i, wide_j = v["x"]["e"], v["y"]["e"]
+    ints = wide_i.isNotNull() & wide_j.isNotNull()
     finite = (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))
     raises = F.coalesce(
         (op.isin("/", "//") & (b == 0))
@@ -132,7 +152,8 @@ def _closed_form(v: Column) -> Column:
     )
     stays_int = ints & (op != "/") & ~((op == "**") & (b < 0))
     known_digits = (F.abs(float_value) <= LONG_LIMIT) | (F.abs(float_value) == float("inf")) | F.isnan(float_value)
-    text = F.when(stays_int, int_value.cast("string")).otherwise(format_literal(F.when(known_digits, float_value)))
+    whole = F.coalesce(int_value.cast("string"), _wide_value(op, wide_i, wide_j).cast("string"))
+    text = F.when(stays_int, whole).otherwise(format_literal(F.when(known_digits, float_value)))
     text = F.when(~raises & a.isNotNull() & b.isNotNull(), text)
 
     def pack(t: Column) -> Column:
