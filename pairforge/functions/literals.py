@@ -74,10 +74,6 @@ def format_literal(x: Column | str, keep_float_zero: bool = True) -> Column:
     return let(as_col(x).cast("double"), body)
 
 
-def format_bool(x: Column | str) -> Column:
-    return F.when(as_col(x), F.lit("True")).otherwise(F.lit("False"))
-
-
 def number(text: Column) -> Column:
     """struct<i bigint, e decimal(38,0), d double>: ``e`` is set for int literals of up to 38
     digits, ``i`` for those that fit into a long, ``d`` for every numeric literal; all NULL for

@@ -11,6 +11,7 @@ from pairforge.operators import store as st
 from pairforge.operators.blocks import merge_tests
 from pairforge.operators.candidates import (
     first_passing,
+    regeneration_budget,
     rejection_counts,
     union_stages,
     with_presets,
@@ -20,6 +21,7 @@ from pairforge.operators.ranking import int_bucket, time_bucket
 from pairforge.operators.training import split_hash, train_eval_split
 from pairforge.queries import query
 from pairforge.queries.tables import table
+from pairforge.sources.source_files import decode_source
 from pairforge.sources.store import with_defaults
 from pairforge.streaming.activity import activity_sessions
 from pairforge.streaming.lockout import login_lockout
@@ -287,6 +289,35 @@ def q_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""SELECT doc_id, CAST(greatest(samples, CASE WHEN kind = 'string' THEN 16 ELSE 8 END) AS INTEGER) AS sample_candidates,
+  CASE WHEN kind = 'string' THEN greatest(temperature, 0.95) ELSE least(temperature, 0.8) END AS temperature,
+  CAST(CASE WHEN kind = 'string' THEN greatest(top_k, 120) ELSE least(top_k, 40) END AS INTEGER) AS top_k
+FROM (SELECT *, doc_id % 20 AS samples, CAST(doc_id % 4 AS DOUBLE) / 4 + 0.5 AS temperature, doc_id % 150 AS top_k FROM ({KIND_SQL}))""")
+def q_regeneration_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling parameters of a regeneration, raised or lowered to what the kind of text needs."""
+    docs = table(spark, sf_dir, "documents").withColumn("kind", rl.task_kind("text"))
+    asked = ((F.col("doc_id") % 20).cast("int"), (F.col("doc_id") % 4) / 4 + 0.5, (F.col("doc_id") % 150).cast("int"))
+    return docs.select("doc_id", regeneration_budget(F.col("kind"), *asked).alias("b")).select(
+        "doc_id", F.col("b.sample_candidates").cast("int").alias("sample_candidates"), "b.temperature", F.col("b.top_k").cast("int").alias("top_k")
+    )
+
+
+@query("""SELECT page_id, CASE WHEN url IS NULL OR NOT (url || CASE WHEN page_id % 3 = 0 THEN '' ELSE '.py' END) LIKE '%.py' THEN 'not_a_py_file'
+  WHEN length(html) * 400 > 524288 THEN 'file_too_large' END AS reason FROM pages""")
+def q_client_file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an upload form refuses: names without the suffix, then sizes above the limit."""
+    name = F.concat("url", F.when(F.col("page_id") % 3 == 0, "").otherwise(".py"))
+    return table(spark, sf_dir, "pages").select("page_id", rl.first_reason(rl.client_file_rules(name, F.length("html") * 400)).alias("reason"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'x' || chr(233) || chr(255) || ' = ' || doc_id END AS code FROM documents""")
+def q_decode_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads as bytes: whole documents in UTF-8, and Latin-1 that is no valid UTF-8."""
+    latin = F.encode(F.concat(F.lit("x\u00e9\u00ff = "), F.col("doc_id").cast("string")), "ISO-8859-1")
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(latin)
+    return table(spark, sf_dir, "documents").select("doc_id", decode_source(content).alias("code"))
+
+
 # --- comparing, splitting --------------------------------------------------------------------
 
 

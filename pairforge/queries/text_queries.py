@@ -317,3 +317,14 @@ def q_sanitize_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     df = pairs(spark, sf_dir).select("pair_id", F.col("family").alias("func_name"), raw.alias("text"))
     return sanitize(df).select("pair_id", "text")
+
+
+@query(PAIRS_SQL + """SELECT pair_id, CASE WHEN pair_id % 3 = 2 THEN NULL ELSE 'año_' || family END AS first_name,
+  CASE WHEN pair_id % 3 = 2 THEN 0 ELSE 2 END AS n_names FROM pairs""")
+def q_unicode_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function names beyond ASCII are names; text without a definition has none."""
+    code = F.when(F.col("pair_id") % 3 == 2, "x = 1").otherwise(
+        F.concat(F.lit("def a\u00f1o_"), "family", F.lit("(a):\n    return a\n\ndef\u00a0z\u00fcrich (b):\n    return b\n"))
+    )
+    df = pairs(spark, sf_dir).withColumn("code", code)
+    return df.select("pair_id", tx.def_name("code").alias("first_name"), F.size(tx.def_names("code")).alias("n_names"))
