@@ -108,7 +108,8 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     doc_id come first. A single document is its own next."""
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(key.alias("key"), F.col("doc_id").isNull().alias("no_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    # Both uses of a text below read these three columns, so that it is shuffled once.
+    rows = docs.select(key.alias("key"), text.alias("text"), F.xxhash64(text).alias("h"))
     # Who follows whom: ids alone, in ranges, and one row per range for what lies across.
     ids = durable(
         docs.select(key.alias("key"), F.floor(F.length(text) / 2).cast("int").alias("half")).groupBy("key").agg(F.max("half").alias("half"))
@@ -124,7 +125,7 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         "key", F.coalesce("before", "last").alias("before")
     ).select("key", F.col("before.key").alias("before"), F.col("before.half").alias("take"))
     own = rows.repartition("key").groupBy("key", "h").agg(
-        F.first("text").alias("text"), F.first("no_id").alias("no_id"), F.count("*").alias("copies")
+        F.first("text").alias("text"), F.count("*").alias("copies")
     )
     known = own.join(before, "key")
     heads = known.select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("take")).alias("head"), "h").groupBy("key").agg(
@@ -133,10 +134,10 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     both = known.join(heads, "key").select(
-        "key", "h", "no_id", "copies", n.cast("long").alias("n_chars"), "text",
+        "key", "h", "copies", n.cast("long").alias("n_chars"), "text",
         F.substring(F.col("text"), F.lit(1), n - half).alias("left"), F.substring(F.col("head"), F.lit(1), half).alias("head"),
     )
-    details = both.select("key", "h", "no_id", "copies", "n_chars", F.sha2(F.concat("left", "head"), 256).alias("edited_sha256"))
+    details = both.select("key", "h", "copies", "n_chars", F.sha2(F.concat("left", "head"), 256).alias("edited_sha256"))
     # Words before the last space of the part that stays are in both texts; the others differ.
     core = F.regexp_extract("left", f"(?s)^.*{SPACE}", 0)
     parts = both.select("key", "h", core.alias("core"), "text", "left", "head")
@@ -154,7 +155,7 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     joined = durable(details.join(found, ["key", "h"], "left"))
     following = joined.join(before, "key").groupBy(F.col("before").alias("key")).agg(F.min_by("plain", "h").alias("next"))
     return joined.join(following, "key").select(
-        F.when(~F.col("no_id"), F.col("key")).alias("doc_id"), "n_chars", "edited_sha256",
+        F.nullif(F.col("key"), F.lit(-(2**63))).alias("doc_id"), "n_chars", "edited_sha256",
         written(F.col("plain")).alias("fingerprint"), written(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("plain"), F.col("edited")).alias("near_edited"), likeness(F.col("plain"), F.col("next")).alias("near_next"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),

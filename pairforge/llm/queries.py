@@ -48,10 +48,10 @@ WORDS_SQL = r"""listed AS (
 
 @query(rf"""WITH {WORDS_SQL},
 starts AS (
-  SELECT doc_id, ws, unnest(range(len(ws) - 19)) AS p FROM listed WHERE len(ws) >= 20),
-windows AS (
-  SELECT doc_id, p, row_number() OVER (PARTITION BY list_slice(ws, p + 1, p + 20) ORDER BY doc_id, p) AS nth
-  FROM starts),
+  SELECT doc_id, unnest(range(len(ws) - 19)) AS p,
+    unnest(list_transform(range(len(ws) - 19), lambda i: array_to_string(list_slice(ws, i + 1, i + 20), ' '))) AS w
+  FROM listed WHERE len(ws) >= 20),
+windows AS (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS nth FROM starts),
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM windows WHERE nth > 1),
 gone_lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
 kept AS (
