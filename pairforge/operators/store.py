@@ -45,13 +45,14 @@ def sessions_with_items(
         .agg(F.array_sort(F.collect_list(F.struct("_position", *fields))).alias("items"))
         .withColumn("items", F.transform("items", lambda i: F.struct(*[i[f].alias(f) for f in fields])))
     )
+    # The pages of one session can be split over tasks in an inner join, not as the right side
+    # of a left one; sessions without items come by an anti join.
+    columns = [*sessions.columns, "page", "items"]
+    found = pages.join(sessions, F.col(session_id) == F.col("_session")).select(*columns)
+    used = items.select(F.col(item_session).alias("_session")).distinct()
+    unused = sessions.join(used, F.col(session_id) == F.col("_session"), "left_anti")
     empty = F.array().cast(pages.schema["items"].dataType)
-    return (
-        sessions.join(pages, F.col(session_id) == F.col("_session"), "left")
-        .withColumn("page", F.coalesce("page", F.lit(0)))
-        .withColumn("items", F.coalesce("items", empty))
-        .drop("_session")
-    )
+    return found.unionByName(unused.select("*", F.lit(0).cast("bigint").alias("page"), empty.alias("items")))
 
 
 def owned_by(items: DataFrame, sessions: DataFrame, user: Column, item_session: str = "session_id",
