@@ -31,7 +31,9 @@ from pairforge.llm.hashing import Words, batches, pieces_hash, utf8
 from pairforge.session import checkpoint_dir
 
 #: Ids of a block, and text bytes of a range of documents.
-BLOCK_IDS, RANGE_BYTES = 2_000_000, 64_000_000
+BLOCK_IDS, RANGE_BYTES = 1_000_000, 64_000_000
+#: Rows encoded at a time, so that a task holds few texts as Python objects.
+SLICE_ROWS = 1024
 #: Pairs replaced in a round, rounds at most, and occurrences that make a pair frequent.
 PAIRS, ROUNDS, FREQUENT = 2048, 3, 24
 
@@ -263,7 +265,8 @@ def _write(encoder: Callable[[], Encoder], end_id: int, block_ids: int, how: dic
                 ["part", "block", "n_ids", "doc_ids", "payload"],
             )
 
-        for t in tables:
+        slices = (t.slice(at, SLICE_ROWS) for t in tables for at in range(0, t.num_rows, SLICE_ROWS))
+        for t in slices:
             for doc_id, own in zip(t["doc_id"].to_pylist(), encode(utf8(t["text"])), strict=True):
                 names.append(doc_id)
                 ids.append(np.append(own, np.uint32(end_id)))
