@@ -221,14 +221,14 @@ def _confirm(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest id reachable from each id in ``edges`` (a, b): large-star and small-star steps
-    until nothing changes, each written to the shared folder."""
-    def done(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    """Smallest id reachable from each id in ``edges`` (a, b): large-star and small-star steps,
+    each written to the shared folder, until every id points to one root that points nowhere."""
+    def settled(star: DataFrame) -> bool:
+        rows, ids = star.agg(F.count("*"), F.countDistinct("a")).first()
+        return rows == ids and star.join(star.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
 
     star = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = done(star)
-    while True:
+    while not settled(star):
         both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -238,9 +238,7 @@ def components(edges: DataFrame) -> DataFrame:
                 F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
             )).alias("e")).select("e.*").where("a <> b").distinct()
         )
-        before, state = state, done(star)
-        if state == before:
-            return star.groupBy("a").agg(F.min("b").alias("component"))
+    return star.select("a", F.col("b").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -297,10 +295,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         by_bucket(known.join(open_keys, "key").join(sketches, "id").select("key", "id", "n", "comp", "sketch", "bands"))
         .mapInArrow(_across(percent), "a long, b long").distinct()
     )
-    star = first.select("a", F.col("component").alias("b"))
-    final = components(star.union(confirmed(across)))
-    labels = nodes.select("node", "id").join(final, F.col("id") == final.a, "left").select(
-        "node", F.coalesce("component", "id").alias("least")
+    # New links are between components: only those go into the second search.
+    of_a, of_b = first.toDF("a", "ca"), first.toDF("b", "cb")
+    links = confirmed(across).join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")
+    )
+    second = components(links).toDF("old", "new")
+    labels = (
+        nodes.select("node", "id").join(first, F.col("id") == first.a, "left").select("node", F.coalesce("component", "id").alias("old"))
+        .join(second, "old", "left").select("node", F.coalesce("new", "old").alias("least"))
     )
     return rows.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
