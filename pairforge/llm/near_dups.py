@@ -4,11 +4,14 @@ Each document keeps ``PERMUTATIONS`` minima, of which bands of ``ROWS`` make can
 the low ``BITS`` bits of all are packed into a sketch. Equal sets are one node, so copies are
 never paired. Within a bucket of a band:
 
-1. every member meets the bucket's pivot (the member closest to the bucket's majority sketch)
-   and keeps its best pivot, one pair a document; pairs whose estimate, corrected for chance
-   agreement, can reach the threshold are confirmed on the sets, and components formed;
-2. members that are still in different components are compared by bit counts inside the
-   bucket's task, and only pairs that can reach the threshold leave it and are confirmed.
+1. the bucket is dealt by hash of the id into pieces of about ``MEMBERS``. Every member meets
+   its piece's pivot (the member closest to the piece's majority sketch) and keeps its best
+   pivot, one pair a document; pivots of pieces meet in the same way until the bucket has one.
+   Pairs whose estimate, corrected for chance agreement, can reach the threshold are confirmed
+   on the sets, and components formed;
+2. members that are still in different components are compared by bit counts: those outside
+   the bucket's largest component, in pieces, with every slice of the bucket. A task holds one
+   piece and one slice, and only pairs that can reach the threshold leave it and are confirmed.
 
 Links inside a component change nothing, so no pair within it is needed, and the pairs of a
 large group of copies stay linear in its size. Components are found by large-star and
@@ -17,6 +20,7 @@ small-star steps on written tables."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ PERMUTATIONS, BITS = 384, 4
 BANDS, ROWS = 24, 4
 #: A pair is dropped unconfirmed when its estimate lies this many standard errors too low.
 ERRORS = 4.5
+#: Members of a bucket that one group of a task holds, as hashes of ids deal them.
+MEMBERS = 4096
 
 _SEED = np.random.default_rng(20240521)
 _MUL = _SEED.integers(0, 1 << 31, size=(2, PERMUTATIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -118,16 +124,17 @@ def _sketches(size: int):
 
 
 def _groups(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
-    """Whole buckets of a stream that is sorted by key: borders between them, and the rows."""
+    """Whole groups of a stream that is sorted by key and part: borders between them, and the rows."""
     left = None
     for t in tables:
         table = pa.Table.from_batches([t])
         table = table if left is None else pa.concat_tables([left, table])
-        keys = table["key"].to_numpy()
-        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        keys, parts = table["key"].to_numpy(), table["part"].to_numpy()
+        starts = np.flatnonzero((keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])) + 1
+        last = int(starts[-1]) if len(starts) else 0
         left = table.slice(last)
         if last:
-            yield np.concatenate([[0], np.flatnonzero(keys[1:last] != keys[: last - 1]) + 1, [last]]), table.slice(0, last)
+            yield np.concatenate([[0], starts]), table.slice(0, last)
     if left is not None and left.num_rows:
         yield np.array([0, left.num_rows]), left
 
@@ -159,10 +166,10 @@ def _pivots(percent: int):
                     close = votes[digits + places].sum(axis=1)
                     pivot[begin:end] = begin + np.lexsort((ids[begin:end], -close))[0]
             estimate = agreement(sketch, sketch[pivot])
-            keep = (ids != ids[pivot]) & (estimate >= cut) & _fits(n, n[pivot], percent)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[keep]), pa.array(ids[pivot][keep]), pa.array(estimate[keep])], ["a", "b", "estimate"]
-            )
+            # The pivot of a piece stays, as a pair with itself.
+            keep = np.where(ids == ids[pivot], t["pieces"].to_numpy() > 1, (estimate >= cut) & _fits(n, n[pivot], percent))
+            columns = t["key"].to_numpy(), ids, ids[pivot], estimate, t["pieces"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "a", "b", "estimate", "pieces"])
 
     return run
 
@@ -174,18 +181,15 @@ def _across(percent: int):
         for borders, t in _groups(tables):
             ids, n, comp, sketch = t["id"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sketch"])
             key = t["key"].to_numpy()
+            outside, in_piece, in_slice = (t[c].to_numpy() for c in ("outside", "in_piece", "in_slice"))
             bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             for begin, end in zip(borders[:-1], borders[1:], strict=True):
-                c = comp[begin:end]
-                if (c == c[0]).all():
-                    continue
-                # Members of the largest component need no comparison among themselves.
-                kinds, counts = np.unique(c, return_counts=True)
-                large = kinds[np.argmax(counts)]
-                order = begin + np.argsort(c == large, kind="stable")
-                for k, x in enumerate(order[: int((c != large).sum())]):
-                    rest = order[k + 1 :]
-                    rest = rest[(comp[rest] != comp[x]) & _fits(n[rest], n[x], percent)]
+                own = np.arange(begin, end)
+                slice_ = own[in_slice[begin:end]]
+                for x in own[in_piece[begin:end]]:
+                    rest = slice_[comp[slice_] != comp[x]]
+                    # Two members outside the largest component meet twice: the smaller id's piece counts.
+                    rest = rest[(~outside[rest] | (ids[rest] > ids[x])) & _fits(n[rest], n[x], percent)]
                     rest = rest[agreement(sketch[rest], sketch[x]) >= cut]
                     # A pair that meets in several bands leaves from the first of them.
                     rest = rest[bands[x][(bands[rest] == bands[x]).argmax(axis=1)] == key[x]]
@@ -241,12 +245,46 @@ def components(edges: DataFrame) -> DataFrame:
     return star.select("a", F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+def _in_pieces(members: DataFrame, most: int) -> DataFrame:
+    """``members`` (key, id, k of the key) with the number of pieces of the bucket and the
+    member's own, so that a piece has about ``most``."""
+    return members.withColumn("pieces", F.ceil(F.col("k") / most)).withColumn(
+        "part", F.expr("pmod(xxhash64(id), pieces)")
+    ).drop("k")
+
+
+def _piece_by_slice(known: DataFrame, most: int) -> DataFrame:
+    """``known`` (key, id, comp, further columns) of buckets with several components, a row for
+    each (piece, slice) the member is compared in. Slices deal the whole bucket, pieces the
+    members outside its largest component, both about ``most`` at a time."""
+    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "comp")).alias("large"), F.sum("n").alias("k")
+    ).where("large.n < k").select(
+        "key", F.col("large.comp").alias("large"), F.ceil((F.col("k") - F.col("large.n")) / most).alias("pieces"),
+        F.ceil(F.col("k") / most).alias("slices"),
+    )
+    return known.join(sizes, "key").withColumns({
+        "outside": F.col("comp") != F.col("large"),
+        "piece": F.expr("pmod(xxhash64(id, 1), pieces)"), "slice": F.expr("pmod(xxhash64(id), slices)"),
+    }).drop("large")
+
+
+def _spread(known: DataFrame) -> DataFrame:
+    """A row for each pair of a piece and a slice that the member is in one of."""
+    return known.withColumn("e", F.expr("""explode(concat(
+        transform(sequence(0, pieces - 1), p -> struct(slice * pieces + p as part, outside and p = piece as in_piece, true as in_slice)),
+        transform(filter(sequence(0, slices - 1), s -> outside and s <> slice),
+                  s -> struct(s * pieces + piece as part, true as in_piece, false as in_slice))
+    ))""")).select("*", "e.*").drop("e", "piece", "slice", "pieces", "slices")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, most: int = MEMBERS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): ``n_shingles``, ``component_id`` (the smallest doc_id
     reachable over links, itself included) and ``kept`` (it is that document).
 
     A set is the distinct ``size``-word shingles of the text with A-Z lower-cased; fewer words
-    are one shingle. Two documents are linked when 100 * intersection >= percent * union. Null,
+    are one shingle. Tasks hold about ``most`` members of a bucket; results do not depend on it.
+    Two documents are linked when 100 * intersection >= percent * union. Null,
     empty and blank texts have no set and no links. Rows that share a doc_id are one document,
     linked where any of them is; rows without doc_id have no links, no component and are kept."""
     rows = durable(texts(docs).mapInArrow(
@@ -261,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         F.col("doc_id").alias("a"), F.col("id").alias("b")
     )
     keys = nodes.select("id", F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     members = durable(keys.join(shared, "key"))
     sketches = nodes.select("id", "n", "sketch", "bands")
     sets = durable(
@@ -277,22 +315,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
             .select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
         )
 
-    def by_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition("key").sortWithinPartitions("key")
-
-    best = (
-        by_bucket(members.join(sketches, "id").select("key", "id", "n", "sketch"))
-        .mapInArrow(_pivots(percent), "a long, b long, estimate double")
-        .groupBy("a").agg(F.max(F.struct("estimate", -F.col("b"))).alias("best"))
-        .select("a", (-F.col("best.col2")).alias("b"))
-    )
+    def by_group(df: DataFrame) -> DataFrame:
+        return df.repartition("key", "part").sortWithinPartitions("key", "part")
+
+    def met(level: DataFrame) -> DataFrame:
+        own = _in_pieces(level, most).join(sketches, "id").select("key", "part", "pieces", "id", "n", "sketch")
+        return by_group(own).mapInArrow(_pivots(percent), "key long, a long, b long, estimate double, pieces long")
+
+    largest = members.agg(F.max("k")).first()[0] or 0
+    found, between = met(members.where(F.col("k") <= most)), []
+    if largest > most:
+        hot = durable(met(members.where(F.col("k") > most)))
+        found = found.union(hot.where("a <> b"))
+        while largest > most:
+            largest = -(-largest // most)
+            hot = durable(met(hot.where("a = b and pieces > 1").select("key", F.col("a").alias("id"), F.col("pieces").alias("k"))))
+            between.append(hot.where("a <> b").select("a", "b"))
+    best = found.groupBy("a").agg(F.max(F.struct("estimate", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
+    if between:
+        best = reduce(DataFrame.union, between, best).distinct()
     first = components(confirmed(best).union(same_id))
     known = members.join(first, members.id == first.a, "left").select(
         "key", "id", F.coalesce("component", "id").alias("comp")
     )
-    open_keys = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     across = (
-        by_bucket(known.join(open_keys, "key").join(sketches, "id").select("key", "id", "n", "comp", "sketch", "bands"))
+        by_group(_spread(_piece_by_slice(known, most).join(sketches, "id")))
         .mapInArrow(_across(percent), "a long, b long").distinct()
     )
     # New links are between components: only those go into the second search.

@@ -3,6 +3,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from pairforge.llm import near_dups
 from pairforge.llm.near_dups import agreement, components, drop_near_duplicates, minima, near_duplicates, pack, shingle_sets
 from pairforge.llm.substrings import remove_repeats
 
@@ -105,6 +108,39 @@ def test_near_duplicates_of_families(spark):
         assert kept.columns == docs.columns
 
 
+def test_near_duplicates_of_cut_buckets(spark):
+    """Buckets of many pieces, piece pivots of several levels, give what whole buckets give."""
+    rng = random.Random(7)
+    rows, i = [], 0
+    for family in range(3):
+        base = [f"f{family}w{rng.randint(0, 5000)}" for _ in range(120)]
+        for _ in range(40):
+            text = list(base)
+            for _ in range(rng.randint(0, 7)):
+                text[rng.randrange(len(text))] = f"e{rng.randint(0, 10**6)}"
+            rows.append((i, " ".join(text)))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 85)
+    for most in (3, 10):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, 85, most=most).collect()} == want
+
+
+def test_no_group_of_a_task_holds_a_whole_hot_bucket(spark):
+    """Both dealings of one bucket of 5,000 members, at about 100 members a group."""
+    members = spark.range(5000).select(F.lit(1).cast("long").alias("key"), "id", F.lit(5000).cast("long").alias("k"))
+    pieces = near_dups._in_pieces(members, 100).groupBy("key", "part").count().collect()
+    assert sum(r["count"] for r in pieces) == 5000 and max(r["count"] for r in pieces) < 200
+    for outside in (1, 300, 4000):  # so many members outside the largest component, each its own
+        known = members.select("key", "id", F.expr(f"if(id < {outside}, id, 9999)").alias("comp"))
+        dealt = near_dups._spread(near_dups._piece_by_slice(known, 100))
+        rows = dealt.groupBy("key", "part").agg(
+            F.count("*").alias("n"), F.sum(F.col("in_slice").cast("long")).alias("s"), F.sum(F.col("in_piece").cast("long")).alias("p")
+        ).collect()
+        assert max(r.n for r in rows) < 400 and max(max(r.s, r.p) for r in rows) < 200
+        assert sum(r.s * r.p for r in rows) == 5000 * outside  # every member meets every one outside
+
+
 def test_near_duplicates_of_nothing(no_docs):
     assert near_duplicates(no_docs).collect() == []
     assert drop_near_duplicates(no_docs).collect() == []
