@@ -3,6 +3,7 @@
 import itertools
 import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -99,6 +100,20 @@ def test_spans(spark, odd_docs, odd_rows, no_docs):
     assert pii_crf.find_personal(no_docs).collect() == []
 
 
+def test_one_long_neighbourhood_does_not_widen_the_others():
+    """Back-pointers of 3,001 neighbourhoods as long as the longest would take 300 MB."""
+    rng = np.random.default_rng(4)
+    field = pii_crf.trained()
+    rows = [rng.integers(0, 4096, (n, 3)).tolist() for n in [4] * 1500 + [20_000] + [5, 2] * 750]
+    tracemalloc.start()
+    got = field.decode(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000 and [len(x) for x in got] == [len(r) for r in rows]
+    for i in (0, 1499, 1500, 1501, 1502, 2999):
+        assert got[i].tolist() == field.decode([rows[i]])[0].tolist()
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(2)
     field = object.__new__(pii_crf.Field)
