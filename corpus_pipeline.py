@@ -51,7 +51,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Three stages are models or samples that SQL does not express; tests compare with brute force.
+#: Three stages are models or samples that SQL does not express. Tests compare single operators with
+#: brute force or labels; rows of the whole chain are not compared with anything.
 ORACLE_SQL = None
 
 
