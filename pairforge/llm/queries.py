@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.llm import lang_pieces
+from pairforge.llm.collocations import collocations
 from pairforge.llm.fingerprints import with_edits
 from pairforge.llm.mixing import mix_plan
 from pairforge.llm.near_dups import near_duplicates
 from pairforge.llm.packing import pack
 from pairforge.llm.pii_crf import KINDS, find_personal
+from pairforge.llm.prefix_trie import prefix_trie
 from pairforge.llm.quality_pu import classify, fit, held_out
 from pairforge.llm.rule_votes import base_failed
 from pairforge.llm.rule_votes import judge as judge_rules
@@ -169,3 +172,76 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in optimal length buckets and batches of a word budget."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a number in decimal, bit by bit.
+CRC32_SQL = """xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda r, b: list_reduce(list_concat([xor(r, b)], range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+
+
+@query(f"""WITH turns AS (
+  SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(t ORDER BY pos) AS ts FROM turns GROUP BY conv_id),
+heads AS (SELECT c AS conv_id, c - c % 5 AS base, {CRC32_SQL} % 9 AS h FROM (SELECT conv_id AS c FROM own)),
+convs AS (
+  SELECT o.conv_id, list_concat(coalesce(b.ts[1:h], []), o.ts[h + 1:]) AS ts
+  FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = heads.base),
+members AS (
+  SELECT conv_id, d AS depth, ts[1:d] AS k FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM convs)),
+nodes AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs FROM members GROUP BY k, depth),
+children AS (SELECT k[1:depth - 1] AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+ends AS (SELECT ts AS k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM convs GROUP BY ts),
+facts AS (
+  SELECT n.k, n.depth, n.conv_id, n.n_convs, p.conv_id AS parent_conv_id, coalesce(c.n, 0) AS n_children, sha256(coalesce(e.ids, '')) AS ends_sha256,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.k[-1].text) END AS saved
+  FROM nodes n LEFT JOIN children c ON c.k = n.k LEFT JOIN ends e ON e.k = n.k
+  LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.k = n.k[1:n.depth - 1]),
+sums AS (
+  SELECT k[1:d] AS k, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT k, saved, n_children, unnest(range(depth + 1)) AS d FROM facts) GROUP BY 1)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM facts f JOIN sums s ON s.k = f.k""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with what its subtree saves."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query(r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, p FROM (
+    SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+listed AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+spans AS (
+  SELECT lang, ws[i:i + m - 1] AS p FROM (
+    SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM listed, (SELECT unnest([1, 2, 3]) AS m))),
+f AS (SELECT lang, p, count(*) AS n FROM spans GROUP BY lang, p),
+sizes AS (SELECT lang, sum(n) AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+candidates AS (SELECT lang, p, n AS a FROM f WHERE len(p) > 1 AND n >= 10),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM candidates),
+scores AS (
+  SELECT c.lang, c.p, c.a, k, x.n AS l, y.n AS r, (1000000::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, p, max(a) AS a FROM (
+    SELECT lang, p[1:2] AS p, a FROM candidates WHERE len(p) = 3 UNION ALL SELECT lang, p[2:3], a FROM candidates WHERE len(p) = 3)
+  GROUP BY lang, p),
+kept AS (
+  SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.a, s.l, s.r, s.score
+  FROM lowest s LEFT JOIN longer g ON g.lang = s.lang AND g.p = s.p WHERE g.a IS NULL OR 100 * g.a < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, sizes.n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of every language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by models of pieces learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.where(F.col("doc_id").isNotNull() & ~lang_pieces.held_out(F.col("doc_id")))
+    return lang_pieces.identify(docs, lang_pieces.fit(learned, _vocabulary("piece_bpe_32k.model")))
