@@ -11,7 +11,9 @@ never paired. Within a bucket of a band:
    on the sets, and components formed;
 2. members that are still in different components are compared by bit counts: those outside
    the bucket's largest component, in pieces, with every slice of the bucket. A task holds one
-   piece and one slice, and only pairs that can reach the threshold leave it and are confirmed.
+   piece and one slice. Members that can reach the threshold with another component meet there
+   once more with their sets: pairs are confirmed inside the task, and only a forest over the
+   components leaves it, never the pairs.
 
 Links inside a component change nothing, so no pair within it is needed, and the pairs of a
 large group of copies stay linear in its size. Components are found by large-star and
@@ -35,8 +37,8 @@ PERMUTATIONS, BITS = 384, 4
 BANDS, ROWS = 24, 4
 #: A pair is dropped unconfirmed when its estimate lies this many standard errors too low.
 ERRORS = 4.5
-#: Members of a bucket that one group of a task holds, as hashes of ids deal them.
-MEMBERS = 4096
+#: Members of a bucket, and shingles of their sets, that one group of a task holds, as hashes of ids deal them.
+MEMBERS, SHINGLES = 4096, 2_000_000
 
 _SEED = np.random.default_rng(20240521)
 _MUL = _SEED.integers(0, 1 << 31, size=(2, PERMUTATIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -174,29 +176,73 @@ def _pivots(percent: int):
     return run
 
 
+def _met(t: pa.Table, begin: int, end: int, cut: float, percent: int):
+    """For each member of a group's piece: its place, and a function that says which of the given
+    places of the slice may be linked with it, by sizes and sketches."""
+    ids, n, sketch, key = t["id"].to_numpy(), t["n"].to_numpy(), _matrix(t["sketch"]), t["key"].to_numpy()
+    outside, in_piece, in_slice = (t[c].to_numpy()[begin:end] for c in ("outside", "in_piece", "in_slice"))
+    bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    slice_ = begin + np.flatnonzero(in_slice)
+    for x in begin + np.flatnonzero(in_piece):
+
+        def alike(rest: np.ndarray, x=x) -> np.ndarray:
+            # Two members outside the largest component meet twice: the smaller id's piece counts.
+            rest = rest[(~outside[rest - begin] | (ids[rest] > ids[x])) & _fits(n[rest], n[x], percent)]
+            rest = rest[agreement(sketch[rest], sketch[x]) >= cut]
+            # A pair that shares several bands is met in the first of them.
+            return rest[bands[x][(bands[rest] == bands[x]).argmax(axis=1)] == key[x]]
+
+        yield x, slice_, alike
+
+
+def _to_compare(percent: int):
+    """Members of each group that may be linked with a member of another component: whole rows."""
+    cut = least_estimate(percent)
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for borders, t in _groups(tables):
+            comp, keep = t["comp"].to_numpy(), np.zeros(t.num_rows, dtype=bool)
+            for begin, end in zip(borders[:-1], borders[1:], strict=True):
+                for x, slice_, alike in _met(t, begin, end, cut, percent):
+                    rest = alike(slice_[comp[slice_] != comp[x]])
+                    keep[rest] = True
+                    keep[x] |= len(rest) > 0
+            yield from t.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
 def _across(percent: int):
+    """Links between components, confirmed on the full sets inside the task: per group a forest
+    over its components, at most one link for each."""
     cut = least_estimate(percent)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for borders, t in _groups(tables):
-            ids, n, comp, sketch = t["id"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sketch"])
-            key = t["key"].to_numpy()
-            outside, in_piece, in_slice = (t[c].to_numpy() for c in ("outside", "in_piece", "in_slice"))
-            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            ids, comp = t["id"].to_numpy(), t["comp"].to_numpy()
+            sizes = np.array([len(s) // 8 for s in t["shingles"].to_pylist()])
+            ends = np.cumsum(sizes)
+            _, shingle = np.unique(np.frombuffer(b"".join(t["shingles"].to_pylist()), dtype="<u8"), return_inverse=True)
+            marked = np.zeros(int(shingle.max()) + 1, dtype=bool)
             for begin, end in zip(borders[:-1], borders[1:], strict=True):
-                own = np.arange(begin, end)
-                slice_ = own[in_slice[begin:end]]
-                for x in own[in_piece[begin:end]]:
-                    rest = slice_[comp[slice_] != comp[x]]
-                    # Two members outside the largest component meet twice: the smaller id's piece counts.
-                    rest = rest[(~outside[rest] | (ids[rest] > ids[x])) & _fits(n[rest], n[x], percent)]
-                    rest = rest[agreement(sketch[rest], sketch[x]) >= cut]
-                    # A pair that meets in several bands leaves from the first of them.
-                    rest = rest[bands[x][(bands[rest] == bands[x]).argmax(axis=1)] == key[x]]
-                    if len(rest):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(ids[rest], ids[x])), pa.array(np.maximum(ids[rest], ids[x]))], ["a", "b"]
-                        )
+                label, links = comp.copy(), []
+                for x, slice_, alike in _met(t, begin, end, cut, percent):
+                    rest = alike(slice_[label[slice_] != label[x]])
+                    if not len(rest):
+                        continue
+                    own = shingle[ends[x] - sizes[x] : ends[x]]
+                    marked[own] = True
+                    offsets = np.cumsum(sizes[rest]) - sizes[rest]
+                    of_rest = np.repeat(ends[rest] - sizes[rest] - offsets, sizes[rest]) + np.arange(int(sizes[rest].sum()))
+                    shared = np.add.reduceat(marked[shingle[of_rest]], offsets, dtype=np.int64)
+                    marked[own] = False
+                    linked = rest[100 * shared >= percent * (sizes[rest] + sizes[x] - shared)]
+                    others, at = np.unique(label[linked], return_index=True)
+                    if len(others):
+                        links += [(ids[x], ids[y]) for y in linked[at]]
+                        label[np.isin(label, others)] = label[x]
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     return run
 
@@ -254,14 +300,15 @@ def _in_pieces(members: DataFrame, most: int) -> DataFrame:
 
 
 def _piece_by_slice(known: DataFrame, most: int) -> DataFrame:
-    """``known`` (key, id, comp, further columns) of buckets with several components, a row for
+    """``known`` (key, id, comp, n, further columns) of buckets with several components, a row for
     each (piece, slice) the member is compared in. Slices deal the whole bucket, pieces the
     members outside its largest component, both about ``most`` at a time."""
-    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max(F.struct("n", "comp")).alias("large"), F.sum("n").alias("k")
-    ).where("large.n < k").select(
-        "key", F.col("large.comp").alias("large"), F.ceil((F.col("k") - F.col("large.n")) / most).alias("pieces"),
-        F.ceil(F.col("k") / most).alias("slices"),
+    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).groupBy("key").agg(
+        F.max(F.struct("members", "comp", "shingles")).alias("large"), F.sum("members").alias("k"), F.sum("shingles").alias("s")
+    ).where("large.members < k").select(
+        "key", F.col("large.comp").alias("large"),
+        F.greatest(F.ceil((F.col("k") - F.col("large.members")) / most), F.ceil((F.col("s") - F.col("large.shingles")) / SHINGLES)).alias("pieces"),
+        F.greatest(F.ceil(F.col("k") / most), F.ceil(F.col("s") / SHINGLES)).alias("slices"),
     )
     return known.join(sizes, "key").withColumns({
         "outside": F.col("comp") != F.col("large"),
@@ -283,7 +330,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, most: int
     reachable over links, itself included) and ``kept`` (it is that document).
 
     A set is the distinct ``size``-word shingles of the text with A-Z lower-cased; fewer words
-    are one shingle. Tasks hold about ``most`` members of a bucket; results do not depend on it.
+    are one shingle. Tasks hold about ``most`` members of a bucket, or ``SHINGLES`` of their shingles,
+    and larger buckets take another plan of pieces; results do not depend on it. An empty table
+    has no rows.
     Two documents are linked when 100 * intersection >= percent * union. Null,
     empty and blank texts have no set and no links. Rows that share a doc_id are one document,
     linked where any of them is; rows without doc_id have no links, no component and are kept."""
@@ -298,7 +347,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, most: int
     same_id = linkable.join(nodes.select("node", "id"), "node").where("doc_id <> id").select(
         F.col("doc_id").alias("a"), F.col("id").alias("b")
     )
-    keys = nodes.select("id", F.explode("bands").alias("key")).distinct()
+    keys = nodes.select("id", "n", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     members = durable(keys.join(shared, "key"))
     sketches = nodes.select("id", "n", "sketch", "bands")
@@ -319,7 +368,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, most: int
         return df.repartition("key", "part").sortWithinPartitions("key", "part")
 
     def met(level: DataFrame) -> DataFrame:
-        own = _in_pieces(level, most).join(sketches, "id").select("key", "part", "pieces", "id", "n", "sketch")
+        own = _in_pieces(level.select("key", "id", "k"), most).join(sketches, "id").select("key", "part", "pieces", "id", "n", "sketch")
         return by_group(own).mapInArrow(_pivots(percent), "key long, a long, b long, estimate double, pieces long")
 
     largest = members.agg(F.max("k")).first()[0] or 0
@@ -336,15 +385,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, most: int
         best = reduce(DataFrame.union, between, best).distinct()
     first = components(confirmed(best).union(same_id))
     known = members.join(first, members.id == first.a, "left").select(
-        "key", "id", F.coalesce("component", "id").alias("comp")
-    )
-    across = (
-        by_group(_spread(_piece_by_slice(known, most).join(sketches, "id")))
-        .mapInArrow(_across(percent), "a long, b long").distinct()
+        "key", "id", "n", F.coalesce("component", "id").alias("comp")
     )
+    dealt = by_group(_spread(_piece_by_slice(known, most).join(sketches.drop("n"), "id")))
+    to_compare = dealt.mapInArrow(_to_compare(percent), dealt.schema)
+    of_set = sets.select(F.col("doc_id").alias("id"), "shingles")
+    across = by_group(to_compare.join(of_set, "id")).mapInArrow(_across(percent), "a long, b long").distinct()
     # New links are between components: only those go into the second search.
     of_a, of_b = first.toDF("a", "ca"), first.toDF("b", "cb")
-    links = confirmed(across).join(of_a, "a", "left").join(of_b, "b", "left").select(
+    links = across.join(of_a, "a", "left").join(of_b, "b", "left").select(
         F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")
     )
     second = components(links).toDF("old", "new")

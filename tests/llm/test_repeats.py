@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pairforge.llm import near_dups
@@ -156,11 +158,50 @@ def test_components_of_chains(spark):
 
 
 def test_agreement_estimates_similarity():
-    import numpy as np
-
     words = [f"w{i}" for i in range(2000)]
     a, b = (next(shingle_sets([" ".join(t).encode()], 5)) for t in (words, words[:1700] + [f"v{i}" for i in range(300)]))
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     x, y = (np.frombuffer(pack(minima(s)), dtype="<u8") for s in (a, b))
     assert abs(agreement(x, y) - true) < 0.1
     assert agreement(x, x) == 1
+
+
+def test_pairs_of_unlike_families_stay_in_the_task(spark, monkeypatch):
+    """Texts that share shingles at 0.75 and are no near duplicates at 0.8: many pairs to compare, few rows."""
+    monkeypatch.setattr(near_dups, "SHINGLES", 20_000)
+    rng = np.random.default_rng(2)
+    common = [f"c{i}" for i in range(300)]
+    rows = [(i, " ".join([*common, *(f"u{i}x{j}" for j in range(int(rng.integers(42, 52))))])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 400, 4)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, most=150).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for w in [x.split()] for j in range(len(w) - 4)} for i, x in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert got == {i: root(i) for i in sets}
+
+
+def test_links_between_components_are_a_forest():
+    """One group of 400 members in components of their own, all linked: 399 links leave the task."""
+    docs = [(" ".join(f"c{i}" for i in range(300)) + f" tail {k}").encode() for k in range(400)]
+    sets = list(shingle_sets(docs, 5))
+    sketches = [pack(minima(s)) for s in sets]
+    n = len(docs)
+    t = pa.table({
+        "key": np.zeros(n, dtype=np.int64), "part": np.zeros(n, dtype=np.int64), "id": np.arange(n), "n": np.array([len(s) for s in sets]),
+        "comp": np.arange(n), "sketch": sketches, "bands": [[0] * near_dups.BANDS] * n, "outside": np.arange(n) > 0,
+        "in_piece": np.arange(n) > 0, "in_slice": np.ones(n, dtype=bool), "shingles": [s.tobytes() for s in sets],
+    })
+    rows = pa.Table.from_batches(list(near_dups._to_compare(80)(iter(t.to_batches()))))
+    assert rows.num_rows == n
+    links = pa.Table.from_batches(list(near_dups._across(80)(iter(rows.to_batches()))))
+    assert links.num_rows == n - 1
