@@ -3,6 +3,7 @@
 import itertools
 import os
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -135,8 +136,44 @@ def test_viterbi_finds_the_best_path():
     ("a.b+c@d-e.f.g, q@r", ["email:0:13"]),
 ])
 def test_patterns(text, want):
-    found = [f"{k}:{a}:{b}" for a, b, k in pii_crf.base_spans(text)]
-    assert [x for x in found if x in want] == want
+    assert [f"{k}:{a}:{b}" for a, b, k in pii_crf.base_spans(text)] == want == plain_spans(text)
+
+
+#: The patterns as they are given.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+            if {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".") if kind == "ip"),
+                "card": 14 <= len(digits) <= 19 and luhn % 10 == 0, "phone": 10 <= len(digits) <= 15}[kind]:
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(out)]
+
+
+def test_patterns_against_plain_ones():
+    rng = np.random.default_rng(5)
+    for alphabet in ("aé@.-+1 ", "12.+- ()@", "0123456789 .-", "a@.b_"):
+        for _ in range(3000):
+            text = "".join(rng.choice(list(alphabet), size=rng.integers(1, 40)))
+            assert [f"{k}:{a}:{b}" for a, b, k in pii_crf.base_spans(text)] == plain_spans(text), text
+
+
+@pytest.mark.parametrize("text", [
+    "from 1.2.3." + "0" * 5000 + "1 at noon", "7" * 1_000_000, "a" * 1_000_000 + " @", "a" * 500_000 + "@" + "b" * 500_000,
+    "call 555-867-5309 or 555-867-5310\n" * 20_000, "a1@" * 100_000,
+], ids=["zeros", "digits", "letters", "halves", "phones", "signs"])
+def test_long_texts_take_time_in_proportion(text):
+    began = time.process_time()
+    (found,) = pii_crf.find([text], pii_crf.trained())
+    assert time.process_time() - began < 12 and all(0 <= a < b <= len(text) for a, b, _, _ in found)
 
 
 def test_urls(spark):
