@@ -28,8 +28,8 @@ from pairforge.llm.common import durable
 from pairforge.llm.hashing import batches, pieces_hash, utf8
 
 #: Suffixes of a group, and text bytes of a block. Groups are about ``MOST_GROUPS`` at most, whose
-#: borders (8 bytes each) every task gets: from 4 * 10**12 words on the budget grows instead.
-BUDGET, BLOCK_BYTES, MOST_GROUPS = 4_000_000, 4_000_000, 1 << 20
+#: borders (8 bytes each) every task gets: from 1.5 * 10**12 words on the budget grows instead.
+BUDGET, BLOCK_BYTES, MOST_GROUPS = 1_500_000, 4_000_000, 1 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09]] = True
@@ -131,6 +131,21 @@ def _rank(parent: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarra
     return number, first
 
 
+def _sums(node: np.ndarray, counts: np.ndarray, n_nodes: int) -> np.ndarray:
+    total = np.zeros(n_nodes, dtype=np.int64)
+    np.add.at(total, node, counts)
+    return total
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers in two bytes each where they fit, else four."""
+    return numbers.astype("<u2" if numbers.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if len(data) == 2 * n else "<u4")
+
+
 def _subtrees(family: int, longest: int, borders: dict, frequent: dict):
     none = np.zeros(0, dtype=np.int64)
 
@@ -171,54 +186,53 @@ def _subtrees(family: int, longest: int, borders: dict, frequent: dict):
                 used, local = np.unique(flat, return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang]), pa.array([int(group[rows_[0]])], pa.int64()), pa.array([words[used].tobytes()], pa.binary()),
-                     pa.array([local.reshape(flat.shape).astype("<u4").tobytes()], pa.binary()),
-                     pa.array([counts[rows_].astype("<u4").tobytes()], pa.binary())],
-                    ["lang", "group", "words", "paths", "counts"],
+                     pa.array([_narrow(local)], pa.binary()), pa.array([_narrow(counts[rows_])], pa.binary()), pa.array([len(rows_)])],
+                    ["lang", "group", "words", "paths", "counts", "size"],
                 )
 
     return run
 
 
 class _Subtree:
-    """Distinct suffixes of a group, merged block by block."""
+    """Distinct suffixes of a group, merged block by block: ``words`` are hashes, a path has a
+    number into them for each level."""
 
     def __init__(self, longest: int):
-        self.longest = longest
-        self.paths, self.counts, self.held, self.size = [], [], 0, 0
+        self.words, self.paths, self.counts = np.zeros(0, dtype=np.uint64), np.zeros((longest, 0), dtype=np.int32), np.zeros(0, dtype=np.int64)
+        self.blocks, self.held = [], 0
 
     def add(self, words: np.ndarray, paths: np.ndarray, counts: np.ndarray) -> None:
-        self.paths.append(words[paths.reshape(self.longest, -1)])
-        self.counts.append(counts.astype(np.int64))
+        self.blocks.append((words, paths.reshape(len(self.paths), -1), counts))
         self.held += len(counts)
-        if self.held > 2 * self.size + 1_000_000:
+        if self.held > len(self.counts) + 500_000:
             self.merge()
 
     def merge(self) -> list[np.ndarray]:
-        """Leaves as one array per level of word hashes; returns the node of each leaf at each level."""
-        flat = np.concatenate(self.paths, axis=1)
-        counts = np.concatenate(self.counts)
-        words, number = np.unique(flat, return_inverse=True)
-        number = number.reshape(flat.shape)
-        node, first = _rank(np.zeros(flat.shape[1], dtype=np.int64), number[0], len(words))
-        nodes = [node]
-        for k in range(1, self.longest):
-            node, first = _rank(node, number[k], len(words))
+        """Put all blocks into one; returns the node of each leaf at each level."""
+        blocks = [(self.words, self.paths, self.counts), *self.blocks]
+        self.blocks, self.held = [], 0
+        self.words, number = np.unique(np.concatenate([w for w, _, _ in blocks]), return_inverse=True)
+        begins = np.cumsum([0, *(len(w) for w, _, _ in blocks)])
+        number = number.astype(np.int32)
+        paths = np.concatenate([number[b : b + len(w)][p] for b, (w, p, _) in zip(begins, blocks, strict=False)], axis=1)
+        counts = np.concatenate([c.astype(np.int64) for _, _, c in blocks])
+        del blocks
+        node, nodes = np.zeros(paths.shape[1], dtype=np.int32), []
+        for level in paths:
+            node, first = _rank(node, level, len(self.words))
+            node = node.astype(np.int32)
             nodes.append(node)
-        total = np.zeros(len(first), dtype=np.int64)
-        np.add.at(total, node, counts)
-        self.paths, self.counts = [flat[:, first]], [total]
-        self.held = self.size = len(first)
+        self.paths, self.counts = paths[:, first], _sums(node, counts, len(first))
         return [n[first] for n in nodes]
 
     def phrases(self, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per level from two words on: word hashes (a column each) and counts of all nodes with at least ``least``."""
-        nodes, leaves, counts = self.merge(), self.paths[0], self.counts[0]
-        for k in range(1, self.longest):
+        nodes = self.merge()
+        for k in range(1, len(nodes)):
             number, first = np.unique(nodes[k], return_index=True)
-            total = np.zeros(int(number[-1]) + 1, dtype=np.int64)
-            np.add.at(total, nodes[k], counts)
-            keep = (total[number] >= least) & (leaves[k, first] != 0)
-            yield leaves[: k + 1, first[keep]], total[number[keep]]
+            total = _sums(nodes[k], self.counts, int(number[-1]) + 1)
+            keep = first[(total[number] >= least) & (self.words[self.paths[k, first]] != 0)]
+            yield self.words[self.paths[: k + 1, keep]], total[nodes[k][keep]]
 
 
 def _phrases(longest: int, least: int):
@@ -236,12 +250,13 @@ def _phrases(longest: int, least: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tree = None, None
         for t in tables:
-            for lang, group, *block in zip(*(t[c].to_pylist() for c in ("lang", "group", "words", "paths", "counts")), strict=True):
+            for i in range(t.num_rows):
+                lang, group, words, paths, counts, size = (t[c][i].as_py() for c in ("lang", "group", "words", "paths", "counts", "size"))
                 if at != (lang, group):
                     if at is not None:
                         yield from out(*at, tree)
                     at, tree = (lang, group), _Subtree(longest)
-                tree.add(*(np.frombuffer(b, dtype=d) for b, d in zip(block, ("<u8", "<u4", "<u4"), strict=True)))
+                tree.add(np.frombuffer(words, dtype="<u8"), _numbers(paths, longest * size), _numbers(counts, size))
         if at is not None:
             yield from out(*at, tree)
 
@@ -251,7 +266,7 @@ def _phrases(longest: int, least: int):
 def phrase_counts(docs: DataFrame, words: DataFrame, family: int, longest: int, least: int, budget: int, most: int) -> DataFrame:
     """``lang``, ``words`` (hashes), ``n`` of every phrase of 2 to ``longest`` words that occurs ``least`` times."""
     borders, frequent = _groups(words, budget, most)
-    blocks = docs.mapInArrow(_subtrees(family, longest, borders, frequent), "lang string, group long, words binary, paths binary, counts binary")
+    blocks = docs.mapInArrow(_subtrees(family, longest, borders, frequent), "lang string, group long, words binary, paths binary, counts binary, size long")
     found = blocks.repartition("lang", "group").sortWithinPartitions("lang", "group").mapInArrow(
         _phrases(longest, least), "lang string, words array<long>, n long"
     )
