@@ -24,11 +24,11 @@ from pairforge.llm.hashing import Words, batches, pieces_hash, utf8
 
 #: Bytes of the longest unit; rounds of expectation-maximisation; least probability of a piece
 #: that is a single byte (any piece: ``FLOOR`` squared), so that no unit underflows.
-UNIT, ROUNDS, FLOOR = 64, 4, 1e-6
+UNIT, ROUNDS, FLOOR = 64, 2, 1e-6
 #: Probabilities are scaled by this factor a byte while they are summed.
 _SCALE = float(np.exp(4.0))
-#: Units that are summed together.
-_TOGETHER = 8192
+#: Units that are summed together; text bytes of a batch; units a task remembers.
+_TOGETHER, _BATCH, _KNOWN = 8192, 1 << 22, 400_000
 
 
 def pieces_of(path: str) -> list[bytes]:
@@ -59,23 +59,35 @@ class Units:
         self.first = np.concatenate([[0], np.cumsum(cuts)])[w.first]
         # Two units are one if 64 bits and the length agree: a clash changes one word's score.
         key = pieces_hash(w.data, starts, ends)
-        _, at, self.of, self.times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        self.key, at, self.of, self.times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         length = ends[at] - starts[at] + 1
         order = np.argsort(-length, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.of, at, self.times, self.length = place[self.of], at[order], self.times[order], length[order]
+        self.of, at, self.times, self.length, self.key = place[self.of], at[order], self.times[order], length[order], self.key[order]
         self.start = np.cumsum(self.length) - self.length
+        self._fill(w.data, starts[at])
+
+    def _fill(self, data: np.ndarray, starts: np.ndarray) -> None:
         inside = np.arange(int(self.length.sum())) - np.repeat(self.start, self.length)
-        self.data = np.where(inside == 0, 0x20, w.data[np.repeat(starts[at], self.length) + np.maximum(inside - 1, 0)]).astype(np.uint8)
+        self.data = np.where(inside == 0, 0x20, data[np.repeat(starts, self.length) + np.maximum(inside - 1, 0)]).astype(np.uint8)
+
+    def only(self, which: np.ndarray) -> Units:
+        """The distinct units at ``which`` (ascending) alone; texts are not kept."""
+        own = object.__new__(Units)
+        own.key, own.length, own.times = self.key[which], self.length[which], self.times[which]
+        own.start = np.cumsum(own.length) - own.length
+        own.data = self.data[np.repeat(self.start[which] - own.start, own.length) + np.arange(int(own.length.sum()))]
+        return own
 
 
 @dataclass
 class Pieces:
-    """Hashes of all pieces, sorted, and how long the longest is."""
+    """Hashes of all pieces, sorted, how long each is, and which upper 20 bits of hashes occur."""
 
     hashes: np.ndarray
     sizes: np.ndarray
+    upper: np.ndarray
 
     @classmethod
     def of(cls, pieces: list[bytes]) -> Pieces:
@@ -86,7 +98,9 @@ class Pieces:
         order = np.argsort(h)
         if (np.diff(h[order]) == 0).any():
             raise ValueError("two pieces share a hash")
-        return cls(h[order], size[order])
+        upper = np.zeros(1 << 20, dtype=bool)
+        upper[h >> np.uint64(44)] = True
+        return cls(h[order], size[order], upper)
 
     def found(self, u: Units, begin: int, end: int) -> list[np.ndarray]:
         """For each length m from 1 on: the piece at every byte of units begin..end - 1 that is m
@@ -99,6 +113,8 @@ class Pieces:
             ids = np.full(len(at), -1, dtype=np.int32)
             fits = np.flatnonzero(at + m <= stop)
             h = pieces_hash(u.data[low:high], fits, fits + m)
+            maybe = np.flatnonzero(self.upper[h >> np.uint64(44)])
+            fits, h = fits[maybe], h[maybe]
             place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             ids[fits] = np.where(self.hashes[place] == h, place, -1)
             out.append(ids)
@@ -134,6 +150,34 @@ def log_probabilities(u: Units, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     return out
 
 
+class Remembered:
+    """Logarithms of units by key, kept from batch to batch of a task; all are forgotten when
+    there are more than ``_KNOWN``."""
+
+    def __init__(self, pieces: Pieces, prob: np.ndarray):
+        self.pieces, self.prob = pieces, prob
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.logs = np.zeros(0, dtype=np.uint64), np.zeros((0, self.prob.shape[1]))
+
+    def of(self, u: Units) -> np.ndarray:
+        """As ``log_probabilities``."""
+        out = np.zeros((len(u.key), self.prob.shape[1]))
+        place = np.minimum(np.searchsorted(self.keys, u.key), max(len(self.keys) - 1, 0))
+        known = self.keys[place] == u.key if len(self.keys) else np.zeros(len(u.key), dtype=bool)
+        out[known] = self.logs[place[known]]
+        new = np.flatnonzero(~known)
+        out[new] = log_probabilities(u.only(new), self.pieces, self.prob)
+        if len(self.keys) + len(new) > _KNOWN:
+            self._forget()
+        if len(new) <= _KNOWN:
+            keys, logs = np.concatenate([self.keys, u.key[new]]), np.concatenate([self.logs, out[new]])
+            order = np.argsort(keys)
+            self.keys, self.logs = keys[order], logs[order]
+        return out
+
+
 def expected_pieces(u: Units, weight: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """Expected number of each piece over all segmentations of the units, each ``weight`` times;
     ``prob`` of one language, scaled."""
@@ -176,12 +220,25 @@ def _scaled(counts: np.ndarray, pieces: Pieces) -> np.ndarray:
     return p / p.sum() * _SCALE**pieces.sizes
 
 
+def _gathered(tables: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows again, about ``rows`` at a time: short loops over many units cost least."""
+    held, size = [], 0
+    for t in tables:
+        held.append(t)
+        size += t.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def _expected(langs: list[str], pieces: Pieces, prob: np.ndarray):
     number = {lang: i for i, lang in enumerate(langs)}
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for t in tables:
+        for t in _gathered(tables, 1 << 16):
             of = np.array([number[x] for x in t["lang"].to_pylist()])
             words, n = utf8(t["word"]), t["n"].to_numpy()
             for lang in np.unique(of):
@@ -189,8 +246,7 @@ def _expected(langs: list[str], pieces: Pieces, prob: np.ndarray):
                 u = Units([words[i] for i in mine])
                 # Every unit of a word counts as often as the word.
                 weight = np.bincount(u.of, weights=np.repeat(n[mine], np.diff(u.first)), minlength=len(u.length))
-                found = expected_pieces(u, weight, pieces, prob[:, lang])
-                total[lang] = total.get(lang, 0) + found
+                total[lang] = total.get(lang, 0) + expected_pieces(u, weight, pieces, prob[:, lang])
         for lang, found in total.items():
             at = np.flatnonzero(found > 0)
             yield pa.RecordBatch.from_arrays(
@@ -241,12 +297,13 @@ def fit(docs: DataFrame, path: str, rounds: int = ROUNDS) -> LangModel:
 
 def _identified(model: LangModel):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered(model.pieces, model.prob)
         for t in tables:
             rows, letters = utf8(t["text"]), t["has_letter"].to_numpy(zero_copy_only=False)
             lang, score = [], []
-            for part in batches(rows):
+            for part in batches(rows, _BATCH):
                 u = Units(rows[part])
-                each = log_probabilities(u, model.pieces, model.prob)[u.of]
+                each = known.of(u)[u.of]
                 sums = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)])
                 total = sums[u.first[1:]] - sums[u.first[:-1]] + model.share
                 best = total.argmax(axis=1)
