@@ -107,6 +107,23 @@ def too_similar(previous: DataFrame, candidates: DataFrame, on: list[str], previ
     return with_similarity(filled, previous_text, candidate_text, threshold)
 
 
+def exact_duplicates(tests: DataFrame, id_column: str = "id", text: str = "text") -> DataFrame:
+    """Per test its group of texts that are equal but for layout, comments and case: ``representative``
+    (the smallest id with the same similarity key) and ``copies`` (tests of the group).
+
+    Groups are found by a 128-bit hash of the key, so no text is shuffled, and a group of any
+    size is one aggregated row that joins back. A null text, or one that holds nothing but comments, is similar to nothing: it
+    is its own representative. Rows without an id belong to a group without being its representative."""
+    key = similarity_key(F.coalesce(F.col(text), F.lit("")))
+    keyed = tests.select(F.col(id_column), F.when(key != "", F.md5(key)).alias("_key"))
+    settled = settle(keyed, "_key")
+    groups = settled.where("_key is not null").groupBy("_key").agg(F.min(id_column).alias("representative"), F.count("*").alias("copies"))
+    return settled.join(groups, "_key", "left").select(
+        id_column, F.when(F.col("_key").isNull(), F.col(id_column)).otherwise(F.col("representative")).alias("representative"),
+        F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
+    )
+
+
 def same_call_args(previous: Column, candidate: Column, name: Column) -> Column:
     """Both tests (facts) call the target with the same multiset of literal arguments."""
 

@@ -103,6 +103,23 @@ def q_similarity_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, tx.similarity_key(commented).alias("key"))
 
 
+KEY_SQL = strip_sql(rf"lower(regexp_replace(list_aggregate(list_filter(list_transform({LINES_SQL.format('t')}, lambda x: {strip_sql('x')}), lambda x: x <> '' AND NOT starts_with(x, '#')), 'string_agg', ' '), '[{SPACE}]+', ' ', 'g'))")
+
+
+@query(rf"""WITH src AS (SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN text
+    WHEN 1 THEN lower(text) ELSE replace(text, chr(10), chr(10) || '# note' || chr(10)) END, '') AS t FROM documents),
+keyed AS (SELECT doc_id, coalesce({KEY_SQL}, '') AS key FROM src),
+grouped AS (SELECT key, min(doc_id) AS first, count(*) AS n FROM keyed WHERE key <> '' GROUP BY key)
+SELECT doc_id, coalesce(first, doc_id) AS representative, coalesce(n, 1) AS copies FROM keyed LEFT JOIN grouped USING (key)""")
+def q_exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are equal but for case, comment lines and blanks."""
+    from pairforge.operators.similarity import exact_duplicates
+
+    noted = F.replace(F.col("text"), F.lit("\n"), F.lit("\n# note\n"))
+    changed = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.lower("text")).otherwise(noted)
+    return exact_duplicates(documents(spark, sf_dir, changed.alias("text")), "doc_id")
+
+
 @query(rf"""WITH s AS (SELECT conv_id, turn, {strip_sql("text")} AS t FROM conversations),
 quoted AS (SELECT conv_id, turn, replace(t, chr(10), '\n') AS t,
   CASE WHEN turn % 3 = 0 THEN '"' WHEN turn % 3 = 1 THEN '\"' ELSE '' END AS q FROM s)

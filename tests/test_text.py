@@ -150,3 +150,14 @@ def test_is_close_and_compare(spark):
         close = math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
         want = [close, not close, a < b and not close, a <= b or close, a > b and not close, a >= b or close]
         assert [row[f"c{i}"] for i in range(6)] == want, row
+
+
+def test_exact_duplicates(spark):
+    from pairforge.operators.similarity import exact_duplicates
+
+    rows = [(1, "def test_a():\n    # why\n    assert a(1) == 2"), (2, "def test_a():\n\tassert  A(1) == 2\n"), (3, "def test_a(): assert a(1) == 3"),
+            (4, None), (5, "# only a comment"), (6, ""), (7, "DEF TEST_A(): assert a(1) == 3"), (7, "def test_a(): assert a(1) == 3"), (None, "x"), (8, "x")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumns({c: F.lit("own") for c in ("copies", "representative")})
+    got = sorted((r.id or 0, r.representative, r.copies) for r in exact_duplicates(df).collect())
+    assert got == [(0, 8, 2), (1, 1, 2), (2, 1, 2), (3, 3, 3), (4, 4, 1), (5, 5, 1), (6, 6, 1), (7, 3, 3), (7, 3, 3), (8, 8, 2)]
+    assert exact_duplicates(df.where("1 = 0")).collect() == []
