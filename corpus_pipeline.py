@@ -39,8 +39,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in length buckets and batches."""
-    return pack(docs)
+    """Pieces of all documents, with their text, in length buckets and batches. Copies the mix
+    made are rows of their own, told apart by ``row``."""
+    return pack(docs, with_text=True)
 
 
 STAGES = [
