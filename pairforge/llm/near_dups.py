@@ -176,35 +176,38 @@ def _pivots(percent: int):
     return run
 
 
-def _met(t: pa.Table, begin: int, end: int, cut: float, percent: int):
-    """For each member of a group's piece: its place, and a function that says which of the given
-    places of the slice may be linked with it, by sizes and sketches."""
-    ids, n, sketch, key = t["id"].to_numpy(), t["n"].to_numpy(), _matrix(t["sketch"]), t["key"].to_numpy()
-    outside, in_piece, in_slice = (t[c].to_numpy()[begin:end] for c in ("outside", "in_piece", "in_slice"))
-    bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    slice_ = begin + np.flatnonzero(in_slice)
-    for x in begin + np.flatnonzero(in_piece):
+class _Members:
+    """Columns of whole groups of members, made once for all groups of a table."""
 
-        def alike(rest: np.ndarray, x=x) -> np.ndarray:
-            # Two members outside the largest component meet twice: the smaller id's piece counts.
-            rest = rest[(~outside[rest - begin] | (ids[rest] > ids[x])) & _fits(n[rest], n[x], percent)]
-            rest = rest[agreement(sketch[rest], sketch[x]) >= cut]
-            # A pair that shares several bands is met in the first of them.
-            return rest[bands[x][(bands[rest] == bands[x]).argmax(axis=1)] == key[x]]
+    def __init__(self, t: pa.Table, percent: int):
+        self.ids, self.n, self.comp, self.key = (t[c].to_numpy() for c in ("id", "n", "comp", "key"))
+        self.outside, self.in_piece, self.in_slice = (t[c].to_numpy() for c in ("outside", "in_piece", "in_slice"))
+        self.sketch = _matrix(t["sketch"])
+        self.bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.percent, self.cut = percent, least_estimate(percent)
 
-        yield x, slice_, alike
+    def group(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the members of a group that its piece and its slice hold."""
+        return begin + np.flatnonzero(self.in_piece[begin:end]), begin + np.flatnonzero(self.in_slice[begin:end])
+
+    def alike(self, x: int, rest: np.ndarray) -> np.ndarray:
+        """Which of ``rest`` may be linked with ``x``, by sizes and sketches."""
+        # Two members outside the largest component meet twice: the smaller id's piece counts.
+        rest = rest[(~self.outside[rest] | (self.ids[rest] > self.ids[x])) & _fits(self.n[rest], self.n[x], self.percent)]
+        rest = rest[agreement(self.sketch[rest], self.sketch[x]) >= self.cut]
+        # A pair that shares several bands is met in the first of them.
+        return rest[self.bands[x][(self.bands[rest] == self.bands[x]).argmax(axis=1)] == self.key[x]]
 
 
 def _to_compare(percent: int):
     """Members of each group that may be linked with a member of another component: whole rows."""
-    cut = least_estimate(percent)
-
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for borders, t in _groups(tables):
-            comp, keep = t["comp"].to_numpy(), np.zeros(t.num_rows, dtype=bool)
+            m, keep = _Members(t, percent), np.zeros(t.num_rows, dtype=bool)
             for begin, end in zip(borders[:-1], borders[1:], strict=True):
-                for x, slice_, alike in _met(t, begin, end, cut, percent):
-                    rest = alike(slice_[comp[slice_] != comp[x]])
+                piece, slice_ = m.group(begin, end)
+                for x in piece:
+                    rest = m.alike(x, slice_[m.comp[slice_] != m.comp[x]])
                     keep[rest] = True
                     keep[x] |= len(rest) > 0
             yield from t.filter(pa.array(keep)).to_batches()
@@ -215,19 +218,19 @@ def _to_compare(percent: int):
 def _across(percent: int):
     """Links between components, confirmed on the full sets inside the task: per group a forest
     over its components, at most one link for each."""
-    cut = least_estimate(percent)
-
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for borders, t in _groups(tables):
-            ids, comp = t["id"].to_numpy(), t["comp"].to_numpy()
+            m = _Members(t, percent)
+            label = m.comp.copy()
             sizes = np.array([len(s) // 8 for s in t["shingles"].to_pylist()])
             ends = np.cumsum(sizes)
             _, shingle = np.unique(np.frombuffer(b"".join(t["shingles"].to_pylist()), dtype="<u8"), return_inverse=True)
             marked = np.zeros(int(shingle.max()) + 1, dtype=bool)
             for begin, end in zip(borders[:-1], borders[1:], strict=True):
-                label, links = comp.copy(), []
-                for x, slice_, alike in _met(t, begin, end, cut, percent):
-                    rest = alike(slice_[label[slice_] != label[x]])
+                links, own_label = [], label[begin:end]
+                piece, slice_ = m.group(begin, end)
+                for x in piece:
+                    rest = m.alike(x, slice_[label[slice_] != label[x]])
                     if not len(rest):
                         continue
                     own = shingle[ends[x] - sizes[x] : ends[x]]
@@ -239,8 +242,8 @@ def _across(percent: int):
                     linked = rest[100 * shared >= percent * (sizes[rest] + sizes[x] - shared)]
                     others, at = np.unique(label[linked], return_index=True)
                     if len(others):
-                        links += [(ids[x], ids[y]) for y in linked[at]]
-                        label[np.isin(label, others)] = label[x]
+                        links += [(m.ids[x], m.ids[y]) for y in linked[at]]
+                        own_label[np.isin(own_label, others)] = label[x]
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
