@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import facts as fx
 from pairforge.functions.literals import closed_form, number
+from pairforge.functions.programmes import values_of
 from pairforge.functions.rules import (
     first_reason,
     has_forbidden_tokens,
@@ -58,7 +59,7 @@ def closed_form_of(source: Column | str) -> Column:
 
 def pair_pattern(name: Column, word_boundary: bool = True) -> Column:
     """Three groups: everything before the value, the arguments, the value."""
-    start = r"(\b" if word_boundary else "("
+    start = r"((?<![\p{L}\p{N}_])" if word_boundary else "("
     return F.concat(F.lit(start), name, F.lit(r"\(([^)]*)\)\s*==\s*)([^\s;]+)"))
 
 
@@ -126,10 +127,41 @@ def verify_pairs(pairs: Column, form: Column) -> Column:
     return F.transform(pairs, check)
 
 
+def settle_open_pairs(df: DataFrame, function: str = "input", name: str = "func_name", pairs: str = "pairs") -> DataFrame:
+    """Values for pairs that :func:`verify_pairs` left unverifiable, where the function is straight
+    arithmetic (:func:`~pairforge.functions.programmes.values_of`). Rows without such a pair send
+    nothing to Python; what stays open stays ``unverifiable``."""
+
+    def is_open(p: Column) -> Column:
+        return p["status"] == "unverifiable"
+
+    calls = F.transform(pairs, lambda p: F.when(is_open(p), F.concat(F.col(name), F.lit("("), p["args"], F.lit(")"))))
+    sent = settle(
+        df.withColumn("_source", F.when(F.exists(pairs, is_open), F.col(function))).withColumn("_calls", F.array(calls)),
+        "_source", "_calls",
+    )
+    valued = settle(sent.withColumn("_values", F.get(values_of("_source", F.col("_calls")), F.lit(0))), "_values")
+
+    def settled(p: Column, v: Column) -> Column:
+        status = (
+            F.when(~F.coalesce(v["status"].isin("ok", "raises"), F.lit(False)), p["status"])
+            .when(v["status"] == "raises", "raises")
+            .when(v["value"] == p["rhs"], "ok")
+            .otherwise("corrected")
+        )
+        return F.struct(
+            p["head"].alias("head"), p["args"].alias("args"), p["rhs"].alias("rhs"), status.alias("status"),
+            F.coalesce(p["value"], v["value"]).alias("value"),
+        )
+
+    known = F.when(F.col("_values").isNull(), F.col(pairs)).otherwise(F.zip_with(pairs, "_values", settled))
+    return valued.withColumn(pairs, known).drop("_source", "_calls", "_values")
+
+
 def with_verified_pairs(df: DataFrame, function: str = "input", test: str = "output", mode: str = "strict") -> DataFrame:
     """Add ``func_name``, ``form`` (closed form or NULL) and ``pairs`` (verified)."""
     flat = F.replace(F.col(test), F.lit("\n"), F.lit(" "))
-    return (
+    verified = (
         df.withColumn("func_name", def_name(function))
         .withColumn("form", closed_form_of(function))
         .withColumn("flat", flat)
@@ -141,6 +173,7 @@ def with_verified_pairs(df: DataFrame, function: str = "input", test: str = "out
             ),
         )
     )
+    return settle_open_pairs(settle(verified, "form", "pairs"), function)
 
 
 def any_status(status: str) -> Column:

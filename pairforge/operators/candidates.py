@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import facts as fx
 from pairforge.functions.constants import FALLBACK_TESTS, PRESETS, PROBES
 from pairforge.functions.literals import is_close, number
+from pairforge.functions.programmes import values_of
 from pairforge.functions.rules import first_reason, keep_target_asserts, structural_rules, task_kind
 from pairforge.functions.text import (
     as_col,
@@ -22,6 +23,7 @@ from pairforge.functions.text import (
     wrap_as_test,
 )
 from pairforge.operators.audit import assert_pairs, closed_form_of, verify_pairs
+from pairforge.operators.compare import asserts_hold
 from pairforge.operators.similarity import rename_calls_to_target
 from pairforge.session import settle
 
@@ -137,14 +139,15 @@ def _value_of(form: Column) -> Callable[[Column, Column], Column]:
 
 
 def with_forms(functions: DataFrame, code: str = "func_src", name: str = "func_name") -> DataFrame:
-    """Add ``form`` (closed form or NULL) and ``probed``: false where the function has a closed
+    """Add ``form`` (closed form or NULL), the code as ``form_src`` and ``probed``: false where the function has a closed
     form of two parameters and it fails a probe of the operation it seems to be (``op`` inferred
     from its code, else its name)."""
     formed = settle(functions.withColumn("form", closed_form_of(code)), "form")
     kind = F.coalesce(F.col("op"), F.lower(name)) if "op" in functions.columns else F.lower(name)
     probed = probe_families(formed.withColumn("_kind", kind), "_kind", _value_of(F.col("form")))
     known = F.col("form").isNotNull() & (F.size("form.params") == 2)
-    return settle(probed.withColumn("probed", ~known | F.col("passes")).drop("passes", "_kind"), "form", "probed")
+    judged = probed.withColumn("probed", ~known | F.col("passes")).withColumn("form_src", F.col(code))
+    return settle(judged.drop("passes", "_kind"), "form", "probed")
 
 
 def truth_reason(text: Column, facts: Column, target: Column, form: Column, probed: Column) -> Column:
@@ -174,6 +177,55 @@ def truth_reason(text: Column, facts: Column, target: Column, form: Column, prob
     return let(verify_pairs(assert_pairs(flat, target), form), body)
 
 
+def values_reason(facts: Column, target: Column, values: Column, probed: Column) -> Column:
+    """:func:`truth_reason` for asserts of any form, once each side is reduced to a value:
+    reversed sides, orders, chains, arithmetic around calls, ``pytest.approx`` with its default
+    tolerance. ``values`` holds, per assert of the facts, the values of its sides. A side that
+    stays open, a block that expects an exception, or a call outside the asserts makes the test
+    ``unverifiable``, unless another assert is known to fail."""
+
+    def one(a: Column, v: Column) -> Column:
+        left, right = F.get(v, F.lit(0)), F.get(v, F.lit(1))
+        near = F.exists(v, lambda s: s["near"])
+        # The tolerance is a share of the side that is marked, 1e-12 at least.
+        actual, expected = (
+            F.when(left["near"], y["exact"]).otherwise(x["exact"]).try_cast("double") for x, y in ((left, right), (right, left))
+        )
+        within = (actual == expected) | (F.abs(actual - expected) <= F.greatest(F.abs(expected) * 1e-6, F.lit(1e-12)))
+        plain = F.struct(a["ops"].alias("ops"), F.transform(v, lambda s: s["exact"]).alias("sides"))
+        # Neither an infinity nor an integer beyond the range of doubles is compared.
+        beyond = F.exists(v, lambda s: s["exact"].startswith("float(") | F.coalesce(F.abs(s["exact"].try_cast("double")) == float("inf"), F.lit(False)))
+        told = (
+            ~F.exists(v, lambda s: s["status"] != "ok")
+            & ~beyond
+            & ~F.array_contains(a["ops"], "other")
+            & (~near | ((F.size(v) == 2) & F.get(a["ops"], F.lit(0)).isin("==", "!=") & ~(left["near"] & right["near"])))
+        )
+        return F.struct(
+            F.exists(v, lambda s: s["status"] == "raises").alias("raises"),
+            told.alias("told"),
+            F.when(near, within == (F.get(a["ops"], F.lit(0)) == "==")).otherwise(asserts_hold(F.array(plain))).alias("holds"),
+        )
+
+    def mine(names: Column) -> Column:
+        return F.size(F.filter(names, lambda n: n == target))
+
+    def body(checks: Column) -> Column:
+        calls = F.size(F.filter(facts["calls"], lambda c: (c["kind"] == "name") & (c["name"] == target)))
+        in_asserts = F.aggregate(facts["asserts"], F.lit(0), lambda n, a: n + mine(a["call_names"]))
+        return (
+            F.when(F.exists(checks, lambda c: c["raises"]), "raises")
+            .when(F.exists(checks, lambda c: c["told"] & ~F.coalesce(c["holds"], F.lit(False))), "wrong_value")
+            .when(~probed, "probe_failed")
+            .when(
+                F.exists(checks, lambda c: ~c["told"]) | (F.size(checks) == 0) | (facts["raises_withs"] > 0) | (calls != in_asserts),
+                "unverifiable",
+            )
+        )
+
+    return let(F.zip_with(facts["asserts"], values, one), body)
+
+
 def strip_foreign_asserts(df: DataFrame, text: str = "text", target: str = "func_name") -> DataFrame:
     """Drop module-level asserts that do not call the target, where another one does; without
     any that does, the text stays and the gate judges it. Only texts with an assert in column
@@ -222,7 +274,8 @@ def gate_candidates(candidates: DataFrame, mode: str = "base", flow: str = "gene
                     text: str = "text", target: str = "func_name", unverifiable: str = "refuse", **limits) -> DataFrame:
     """Add ``reason`` (NULL = passes): the first structural rule a candidate breaks, then, where
     the frame has ``form`` and ``probed`` of the function (:func:`with_forms`), why it is not
-    true. Tests whose asserts cannot be computed are refused as ``unverifiable``, or pass with
+    true; with ``form_src`` too, asserts of other forms are computed where the first look leaves
+    a test open. Tests whose asserts cannot be computed are refused as ``unverifiable``, or pass with
     ``unverifiable="accept"``."""
     if unverifiable not in ("refuse", "accept"):
         raise ValueError(f"unverifiable is 'refuse' or 'accept', not {unverifiable!r}")
@@ -232,8 +285,16 @@ def gate_candidates(candidates: DataFrame, mode: str = "base", flow: str = "gene
     gated = settle(parsed.withColumn("reason", reason), "reason")
     if "form" in candidates.columns:
         truth = truth_reason(F.col(text), facts, F.col(target), F.col("form"), F.col("probed"))
-        truth = truth if unverifiable == "refuse" else F.nullif(truth, F.lit("unverifiable"))
-        gated = settle(gated.withColumn("reason", F.coalesce("reason", truth)), "reason")
+        gated = settle(gated.withColumn("_truth", F.when(F.col("reason").isNull(), truth)), "_truth")
+        if "form_src" in candidates.columns:
+            open_ = F.col("_truth") == "unverifiable"
+            sides = F.transform(facts["asserts"], lambda a: a["sides"])
+            sent = settle(gated.withColumn("_sides", F.when(open_, sides)), "_sides")
+            gated = settle(sent.withColumn("_values", values_of("form_src", F.col("_sides"))), "_values")
+            second = values_reason(facts, F.col(target), F.col("_values"), F.col("probed"))
+            gated = gated.withColumn("_truth", F.when(F.col("_values").isNull(), F.col("_truth")).otherwise(second)).drop("_sides", "_values")
+        truth = F.col("_truth") if unverifiable == "refuse" else F.nullif(F.col("_truth"), F.lit("unverifiable"))
+        gated = settle(gated.withColumn("reason", F.coalesce("reason", truth)), "reason").drop("_truth")
     return gated.drop("_facts")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.literals import arrays_close, compare_close, is_close, number
+from pairforge.functions.literals import INT_LITERAL, arrays_close, compare_close, is_close, number
 from pairforge.functions.text import let, strip
 
 
@@ -41,8 +41,11 @@ def _truthy(text: Column) -> Column:
 
 
 def _as_number(text: Column) -> Column:
-    """Number behind a literal; True and False compare as 1 and 0."""
-    return F.when(text == "True", F.lit(1.0)).when(text == "False", F.lit(0.0)).otherwise(number(text)["d"])
+    """Number behind a literal; True and False compare as 1 and 0. Integers of over 38 digits
+    are doubles here, and none where a double cannot hold them."""
+    wide = F.when(text.rlike(INT_LITERAL), text.try_cast("double"))
+    wide = F.when(F.abs(wide) < float("inf"), wide)
+    return F.when(text == "True", F.lit(1.0)).when(text == "False", F.lit(0.0)).otherwise(F.coalesce(number(text)["d"], wide))
 
 
 QUOTED = r"\A('[^'\\]*'|\"[^\"\\]*\")\z"
@@ -62,7 +65,7 @@ def _elements(text: Column) -> Column:
 
 def _is_literal(text: Column) -> Column:
     return (
-        number(text)["d"].isNotNull() | text.isin("True", "False", "None") | text.rlike(QUOTED) | text.rlike(NUMBERS)
+        _as_number(text).isNotNull() | text.isin("True", "False", "None") | text.rlike(QUOTED) | text.rlike(NUMBERS)
     )
 
 

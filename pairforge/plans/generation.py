@@ -89,7 +89,7 @@ def choose_tests(
     cleaned = clean_candidates(candidates)
     if mode != "edge":
         cleaned = strip_foreign_asserts(cleaned)
-    forms = with_forms(requests).select(*named, "form", "probed").dropDuplicates(named)
+    forms = with_forms(requests).select(*named, "form", "form_src", "probed").dropDuplicates(named)
     gated = gate_candidates(cleaned.join(forms, named), mode, "generate", unverifiable=unverifiable)
     chosen = with_origin(first_passing(gated, [*keys, "func_name"]))
     joined = requests.select(*keys, "pos", "func_name").join(chosen, [*keys, "func_name"], "left")
@@ -136,7 +136,7 @@ def regenerate(
     keys = [item_id, "func_name"]
     # What belongs to the function is computed once for it, not once a candidate.
     known = with_forms(per_function.dropDuplicates(keys).withColumn("_prev", fx.extract_code_facts("previous")))
-    known = settle(known.select(*keys, "previous", "_prev", "form", "probed"), "_prev")
+    known = settle(known.select(*keys, "previous", "_prev", "form", "form_src", "probed"), "_prev")
     offered = strip_foreign_asserts(clean_candidates(candidates)).join(known, keys)
     compared = settle(with_similarity(offered, "previous", "text").withColumn("_cand", fx.extract_code_facts("text")), "_cand")
     same_args = same_call_args(F.col("_prev"), F.col("_cand"), F.col("func_name"))

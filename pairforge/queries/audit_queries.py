@@ -10,6 +10,7 @@ from pairforge.functions import rules as rl
 from pairforge.functions.maps import json_set, merge_meta
 from pairforge.functions.text import def_name, def_names
 from pairforge.operators import audit as au
+from pairforge.operators.candidates import gate_candidates, with_forms
 from pairforge.operators.compare import asserts_hold
 from pairforge.queries import query
 from pairforge.queries.tables import PAIRS_SQL, pairs, table
@@ -269,3 +270,79 @@ def q_merge_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_json_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat(F.lit('é"'), "event_type")
     return table(spark, sf_dir, "events").select("event_id", json_set("props", {"origin": value}).alias("props"))
+
+
+#: Functions beyond one operation, each with a call. The fifth raises where ``b`` is 0, the last is
+#: no arithmetic.
+CALL_KINDS = 6
+CALLS = (
+    ("suma_ñ", "def suma_ñ(a, b, c=3):\n    return a + b * c - 1", "b={b}, a={a}"),
+    ("scaled", "def scaled(x, y):\n    '''Doubled.'''\n    twice = x * 2\n    return twice % (y + 1)", "{a}, y={b}"),
+    ("big", "def big(a, b):\n    return a * 10 ** 39 + b", "{a}, {b}"),
+    ("halves", "def halves(a, b):\n    half = a - b\n    half /= 2\n    return half", "{a}, b={b}"),
+    ("quotient", "def quotient(a, b=2):\n    return -a // b", "{a}, {b}"),
+    ("listed", "def listed(a, b):\n    return [a, b]", "{a}, {b}"),
+)
+CALL_VALUE_SQL = rf"""CASE pair_id % {CALL_KINDS} WHEN 0 THEN CAST(a + b * 3 - 1 AS VARCHAR) WHEN 1 THEN CAST((2 * a) % (b + 1) AS VARCHAR)
+  WHEN 2 THEN CASE WHEN a = 0 THEN CAST(b AS VARCHAR) ELSE a || lpad(CAST(b AS VARCHAR), 39, '0') END
+  WHEN 3 THEN CASE WHEN a = b THEN '0.0' ELSE regexp_replace(CAST((a - b) / 2.0 AS VARCHAR), '\.0+$', '') END
+  WHEN 4 THEN CASE WHEN b <> 0 THEN CAST(CAST(floor(-a / CAST(b AS DOUBLE)) AS BIGINT) AS VARCHAR) END END"""
+
+
+def call_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function, its name and the arguments of a call, by kind, for every pair."""
+    df = pairs(spark, sf_dir).select("pair_id", "a", "b")
+
+    def by_kind(values: list[str]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("pair_id") % CALL_KINDS + 1).cast("int"))
+
+    args = by_kind([c[2] for c in CALLS])
+    for name in ("a", "b"):
+        args = F.replace(args, F.lit(f"{{{name}}}"), F.col(name).cast("string"))
+    return df.withColumns({"func_name": by_kind([c[0] for c in CALLS]), "input": by_kind([c[1] for c in CALLS]), "args": args})
+
+
+@query(PAIRS_SQL + f""", valued AS (SELECT pair_id, {CALL_VALUE_SQL} AS value FROM pairs)
+SELECT pair_id, CASE WHEN pair_id % {CALL_KINDS} = 5 THEN 'unverifiable' WHEN value IS NULL THEN 'raises' WHEN value = '7' THEN 'ok' ELSE 'corrected' END AS status,
+  value FROM valued UNION ALL
+SELECT pair_id, CASE WHEN pair_id % {CALL_KINDS} = 5 THEN 'unverifiable' ELSE 'raises' END, NULL FROM valued""")
+def q_verify_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of functions with several operations, local names, defaults and names beyond ASCII,
+    with arguments by name and integers of 40 digits; and a call with an argument too many."""
+    call = F.concat("func_name", F.lit("("), "args")
+    test = F.concat(F.lit("assert "), call, F.lit(") == 7; assert "), call, F.lit(", nothing=1) == 7"))
+    df = call_pairs(spark, sf_dir).withColumn("form", au.closed_form_of("input"))
+    checked = df.withColumn("pairs", au.verify_pairs(au.assert_pairs(test, "func_name"), F.col("form")))
+    return au.settle_open_pairs(checked).select("pair_id", F.explode("pairs").alias("p")).select("pair_id", "p.status", "p.value")
+
+
+LINEAR = "def linear(a, b=4):\n    twice = a * 2\n    return twice + b - 1"
+SIDE_KINDS = 9
+
+
+@query(PAIRS_SQL + f""", valued AS (SELECT pair_id, pair_id % {SIDE_KINDS} AS kind, 2 * a + b - 1 AS v, a, b FROM pairs)
+SELECT pair_id, CASE kind WHEN 1 THEN CASE WHEN v < 20 THEN NULL ELSE 'wrong_value' END
+  WHEN 2 THEN CASE WHEN v BETWEEN 5 AND 25 THEN NULL ELSE 'wrong_value' END
+  WHEN 4 THEN 'wrong_value' WHEN 5 THEN 'raises' WHEN 6 THEN CASE WHEN v = 0 THEN 'raises' END
+  WHEN 7 THEN 'unverifiable' WHEN 8 THEN CASE WHEN v = 0 THEN 'wrong_value' END END AS reason FROM valued""")
+def q_true_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a test is refused, for asserts that are no plain ``f(args) == value``: reversed sides,
+    orders, chains, approximate values, arguments by name, an argument too many, arithmetic around
+    a call, membership, a bare call."""
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    call = F.concat(F.lit("linear(b="), b, F.lit(", a="), a, F.lit(")"))
+    value = F.col("a") * 2 + F.col("b") - 1
+    exact = value.cast("string")
+    kind = F.col("pair_id") % SIDE_KINDS
+    line = (
+        F.when(kind == 0, F.concat(exact, F.lit(" == "), call)).when(kind == 1, F.concat(call, F.lit(" < 20")))
+        .when(kind == 2, F.concat(F.lit("5 <= "), call, F.lit(" <= 25")))
+        .when(kind == 3, F.concat(call, F.lit(" == pytest.approx("), exact, F.lit(".0000001)")))
+        .when(kind == 4, F.concat((value + 1).cast("string"), F.lit(" == "), call))
+        .when(kind == 5, F.concat(F.lit("5 == linear("), a, F.lit(", "), b, F.lit(", 1)")))
+        .when(kind == 6, F.concat(F.lit("1 / "), call, F.lit(" != 7")))
+        .when(kind == 7, F.concat(call, F.lit(" in [1]"))).otherwise(call)
+    )
+    text = F.concat(F.lit("def test_linear():\n    assert "), line)
+    df = pairs(spark, sf_dir).select("pair_id", text.alias("text"), F.lit("linear").alias("func_name"), F.lit(LINEAR).alias("func_src"))
+    return gate_candidates(with_forms(df)).select("pair_id", "reason")
