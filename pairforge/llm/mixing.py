@@ -2,9 +2,10 @@
 
 Each document draws an exponential key divided by its quality weight. A source takes every
 document for its complete epochs, and what is left of its budget in order of the keys, by prefix
-sums of sizes. Prefix sums run over ranges of the key, sized by the documents of the source, so
-a source with a third of all rows is spread like any other. The keys come from hashes: reruns
-agree."""
+sums of sizes. Prefix sums run over ranges of the key that hold alike many documents whatever
+their weights: a key of weight w lies below k with probability 1 - exp(-w k), so the share of
+a source below k follows from a histogram of its weights. A source with a third of all rows is
+spread like any other. The keys come from hashes: reruns agree."""
 
 from __future__ import annotations
 
@@ -20,8 +21,10 @@ from pairforge.operators.ranking import running_totals
 
 #: Weights of the sources in order, repeating; the most epochs of any source.
 WEIGHTS, EPOCHS = (5, 2, 1), 3
-#: Documents whose keys share a range.
+#: Documents whose keys share a range, about.
 RANGE_ROWS = 4096
+#: Classes of the histogram of weights for a factor of e; weights from 0.05 to 1.05 make at most 40.
+CLASSES = 12
 
 _PLAIN = np.zeros(256, dtype=bool)
 _PLAIN[[0x20, 0x0A, *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -69,6 +72,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     )
 
 
+def ranged(placed: DataFrame, classes: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``range``, a monotone function of ``key`` within each ``number`` that holds about
+    ``rows`` rows of it. ``placed`` has number, n_docs, key; ``classes`` has, per number, an
+    array ``weights`` of at most a few dozen (weight, share of the rows)."""
+    below = 1 - F.aggregate(
+        "weights", F.lit(0.0), lambda rest, c: rest + c["share"] * F.exp(-c["weight"] * F.col("key"))
+    )
+    return placed.join(classes, "number").withColumn("range", F.floor(below * F.ceil(F.col("n_docs") / rows))).drop("weights")
+
+
+def weight_classes(weighted: DataFrame) -> DataFrame:
+    """Per ``number`` the histogram of ``weight`` over its rows (``n_docs`` of them): mean weight
+    and share of every class of nearly equal weights."""
+    grouped = weighted.groupBy("number", "n_docs", F.floor(F.log("weight") * CLASSES).alias("class")).agg(
+        F.avg("weight").alias("weight"), F.count("*").alias("n")
+    )
+    return grouped.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("weight", (F.col("n") / F.col("n_docs")).alias("share")))).alias("weights"))
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): ``size`` (words), ``source_size``, ``target``
     of its source and ``taken``, the words the mix takes, repeats counted; ``text_hash`` tells
@@ -81,16 +103,15 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     rows = durable(
         docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
         .select("doc_id", "source", F.xxhash64("text").alias("text_hash"), _measure("text").alias("m"))
-        .select("doc_id", "source", "text_hash", "m.size", (-F.log(u) / F.col("m.weight")).alias("key"))
+        .select("doc_id", "source", "text_hash", "m.size", "m.weight", (-F.log(u) / F.col("m.weight")).alias("key"))
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     budgets = targets(sizes, weights, epochs).withColumnRenamed("source", "of")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     placed = rows.join(budgets, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", whole)
-    ranges = F.ceil(F.col("n_docs") / RANGE_ROWS)
     ranked = running_totals(
-        placed, ["number"], [F.col("key"), F.col("doc_id"), F.col("text_hash")],
-        F.floor((1 - F.exp(-F.col("key"))) * ranges), {"before": F.col("size")},
+        ranged(placed, weight_classes(placed)), ["number"], [F.col("key"), F.col("doc_id"), F.col("text_hash")],
+        F.col("range"), {"before": F.col("size")},
     )
     rest = F.round(F.col("target") - F.col("whole") * F.col("source_size"), 6)
     part = F.least(F.col("size").cast("double"), F.greatest(F.lit(0.0), rest - F.col("before")))
