@@ -34,8 +34,10 @@ from pairforge.session import checkpoint_dir
 BLOCK_IDS, RANGE_BYTES = 1_000_000, 64_000_000
 #: Rows encoded at a time, so that a task holds few texts as Python objects.
 SLICE_ROWS = 1024
-#: Pairs replaced in a round, rounds at most, and occurrences that make a pair frequent.
-PAIRS, ROUNDS, FREQUENT = 2048, 3, 24
+#: Pairs replaced in a round, and occurrences that make a pair frequent.
+PAIRS, FREQUENT = 2048, 24
+#: A round that shortens its block by less than this share is the last one.
+LEAST_GAIN = 1 / 128
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -139,18 +141,20 @@ def expand(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(done[-1] if len(done) else 0) + np.repeat(begin - done + size, size)
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, first: int, pairs: int = PAIRS, rounds: int = ROUNDS, frequent: int = FREQUENT):
+def compress(ids: np.ndarray, counts: np.ndarray, first: int, pairs: int = PAIRS, rounds: int | None = None, frequent: int = FREQUENT):
     """Re-Pair over one block: (symbols, symbols of each document, rules, expansion lengths).
 
     Each round replaces up to ``pairs`` of the most frequent pairs at once, from the left;
-    ``first`` is the first nonterminal."""
+    ``first`` is the first nonterminal. Rounds go on until no pair is frequent or a round gains
+    less than :data:`LEAST_GAIN`, so that a repeat of any length becomes a few symbols; with
+    ``rounds``, exactly so many are made unless no pair is frequent."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), dtype=bool)
     last[np.cumsum(counts)[counts > 0] - 1] = True
     rules, sizes = np.zeros((0, 2), dtype=np.uint32), np.ones(0, dtype=np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    done = 0
+    while len(seq) >= 2 and (rounds is None or done < rounds):
+        done, before = done + 1, len(seq)
         code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int32)
         inner = ~last[:-1]
@@ -180,6 +184,8 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, pairs: int = PAIRS
         known = np.concatenate([ones, sizes])
         new_sizes = sum(known[np.where(new[:, i] >= first, new[:, i].astype(np.int64) - first + 1, 0)] for i in (0, 1))
         rules, sizes = np.concatenate([rules, new]), np.concatenate([sizes, new_sizes.astype(np.uint32)])
+        if rounds is None and before - len(seq) < before * LEAST_GAIN:
+            break
     ends = np.flatnonzero(last) + 1
     symbols = np.zeros(len(counts), dtype=np.int64)
     symbols[counts > 0] = np.diff(np.concatenate([[0], ends]))
