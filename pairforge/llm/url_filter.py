@@ -22,24 +22,24 @@ RULES = (
 )
 MOST_RULES = 100_000
 
-#: The labelled table: 1 is a page to block.
+#: The labelled table, of invented hosts: 1 is a page to block.
 LABELLED = (
-    ("http://cheap-pills.example.com/en/12", 1),
+    ("http://pills-for-less.example.com/en/12", 1),
     ("https://www.buy-pills-now.example.net/de/7.html", 1),
     ("http://discount-pharmacy.example.com/shop?id=3", 1),
     ("https://blog.viagra-store.example.net/fr/99", 1),
-    ("http://casino-win.example.com/en/5/", 1),
+    ("http://lucky-casino.example.com/en/5/", 1),
     ("https://m.best-casino.example.net/es/31", 1),
     ("http://www.poker-jackpot.example.com/slots/1", 1),
-    ("http://free-bets.example.net/en/8.html", 1),
+    ("http://bets-and-odds.example.net/en/8.html", 1),
     ("https://sport-bets-online.example.com/fr/4", 1),
     ("https://www.bet-win-cash.example.com/de/16", 1),
-    ("http://spam-farm.example.com/en/44", 1),
+    ("http://spam-mailer.example.com/en/44", 1),
     ("https://m.link-farm-spam.example.net/es/2", 1),
-    ("http://ads-track.example.net/en/1?page=2", 1),
+    ("http://ads-banner.example.net/en/1?page=2", 1),
     ("https://click.ads-server.example.com/track/77", 1),
     ("http://www.ad-tracker.example.com/fr/3", 1),
-    ("https://adult-x.example.com/en/6", 1),
+    ("https://adult-videos.example.com/en/6", 1),
     ("http://xxx-adult-cams.example.net/de/10", 1),
     ("http://www.hot-adult.example.com/en/21", 1),
     ("https://get-rich-quick.example.net/en/2", 1),
@@ -58,12 +58,12 @@ LABELLED = (
     ("https://docs.science.example.com/de/16#top", 0),
     ("http://the-history-blog.example.net/en/44", 0),
     ("https://m.cooking.example.net/es/2?utm_source=feed", 0),
-    ("http://tionst.example.net/en/1?page=2&ref=x", 0),
-    ("https://blog.erthing.example.com/fr/77", 0),
-    ("http://www.thereon.example.net/fr/3", 0),
-    ("https://m.thandha.example.com/en/6", 0),
-    ("http://ererand.example.com/de/10", 0),
-    ("https://inghere.example.net/en/21.html", 0),
+    ("http://station-times.example.net/en/1?page=2&ref=x", 0),
+    ("https://blog.theatre-notes.example.com/fr/77", 0),
+    ("http://www.weather-station.example.net/fr/3", 0),
+    ("https://m.handcraft.example.com/en/6", 0),
+    ("http://other-languages.example.com/de/10", 0),
+    ("https://hearing-and-health.example.net/en/21.html", 0),
     ("https://www.hospital.example.net/en/2", 0),
     ("http://school-district.example.com/es/9", 0),
     ("https://m.maps.example.com/fr/1", 0),

@@ -176,6 +176,24 @@ def test_long_texts_take_time_in_proportion(text):
     assert time.process_time() - began < 12 and all(0 <= a < b <= len(text) for a, b, _, _ in found)
 
 
+HELD_OUT = (
+    "pharmacy-discount-pills poker-bets win-jackpot slots-casino viagra-cheap spam-links adserver-click hot-cams rich-fast-cash "
+    "replica-store cheap-money-loans xxx-videos ad-click-track online-betting farm-of-links buy-watches-now".split(),
+    "national-library history-museum gardens physics-research city-weather open-science music-school cooking-blog daily-news "
+    "universities language-courses children-hospital railway-stations theatre software-docs mapsofthecity".split(),
+)
+
+
+def test_urls_of_hosts_the_model_has_not_seen():
+    seen = {url_filter.split_url(u)[0] for u, _ in url_filter.LABELLED}
+    right = 0
+    for hosts, label in zip(HELD_OUT, (1, 0), strict=True):
+        hosts = [f"{h}.example.com" for h in hosts]
+        assert not seen & set(hosts)
+        right += sum((url_filter.trained().scores(hosts, ["/en/7"] * len(hosts)) >= 0.5) == label)
+    assert right >= 28, right
+
+
 def test_urls(spark):
     rows = [
         (1, "https://A.Example.ORG/en/17?x=1"), (2, "http://example.org/es/3"), (3, "http://notexample.org/es/3"), (4, "http://x.com/fr/1#t"),
