@@ -72,23 +72,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     )
 
 
-def ranged(placed: DataFrame, classes: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
-    """Add ``range``, a monotone function of ``key`` within each ``number`` that holds about
-    ``rows`` rows of it. ``placed`` has number, n_docs, key; ``classes`` has, per number, an
-    array ``weights`` of at most a few dozen (weight, share of the rows)."""
-    below = 1 - F.aggregate(
-        "weights", F.lit(0.0), lambda rest, c: rest + c["share"] * F.exp(-c["weight"] * F.col("key"))
+def weight_classes(weighted: DataFrame, by: str) -> DataFrame:
+    """Per ``by`` the histogram ``weights`` of its rows: mean weight and number of rows ``n`` of
+    every class of nearly equal weights, a few dozen at most."""
+    grouped = weighted.groupBy(by, F.floor(F.log("weight") * CLASSES).alias("class")).agg(
+        F.avg("weight").alias("weight"), F.count("*").alias("n")
     )
-    return placed.join(classes, "number").withColumn("range", F.floor(below * F.ceil(F.col("n_docs") / rows))).drop("weights")
+    return grouped.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("weight", "n"))).alias("weights"))
 
 
-def weight_classes(weighted: DataFrame) -> DataFrame:
-    """Per ``number`` the histogram of ``weight`` over its rows (``n_docs`` of them): mean weight
-    and share of every class of nearly equal weights."""
-    grouped = weighted.groupBy("number", "n_docs", F.floor(F.log("weight") * CLASSES).alias("class")).agg(
-        F.avg("weight").alias("weight"), F.count("*").alias("n")
-    )
-    return grouped.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("weight", (F.col("n") / F.col("n_docs")).alias("share")))).alias("weights"))
+def ranged(placed: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """Replace ``weights`` (:func:`weight_classes` of the row's source, of ``n_docs`` rows) by
+    ``range``, a monotone function of ``key`` that holds about ``rows`` rows of the source."""
+    above = F.aggregate("weights", F.lit(0.0), lambda rest, c: rest + c["n"] / F.col("n_docs") * F.exp(-c["weight"] * F.col("key")))
+    return placed.withColumn("range", F.floor((1 - above) * F.ceil(F.col("n_docs") / rows))).drop("weights")
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
@@ -106,11 +103,15 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
         .select("doc_id", "source", "text_hash", "m.size", "m.weight", (-F.log(u) / F.col("m.weight")).alias("key"))
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    budgets = targets(sizes, weights, epochs).withColumnRenamed("source", "of")
+    # The histogram travels with the budget: a join of its own by number would leave all rows of
+    # a source in one task, and the windows below would stay there.
+    classes = weight_classes(rows, "source").withColumnRenamed("source", "like")
+    budgets = targets(sizes, weights, epochs).join(classes, F.col("source").eqNullSafe(F.col("like")), "left").drop("like")
+    budgets = budgets.withColumnRenamed("source", "of")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     placed = rows.join(budgets, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", whole)
     ranked = running_totals(
-        ranged(placed, weight_classes(placed)), ["number"], [F.col("key"), F.col("doc_id"), F.col("text_hash")],
+        ranged(placed), ["number"], [F.col("key"), F.col("doc_id"), F.col("text_hash")],
         F.col("range"), {"before": F.col("size")},
     )
     rest = F.round(F.col("target") - F.col("whole") * F.col("source_size"), 6)

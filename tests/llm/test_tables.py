@@ -134,7 +134,7 @@ def test_ranges_of_keys_are_even_whatever_the_weights(spark):
         F.lit(0).alias("number"), F.lit(40_000).alias("n_docs"), F.when(F.col("id") % 10 == 0, 1.05).otherwise(0.05 + (F.col("id") % 7) / 1000).alias("weight"),
         ((F.xxhash64("id") % 1_000_003 + 1_000_003.5) / 2_000_007).alias("u"),
     ).withColumn("key", -F.log("u") / F.col("weight"))
-    spread = mixing.ranged(rows, mixing.weight_classes(rows), 400)
+    spread = mixing.ranged(rows.join(mixing.weight_classes(rows, "number"), "number"), 400)
     sizes = spread.groupBy("range").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("range").collect()
     assert sum(r.n for r in sizes) == 40_000 and len(sizes) >= 95 and max(r.n for r in sizes) < 800
     assert all(a.high <= b.low for a, b in zip(sizes, sizes[1:], strict=False))
