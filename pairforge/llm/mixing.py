@@ -23,6 +23,8 @@ from pairforge.operators.ranking import running_totals
 WEIGHTS, EPOCHS = (5, 2, 1), 3
 #: Documents whose keys share a range, about.
 RANGE_ROWS = 4096
+#: Parts that the rows of a source are dealt to where they meet its budget.
+PARTS = 200
 #: Classes of the histogram of weights for a factor of e; weights from 0.05 to 1.05 make at most 40.
 CLASSES = 12
 
@@ -109,7 +111,10 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     budgets = targets(sizes, weights, epochs).join(classes, F.col("source").eqNullSafe(F.col("like")), "left").drop("like")
     budgets = budgets.withColumnRenamed("source", "of")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    placed = rows.join(budgets, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", whole)
+    dealt = budgets.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PARTS)).cast("int"))
+    met = salted.join(dealt, F.col("source").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("part")))
+    placed = met.drop("salt", "part").withColumn("whole", whole)
     ranked = running_totals(
         ranged(placed), ["number"], [F.col("key"), F.col("doc_id"), F.col("text_hash")],
         F.col("range"), {"before": F.col("size")},
