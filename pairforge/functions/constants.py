@@ -23,81 +23,156 @@ PROBES = [
     ("power", 9.0, -1.0, 1 / 9),
 ]
 
-
-def _test(name: str, *asserts: str, indent: int = 3, end: str = "\n") -> str:
-    lines = [" " * indent + "assert " + a for a in asserts]
-    return f"def test_{name}():\n" + "\n".join(lines) + end
-
+# Modules a test or an expected value may call into.
+ALLOWED_MODULES = ("pytest", "math", "decimal", "fractions")
 
 # The test used for a well-known function when no candidate passed.
 FALLBACK_TESTS = {
-    "add": _test("add", "add(3, 4) == 7", "add(-2, 5) == 3"),
-    "subtract": _test("subtract", "subtract(5, 3) == 2", "subtract(-2, -3) == 1"),
-    "multiply": _test("multiply", "multiply(2, 3) == 6", "multiply(-1, 5) == -5"),
-    "divide": _test("divide", "divide(8, 4) == 2", "divide(-6, 3) == -2", end=""),
-    "power": _test("power", "power(2, 3) == 8", "power(3, 0) == 1", end=""),
-    "count_vowels": _test(
-        "count_vowels", "count_vowels('hello') == 2", "count_vowels('bcd') == 0", "count_vowels('AEiou') == 5"
-    ),
-    "is_even": _test("is_even", "is_even(2) == True", "is_even(3) == False", "is_even(0) == True"),
-    "is_odd": _test("is_odd", "is_odd(2) == False", "is_odd(3) == True", "is_odd(1) == True"),
-    "is_lower": _test(
-        "is_lower", "is_lower('hello') == True", "is_lower('Hello') == False", "is_lower('HELLO') == False"
-    ),
-    "is_upper": _test(
-        "is_upper", "is_upper('HELLO') == True", "is_upper('Hello') == False", "is_upper('123') == False"
-    ),
-    "is_palindrome": _test("is_palindrome", "is_palindrome('racecar') == True", "is_palindrome('python') == False"),
-    "reverse_string": _test("reverse_string", "reverse_string('abc') == 'cba'", "reverse_string('') == ''"),
-    "repeat_string": _test(
-        "repeat_string", "repeat_string('hi', 3) == 'hihihi'", "repeat_string('a', 0) == ''",
-        "repeat_string('', 5) == ''", indent=4,
-    ),
-    "remove_duplicates": _test(
-        "remove_duplicates", "remove_duplicates([1,1,2,3,2]) == [1,2,3]", "remove_duplicates([]) == []"
-    ),
-    "is_anagram": _test("is_anagram", "is_anagram('listen','silent') == True", "is_anagram('rat','car') == False"),
-    "reverse_words": _test(
-        "reverse_words", "reverse_words('hello world') == 'world hello'", "reverse_words('a b c') == 'c b a'",
-        "reverse_words('single') == 'single'", indent=4,
-    ),
-    "normalize_whitespace": _test(
-        "normalize_whitespace", "normalize_whitespace('  hello   world  ') == 'hello world'",
-        "normalize_whitespace('\\tfoo  bar\\n') == 'foo bar'", indent=4,
-    ),
-    "strip_punctuation": _test(
-        "strip_punctuation", "strip_punctuation('Hello, world!') == 'Hello world'",
-        "strip_punctuation('Good-morning!!!') == 'Goodmorning'", indent=4,
-    ),
-    "count_uppercase": _test(
-        "count_uppercase", "count_uppercase('Hello World') == 2", "count_uppercase('no caps') == 0",
-        "count_uppercase('ABCdef') == 3", "count_uppercase('123!') == 0", "count_uppercase('') == 0", indent=4,
-    ),
-    "strip_numbers": _test(
-        "strip_numbers", "strip_numbers('abc123') == 'abc'", "strip_numbers('no digits') == 'no digits'",
-        "strip_numbers('42life') == 'life'", indent=4,
-    ),
-    "replace_substring": _test(
-        "replace_substring", "replace_substring('hello world', 'world', 'there') == 'hello there'",
-        "replace_substring('abcabc', 'a', 'x') == 'xbcxbc'", "replace_substring('nochange', 'z', 'q') == 'nochange'",
-        indent=4,
-    ),
-    "remove_vowels": _test(
-        "remove_vowels", "remove_vowels('hello') == 'hll'", "remove_vowels('AEIOU') == ''",
-        "remove_vowels('xyz') == 'xyz'", indent=4,
-    ),
-    "count_consonants": _test(
-        "count_consonants", "count_consonants('hello') == 3", "count_consonants('aeiou') == 0",
-        "count_consonants('bcd') == 3", indent=4,
-    ),
-    "count_words": _test(
-        "count_words", "count_words('hello world') == 2", "count_words('single') == 1", "count_words('') == 0", indent=4
-    ),
-    "is_positive": _test(
-        "is_positive", "is_positive(5) is True", "is_positive(-1) is False", "is_positive(0) is False", indent=4
-    ),
-    "harmonic_mean": _test(
-        "harmonic_mean", "harmonic_mean([1, 1, 1]) == 1", "harmonic_mean([1, 2, 4]) == pytest.approx(1.7142857)",
-        "harmonic_mean([]) == 0", indent=4,
+    "add": (
+        "def test_add():\n"
+        "   assert add(3, 4) == 7\n"
+        "   assert add(-2, 5) == 3\n"
+    ),
+    "subtract": (
+        "def test_subtract():\n"
+        "   assert subtract(5, 3) == 2\n"
+        "   assert subtract(-2, -3) == 1\n"
+    ),
+    "multiply": (
+        "def test_multiply():\n"
+        "   assert multiply(2, 3) == 6\n"
+        "   assert multiply(-1, 5) == -5\n"
+    ),
+    "divide": (
+        "def test_divide():\n"
+        "   assert divide(8, 4) == 2\n"
+        "   assert divide(-6, 3) == -2"
+    ),
+    "power": (
+        "def test_power():\n"
+        "   assert power(2, 3) == 8\n"
+        "   assert power(3, 0) == 1"
+    ),
+    "count_vowels": (
+        "def test_count_vowels():\n"
+        "   assert count_vowels('hello') == 2\n"
+        "   assert count_vowels('bcd') == 0\n"
+        "   assert count_vowels('AEiou') == 5\n"
+    ),
+    "is_even": (
+        "def test_is_even():\n"
+        "   assert is_even(2) == True\n"
+        "   assert is_even(3) == False\n"
+        "   assert is_even(0) == True\n"
+    ),
+    "is_odd": (
+        "def test_is_odd():\n"
+        "   assert is_odd(2) == False\n"
+        "   assert is_odd(3) == True\n"
+        "   assert is_odd(1) == True\n"
+    ),
+    "is_lower": (
+        "def test_is_lower():\n"
+        "   assert is_lower('hello') == True\n"
+        "   assert is_lower('Hello') == False\n"
+        "   assert is_lower('HELLO') == False\n"
+    ),
+    "is_upper": (
+        "def test_is_upper():\n"
+        "   assert is_upper('HELLO') == True\n"
+        "   assert is_upper('Hello') == False\n"
+        "   assert is_upper('123') == False\n"
+    ),
+    "is_palindrome": (
+        "def test_is_palindrome():\n"
+        "   assert is_palindrome('racecar') == True\n"
+        "   assert is_palindrome('python') == False\n"
+    ),
+    "reverse_string": (
+        "def test_reverse_string():\n"
+        "   assert reverse_string('abc') == 'cba'\n"
+        "   assert reverse_string('') == ''\n"
+    ),
+    "repeat_string": (
+        "def test_repeat_string():\n"
+        "    assert repeat_string('hi', 3) == 'hihihi'\n"
+        "    assert repeat_string('a', 0) == ''\n"
+        "    assert repeat_string('', 5) == ''\n"
+    ),
+    "remove_duplicates": (
+        "def test_remove_duplicates():\n"
+        "   assert remove_duplicates([1,1,2,3,2]) == [1,2,3]\n"
+        "   assert remove_duplicates([]) == []\n"
+    ),
+    "is_anagram": (
+        "def test_is_anagram():\n"
+        "   assert is_anagram('listen','silent') == True\n"
+        "   assert is_anagram('rat','car') == False\n"
+    ),
+    "reverse_words": (
+        "def test_reverse_words():\n"
+        "    assert reverse_words('hello world') == 'world hello'\n"
+        "    assert reverse_words('a b c') == 'c b a'\n"
+        "    assert reverse_words('single') == 'single'\n"
+    ),
+    "normalize_whitespace": (
+        "def test_normalize_whitespace():\n"
+        "    assert normalize_whitespace('  hello   world  ') == 'hello world'\n"
+        "    assert normalize_whitespace('\\tfoo  bar\\n') == 'foo bar'\n"
+    ),
+    "strip_punctuation": (
+        "def test_strip_punctuation():\n"
+        "    assert strip_punctuation('Hello, world!') == 'Hello world'\n"
+        "    assert strip_punctuation('Good-morning!!!') == 'Goodmorning'\n"
+    ),
+    "count_uppercase": (
+        "def test_count_uppercase():\n"
+        "    assert count_uppercase('Hello World') == 2\n"
+        "    assert count_uppercase('no caps') == 0\n"
+        "    assert count_uppercase('ABCdef') == 3\n"
+        "    assert count_uppercase('123!') == 0\n"
+        "    assert count_uppercase('') == 0\n"
+    ),
+    "strip_numbers": (
+        "def test_strip_numbers():\n"
+        "    assert strip_numbers('abc123') == 'abc'\n"
+        "    assert strip_numbers('no digits') == 'no digits'\n"
+        "    assert strip_numbers('42life') == 'life'\n"
+    ),
+    "replace_substring": (
+        "def test_replace_substring():\n"
+        "    assert replace_substring('hello world', 'world', 'there') == 'hello there'\n"
+        "    assert replace_substring('abcabc', 'a', 'x') == 'xbcxbc'\n"
+        "    assert replace_substring('nochange', 'z', 'q') == 'nochange'\n"
+    ),
+    "remove_vowels": (
+        "def test_remove_vowels():\n"
+        "    assert remove_vowels('hello') == 'hll'\n"
+        "    assert remove_vowels('AEIOU') == ''\n"
+        "    assert remove_vowels('xyz') == 'xyz'\n"
+    ),
+    "count_consonants": (
+        "def test_count_consonants():\n"
+        "    assert count_consonants('hello') == 3\n"
+        "    assert count_consonants('aeiou') == 0\n"
+        "    assert count_consonants('bcd') == 3\n"
+    ),
+    "count_words": (
+        "def test_count_words():\n"
+        "    assert count_words('hello world') == 2\n"
+        "    assert count_words('single') == 1\n"
+        "    assert count_words('') == 0\n"
+    ),
+    "is_positive": (
+        "def test_is_positive():\n"
+        "    assert is_positive(5) is True\n"
+        "    assert is_positive(-1) is False\n"
+        "    assert is_positive(0) is False\n"
+    ),
+    "harmonic_mean": (
+        "def test_harmonic_mean():\n"
+        "    assert harmonic_mean([1, 1, 1]) == 1\n"
+        "    assert harmonic_mean([1, 2, 4]) == pytest.approx(1.7142857)\n"
+        "    assert harmonic_mean([]) == 0\n"
     ),
 }

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from pairforge.functions.constants import ALLOWED_MODULES
 from pairforge.functions.text import as_col
 
 _TEXT = pa.string()
@@ -48,9 +49,9 @@ _FACTS_ARROW = pa.struct([
 FACTS_TYPE = from_arrow_type(_FACTS_ARROW)
 
 # String methods that mark a function as working on text.
-STRING_METHODS = frozenset(
-    "lower upper replace strip lstrip rstrip split join islower isupper isalpha isdigit isalnum "
-    "isspace startswith endswith".split()
+STRING_METHODS = (
+    "lower", "upper", "replace", "strip", "lstrip", "rstrip", "split", "join", "islower", "isupper", "isalpha",
+    "isdigit", "isalnum", "isspace", "startswith", "endswith",
 )
 # Operators that name an arithmetic operation.
 _BINARY_OPS = {ast.Add: "add", ast.Sub: "subtract", ast.Mult: "multiply", ast.Pow: "power"}
@@ -58,9 +59,8 @@ _COMPARE_OPS = {
     ast.Eq: "==", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=",
     ast.Is: "is", ast.IsNot: "is not",
 }
-# Names and modules an expected value may use.
-RHS_FUNCTIONS = frozenset("round abs int float len sum max min".split())
-RHS_MODULES = frozenset("pytest math decimal fractions".split())
+# Functions an expected value may use.
+RHS_FUNCTIONS = ("round", "abs", "int", "float", "len", "sum", "max", "min")
 
 
 def _parse(source: str, mode: str = "exec") -> ast.AST | None:
@@ -218,13 +218,13 @@ def rhs_expression_ok(text: str) -> bool:
         return False
 
     def on_module(node: ast.AST) -> bool:
-        return isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name) and node.value.id in RHS_MODULES
+        return isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name) and node.value.id in ALLOWED_MODULES
 
     for n in ast.walk(tree):
         match n:
             case ast.Compare() | ast.Subscript() | ast.Lambda():
                 return False
-            case ast.Name(id=name) if name not in RHS_FUNCTIONS | RHS_MODULES:
+            case ast.Name(id=name) if name not in RHS_FUNCTIONS + ALLOWED_MODULES:
                 return False
             case ast.Attribute() if not on_module(n):
                 return False

@@ -205,6 +205,7 @@ AFTER = {
         "- Avoid numbers for these tests.\n"
     ),
 }
+# What a regeneration prompt adds.
 REGENERATE = (
     "\n\nThe following test function was generated earlier:\n"
     "```python\n"

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairforge.functions import facts as fx
+from pairforge.functions.constants import ALLOWED_MODULES
 from pairforge.functions.text import as_col, let, strip
 
 # Limits on submissions and tests.
@@ -23,7 +24,6 @@ ALLOWED_CALLS = (
     "enumerate", "range", "list", "tuple", "dict", "str", "reversed",
 )
 ALLOWED_EDGE_CALLS = ("isinstance", "type", "repr", "bool", "map", "filter", "zip")
-ALLOWED_CALL_MODULES = ("pytest", "math", "decimal", "fractions")
 
 # Markers of numeric and of text-handling code.
 NUMERIC_MARKERS = (
@@ -34,6 +34,19 @@ STRING_MARKERS = (
     "in 'aeiou'", 'in "aeiou"', "isalpha(", "isdigit(", "re.sub(",
 )
 
+# Parts of names and code that decide the kind of prompt.
+COUNTER_NAMES = ("count", "uppercase", "lowercase")
+COUNTER_PREFIXES = ("num_", "len_")
+COUNTER_SUMS = ("sum(", " += 1")
+COUNTER_CASES = (".isupper(", ".islower(")
+COUNTER_CODE = ("collections.counter(", "return len(")
+ANAGRAM_CODE = ("sorted(", "==", ",")
+PALINDROME_CODE = ("return", "==", "s[::-1]")
+STRING_PREDICATE_CODE = (".isalpha(", ".isdigit(", ".istitle(")
+STRING_PREDICATE_NAME = r"\Ais_(alpha|digit|title)\z"
+COUNTING_CODE = ("def count_", "def num_", "def len_", "return len(", "sum(", "+= 1", "total +=", "counter(")
+PREDICATE_CODE = (" is_", " return true", " return false")
+
 Rule = tuple[str, Column]
 
 
@@ -53,6 +66,20 @@ def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
     return found
 
 
+def contains_all(text: Column, needles: tuple[str, ...]) -> Column:
+    found = F.lit(True)
+    for needle in needles:
+        found = found & text.contains(needle)
+    return found
+
+
+def starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for prefix in prefixes:
+        found = found | text.startswith(prefix)
+    return found
+
+
 def is_blank(c: Column | str) -> Column:
     return F.coalesce(strip(c) == "", F.lit(True))
 
@@ -130,28 +157,18 @@ def route_prompt(name: Column | str, code: Column | str, facts: Column) -> Colum
         n, src = F.lower(v["name"]), v["code"]
         low = F.lower(src)
         counter = (
-            n.contains("count") | n.startswith("num_") | n.startswith("len_")
-            | n.contains("uppercase") | n.contains("lowercase")
-            | ((low.contains("sum(") | low.contains(" += 1")) & contains_any(low, (".isupper(", ".islower(")))
-            | contains_any(low, ("collections.counter(", "return len("))
-        )
-        anagram = n.contains("is_anagram") | (
-            src.contains("sorted(") & src.contains("==") & src.contains(",")
-        )
-        palindrome = n.contains("is_palindrome") | (
-            src.contains("return") & src.contains("==") & src.contains("s[::-1]")
-        )
-        string_predicate = contains_any(low, (".isalpha(", ".isdigit(", ".istitle(")) | n.rlike(
-            r"\Ais_(alpha|digit|title)\z"
-        )
-        counts = contains_any(
-            low,
-            ("def count_", "def num_", "def len_", "return len(", "sum(", "+= 1", "total +=", "counter("),
+            contains_any(n, COUNTER_NAMES) | starts_with_any(n, COUNTER_PREFIXES)
+            | (contains_any(low, COUNTER_SUMS) & contains_any(low, COUNTER_CASES))
+            | contains_any(low, COUNTER_CODE)
         )
+        anagram = n.contains("is_anagram") | contains_all(src, ANAGRAM_CODE)
+        palindrome = n.contains("is_palindrome") | contains_all(src, PALINDROME_CODE)
+        string_predicate = contains_any(low, STRING_PREDICATE_CODE) | n.rlike(STRING_PREDICATE_NAME)
+        counts = contains_any(low, COUNTING_CODE)
         predicate = v["parse_ok"] & ~counts & (
             v["bool_return"]
             | (v["is_attr_call"] & ~low.contains("len("))
-            | contains_any(low, (" is_", " return true", " return false"))
+            | contains_any(low, PREDICATE_CODE)
         )
         return (
             F.when(counter, "counter")
@@ -256,7 +273,7 @@ def has_foreign_calls(facts: Column, target: Column, mode: Column | str = "base"
 
     def offends(call: Column) -> Column:
         name_call = (call["kind"] == "name") & (call["name"] != target) & ~F.array_contains(allowed, call["name"])
-        return name_call | ((call["kind"] == "attribute") & ~call["module"].isin(*ALLOWED_CALL_MODULES))
+        return name_call | ((call["kind"] == "attribute") & ~call["module"].isin(*ALLOWED_MODULES))
 
     return ~facts["parse_ok"] | F.exists(facts["calls"], offends)
 

@@ -206,12 +206,17 @@ def clean_layout(c: Column | str, name: Column | str) -> Column:
     return escape_stray_backslash(keep_first_header(text))
 
 
+# The test that stands for a text that does not parse.
+SMOKE_TEST = "def test_{name}():\n    # fallback: callable smoke test\n    assert callable({name})\n"
+
+
+def fill_name(template: str, name: Column | str) -> Column:
+    return F.replace(F.lit(template), F.lit("{name}"), as_col(name))
+
+
 def smoke_test(name: Column | str) -> Column:
     """Last resort of the sanitiser for text that does not parse."""
-    return F.concat(
-        F.lit("def test_"), as_col(name), F.lit("():\n    # fallback: callable smoke test\n    assert callable("),
-        as_col(name), F.lit(")\n"),
-    )
+    return fill_name(SMOKE_TEST, name)
 
 
 # --- names and titles -----------------------------------------------------------

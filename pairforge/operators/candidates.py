@@ -16,6 +16,7 @@ from pairforge.functions.text import (
     as_col,
     clean_layout,
     ensure_import,
+    fill_name,
     let,
     smoke_test,
     standardize_test,
@@ -33,6 +34,8 @@ ORIGIN = {STAGE_BEAM: "# Origin: Beams \n", STAGE_SAMPLING: "# Origin : sampling
 REGEN_ORIGIN = "# Origin: Regen (sampling)\n"
 REGEN_REUSED_ORIGIN = "# Origin: Regen (fallback - reused previous)\n"
 REGEN_NOTHING = "# Origin: Regen (noop - no functions found)\n"
+# The test of a function without a template of its own.
+CALLABLE_TEST = "def test_{name}():\n    # model could not produce a valid passing test yet\n    assert callable({name})\n"
 
 
 # --- dimension tables: constants of this module, so their size is known -------------
@@ -78,11 +81,7 @@ def regeneration_budget(kind: Column, samples: Column, temperature: Column, top_
 def with_fallback(df: DataFrame, text: str = "text", func_name: str = "func_name") -> DataFrame:
     """Where ``text`` is NULL: the template of exactly that function, else a callable check."""
     dim = fallbacks(df.sparkSession).select(F.col("func_name").alias("_fallback_name"), F.col("test_src").alias("_fallback"))
-    shell = F.concat(
-        F.lit("def test_"), F.col(func_name),
-        F.lit("():\n    # model could not produce a valid passing test yet\n    assert callable("),
-        F.col(func_name), F.lit(")\n"),
-    )
+    shell = fill_name(CALLABLE_TEST, func_name)
     filled = F.coalesce(F.col(text), ensure_import(F.coalesce("_fallback", shell)))
     return (
         df.join(F.broadcast(dim), F.col(func_name) == F.col("_fallback_name"), "left")
