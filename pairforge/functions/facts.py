@@ -10,6 +10,7 @@ Corpus code is never compiled to bytecode or run.
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -239,6 +240,32 @@ def rhs_expression_ok(text: str) -> bool:
     return True
 
 
+def quote_numbers(source: str, name: str) -> str:
+    """``source`` with every number (or bool) that a call of the bare ``name`` gets by position
+    written as a text; all other characters stay. Source that does not parse stays as it is."""
+    tree = _parse(source)
+    if tree is None:
+        return source
+    data = source.encode()
+    starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", data))]
+    edits = {}
+    for call in ast.walk(tree):
+        if not isinstance(call, ast.Call) or _callee(call) != ("name", None, name):
+            continue
+        for a in call.args:
+            if isinstance(a, ast.Constant) and isinstance(a.value, (int, float)):
+                begin, end = starts[a.lineno - 1] + a.col_offset, starts[a.end_lineno - 1] + a.end_col_offset
+                try:
+                    edits[begin] = end, repr(str(a.value)).encode()
+                except ValueError:  # an integer without decimal text in Python
+                    continue
+    parts, at = [], 0
+    for begin, (end, text) in sorted(edits.items()):
+        parts += [data[at:begin], text]
+        at = end
+    return b"".join([*parts, data[at:]]).decode()
+
+
 def _per_distinct(column: pa.Array, fn: Callable[[str], object], out: pa.DataType) -> pa.Array:
     """Apply ``fn`` once per distinct text of the batch; NULL stays NULL."""
     coded = column.dictionary_encode()
@@ -268,6 +295,13 @@ def _rhs_udf(column: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.list_(pa.bool_()))
 
 
+@F.arrow_udf(T.StringType())
+def _quote_udf(sources: pa.Array, names: pa.Array) -> pa.Array:
+    pairs = list(zip(sources.to_pylist(), names.to_pylist()))
+    done = {p: quote_numbers(*p) for p in set(pairs) if None not in p}
+    return pa.array([done.get(p, p[0]) for p in pairs], type=_TEXT)
+
+
 def extract_code_facts(c: Column | str) -> Column:
     return _facts_udf(as_col(c))
 
@@ -277,6 +311,14 @@ def parses(c: Column | str) -> Column:
     return _parses_udf(as_col(c))
 
 
+def numbers_to_text(c: Column | str, name: Column | str) -> Column:
+    """:func:`quote_numbers` as a column; a NULL text stays NULL, a NULL name changes nothing.
+    Only texts that name the function and hold a digit or a bool go to the parser."""
+    text, name = as_col(c), as_col(name)
+    worth = text.contains(name) & text.rlike("[0-9]|True|False")
+    return F.coalesce(_quote_udf(F.when(worth, text), name), text)
+
+
 def rhs_expressions_ok(c: Column | str) -> Column:
     return _rhs_udf(as_col(c))
 

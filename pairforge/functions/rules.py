@@ -140,6 +140,14 @@ def is_sorted_compare(facts: Column) -> Column:
     return facts["sorted_compare"]
 
 
+def expects_strings(code: Column | str) -> Column:
+    """The function calls a string method or compares two sorted values, so its arguments are
+    texts. Only code with such a name in it goes to the parser; NULL and what does not parse: false."""
+    text = as_col(code)
+    facts = fx.extract_code_facts(F.when(contains_any(text, fx.STRING_METHODS + ("sorted",)), text))
+    return F.coalesce(facts["str_method_call"] | facts["sorted_compare"], F.lit(False))
+
+
 def is_arithmetic(name: Column, facts: Column) -> Column:
     """Named like a plain operation and defined with exactly two positional arguments."""
     binary = F.exists(facts["functions"], lambda f: (f["name"] == name) & (f["n_args"] == 2))

@@ -251,12 +251,16 @@ def sanitize(df: DataFrame, text: str = "text", name: str = "func_name") -> Data
     return settle(cleaned.drop("_clean", "_ok"), text)
 
 
-def clean_candidates(df: DataFrame, text: str = "text", name: str = "func_name") -> DataFrame:
+def clean_candidates(df: DataFrame, text: str = "text", name: str = "func_name", strings: str | None = None) -> DataFrame:
     """Raw model output to a test: outer quotes off, wrapped if it is only a body, header and
-    spacing standardised, calls renamed to the target, sanitised, import on top."""
+    spacing standardised, calls renamed to the target, sanitised, import on top. Where the
+    boolean column ``strings`` is true, numbers given to the target become texts."""
     raw = F.coalesce(F.col(text), F.lit(""))
     standard = standardize_test(wrap_as_test(unwrap_quotes(raw), name), name)
     renamed = rename_calls_to_target(settle(df.withColumn(text, standard), text), text, name)
+    if strings is not None:
+        texts = fx.numbers_to_text(F.when(F.col(strings), F.col(text)), name)
+        renamed = settle(renamed.withColumn(text, F.coalesce(texts, F.col(text))), text)
     return sanitize(renamed, text, name).withColumn(text, ensure_import(text))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.maps import merge_meta
 from pairforge.functions.text import strip
-from pairforge.operators.ranking import time_bucket, with_position
+from pairforge.operators.ranking import with_position
 from pairforge.session import cut_lineage
 
 PAGE_SIZE = 1000
@@ -35,8 +35,8 @@ def sessions_with_items(
 
     An array cell must fit into memory, so items come in pages of ``page_size``:
     page 0 alone for any session within its usual limit, further rows for larger
-    ones. Nothing is dropped, and no task holds more than one page of a session."""
-    bucket = time_bucket(F.col(item_time)) if bucket is None else bucket
+    ones. Nothing is dropped, and no task holds more than one page of a session. Without
+    ``bucket`` positions come from ranges of alike many rows, so a busy hour is no hot task."""
     placed = with_position(items, [item_session], newest(item_time, item_id), bucket, "_position", descending=True)
     fields = [c for c in items.columns if c != item_session]
     pages = (
@@ -142,12 +142,11 @@ def within_quota(items: DataFrame, limit: int | Column, item_session: str = "ses
 
     A number allows Spark's window group limit: every map task keeps at most that
     many rows per session before the shuffle. A per-session limit column uses the
-    skew-safe position instead."""
+    skew-safe position instead, over ranges of alike many rows if no ``bucket`` is given."""
     order = [F.col(item_time).asc(), F.col(item_id).asc()]
     if isinstance(limit, int):
         rank = F.row_number().over(Window.partitionBy(item_session).orderBy(*order))
         return items.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
-    bucket = time_bucket(F.col(item_time)) if bucket is None else bucket
     placed = with_position(items, [item_session], order, bucket, "_rank")
     return placed.filter(F.col("_rank") < limit).drop("_rank")
 

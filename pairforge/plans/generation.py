@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import facts as fx
 from pairforge.functions.prompts import generation_prompt
-from pairforge.functions.rules import PARSER_REASONS, admission_rules, first_reason, route_prompt, submission_mode
+from pairforge.functions.rules import PARSER_REASONS, admission_rules, expects_strings, first_reason, route_prompt, submission_mode
 from pairforge.functions.text import function_name_or_default
 from pairforge.operators.blocks import (
     GENERATED_ORIGIN,
@@ -86,11 +86,12 @@ def choose_tests(
     rules and is true, else the fallback. ``unverifiable="accept"`` also takes tests that
     cannot be computed from a closed form."""
     named = [*keys, "func_name"]
-    cleaned = clean_candidates(candidates)
+    forms = with_forms(requests).withColumn("_strings", expects_strings("func_src"))
+    forms = forms.select(*named, "form", "form_src", "probed", "_strings").dropDuplicates(named)
+    cleaned = clean_candidates(candidates.join(forms, named), strings="_strings").drop("_strings")
     if mode != "edge":
         cleaned = strip_foreign_asserts(cleaned)
-    forms = with_forms(requests).select(*named, "form", "form_src", "probed").dropDuplicates(named)
-    gated = gate_candidates(cleaned.join(forms, named), mode, "generate", unverifiable=unverifiable)
+    gated = gate_candidates(cleaned, mode, "generate", unverifiable=unverifiable)
     chosen = with_origin(first_passing(gated, [*keys, "func_name"]))
     joined = requests.select(*keys, "pos", "func_name").join(chosen, [*keys, "func_name"], "left")
     return with_fallback(joined)
@@ -136,8 +137,10 @@ def regenerate(
     keys = [item_id, "func_name"]
     # What belongs to the function is computed once for it, not once a candidate.
     known = with_forms(per_function.dropDuplicates(keys).withColumn("_prev", fx.extract_code_facts("previous")))
-    known = settle(known.select(*keys, "previous", "_prev", "form", "form_src", "probed"), "_prev")
-    offered = strip_foreign_asserts(clean_candidates(candidates)).join(known, keys)
+    known = known.withColumn("_strings", expects_strings("func_src"))
+    known = settle(known.select(*keys, "previous", "_prev", "form", "form_src", "probed", "_strings"), "_prev", "_strings")
+    cleaned = clean_candidates(candidates.join(known, keys), strings="_strings").drop("_strings")
+    offered = strip_foreign_asserts(cleaned)
     compared = settle(with_similarity(offered, "previous", "text").withColumn("_cand", fx.extract_code_facts("text")), "_cand")
     same_args = same_call_args(F.col("_prev"), F.col("_cand"), F.col("func_name"))
     compared = compared.withColumn("_same_args", same_args).drop("_prev", "_cand")

@@ -14,6 +14,7 @@ from pairforge.operators.candidates import gate_candidates, with_forms
 from pairforge.operators.compare import asserts_hold
 from pairforge.queries import query
 from pairforge.queries.tables import PAIRS_SQL, pairs, table
+from pairforge.session import written
 from pairforge.sources.pairs import parse_pairs
 
 
@@ -109,9 +110,10 @@ def q_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LINES_SQL + """SELECT pair_id, CAST(1 AS BIGINT) AS balance FROM lines
 WHERE read_error IS NULL AND in_text <> '' AND family <> 'is_even' AND true_text IS NULL""")
 def q_partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A split that forgets the raising pairs: exactly those are reported."""
+    """A split that forgets the raising pairs: exactly those are reported. The audit is written
+    once; the check reads the table."""
     lines = corpus_lines(spark, sf_dir)
-    audited = au.audit_base(parse_pairs(lines))
+    audited = written(au.audit_base(parse_pairs(lines)).select("pair_id", "raw", "outcome", "reason"), "audited")
     kept = audited.filter("outcome = 'kept'").select("pair_id", "raw")
     rest = audited.filter("outcome <> 'kept' AND reason <> 'raises'").select("pair_id", "raw")
     return au.partition_check(lines, kept, rest).select("pair_id", "balance")

@@ -17,7 +17,6 @@ from pairforge.operators.candidates import (
     with_presets,
 )
 from pairforge.operators.compare import reconcile
-from pairforge.operators.ranking import int_bucket, time_bucket
 from pairforge.operators.training import split_hash, train_eval_split
 from pairforge.queries import query
 from pairforge.queries.tables import table
@@ -72,10 +71,7 @@ SELECT c_custkey AS id, c_name AS title, CAST(coalesce(page, 0) AS BIGINT) AS pa
 FROM customer LEFT JOIN pages ON c_custkey = o_custkey""")
 def q_sessions_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of four items, so that paging itself is exercised."""
-    bucket = time_bucket(F.col("created_at"), 86_400 * 30)
-    nested = st.sessions_with_items(
-        sessions(spark, sf_dir).drop("c_mktsegment"), items(spark, sf_dir), bucket=bucket, page_size=4
-    )
+    nested = st.sessions_with_items(sessions(spark, sf_dir).drop("c_mktsegment"), items(spark, sf_dir), page_size=4)
     shown = F.transform("items", lambda i: F.concat(i["id"].cast("string"), F.lit(":"), i["generated_tests"]))
     return nested.select("id", "title", "page", F.array_join(shown, ",").alias("items"), F.size("items").alias("n_items"))
 
@@ -155,7 +151,7 @@ SELECT 'fixed' AS kind, id, session_id FROM r WHERE rn <= 3 UNION ALL SELECT 'ow
 def q_within_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
     fixed = st.within_quota(df, 3)
-    own = st.within_quota(df, F.col("session_id") % 8, bucket=time_bucket(F.col("created_at"), 86_400 * 30))
+    own = st.within_quota(df, F.col("session_id") % 8)
     return fixed.select(F.lit("fixed").alias("kind"), "id", "session_id").unionByName(
         own.select(F.lit("own").alias("kind"), "id", "session_id")
     )
@@ -220,7 +216,7 @@ def q_merge_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n\n"),
     )
     blocks = merge_tests(
-        turns(spark, sf_dir).withColumn("snippet", snippet), ["session_id"], [F.col("id")], int_bucket(F.col("id"), 3), page_size=4
+        turns(spark, sf_dir).withColumn("snippet", snippet), ["session_id"], [F.col("id")], page_size=4
     )
     return blocks.withColumnRenamed("session_id", "conv_id")
 

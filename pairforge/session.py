@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name of its own in the shared folder; nothing is created yet."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The frame as a Parquet table in the shared folder: computed once, safe from the loss of
+    executors, and every reader takes only the columns it needs."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     checkpoint_dir(df.sparkSession)

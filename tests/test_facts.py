@@ -241,3 +241,41 @@ def test_prompt_text(spark):
     assert prompt.startswith("### String counter examples\n# Use short literals")
     assert "```python\ndef count_a(s): return {name}\n```\nWrite ONE PyTest" in prompt
     assert "\nRULE: Every assert must call EXACTLY `count_a`; do NOT call" in prompt
+
+
+@pytest.mark.parametrize("source, want", [
+    ("assert up(5) == 5", "assert up('5') == 5"),
+    ("assert up( 1.50 , 'a', True,x=3) == up(-2)", "assert up( '1.5' , 'a', 'True',x=3) == up(-2)"),
+    ("def test_up():\n\tassert up(up(0x10), [7]) == 'é' + up(1)  # up(3)", "def test_up():\n\tassert up(up('16'), [7]) == 'é' + up('1')  # up(3)"),
+    ("é = up(1); s = 'ü'; t = up(2)\r\nx.up(3); other(4)\rup(5)", "é = up('1'); s = 'ü'; t = up('2')\r\nx.up(3); other(4)\rup('5')"),
+    ("up(\n  1,\n  2e400)", "up(\n  '1',\n  'inf')"),
+    ("up(1", "up(1"), ("", ""), ("up(None, ..., 3j)", "up(None, ..., 3j)"),
+])
+def test_quote_numbers(source, want):
+    assert fx.quote_numbers(source, "up") == want
+
+
+def test_numbers_to_text_of_odd_rows(spark):
+    rows = [(0, None, "up"), (1, "up(1)", None), (2, "", "up"), (3, "up(1)", "up"), (4, "up(1)", ""), (5, "up(" * 3000 + "1" + ")" * 3000, "up")]
+    df = spark.createDataFrame(rows, "i int, t string, n string")
+    got = {r.i: r.x for r in df.select("i", fx.numbers_to_text("t", "n").alias("x")).collect()}
+    assert got == {0: None, 1: "up(1)", 2: "", 3: "up('1')", 4: "up(1)", 5: rows[5][1]}
+    assert df.limit(0).select(fx.numbers_to_text("t", "n")).collect() == []
+
+
+def test_string_functions_get_texts(spark):
+    """Numbers become texts only for functions that work on text."""
+    sources = spark.createDataFrame([
+        (1, "def up(s):\n    return s.upper()"), (2, "def add(a, b):\n    return a + b"),
+        (3, "def same(a, b):\n    return sorted(a) == sorted(b)"), (4, "def broken(:\n    s.upper()"),
+    ], "id int, func_src string")
+    assert {r.id: r.x for r in sources.select("id", rl.expects_strings("func_src").alias("x")).collect()} == {1: True, 2: False, 3: True, 4: False}
+    offered = spark.createDataFrame([
+        (1, "up", 0, True, "assert up(12) == '12'"), (2, "add", 0, False, "assert add(1, 2) == 3"), (3, "same", 0, None, "assert same(12, 21)"),
+    ], "id int, func_name string, idx int, strings boolean, text string")
+    got = {r.id: r.text for r in clean_candidates(offered, strings="strings").collect()}
+    assert "up('12') == '12'" in got[1] and "add(1, 2) == 3" in got[2] and "same(12, 21)" in got[3]
+    requests = sources.filter("id = 1").select("id", F.lit(0).alias("pos"), F.lit("up").alias("func_name"), "func_src", F.lit(None).cast("string").alias("op"))
+    offers = offered.filter("id = 1").select("id", "func_name", F.lit(1).alias("stage"), "idx", "text")
+    chosen = choose_tests(requests, offers, ["id"], unverifiable="accept").collect()
+    assert len(chosen) == 1 and "assert up('12') == '12'" in chosen[0].text

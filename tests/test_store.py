@@ -2,13 +2,14 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from pairforge.functions.maps import merge_meta
 from pairforge.functions.rules import first_reason
-from pairforge.operators.ranking import int_bucket, with_position
+from pairforge.operators.ranking import even_ranges, int_bucket, with_position
 from pairforge.operators.store import (
     apply_changes,
     sessions_with_items,
@@ -36,6 +37,30 @@ def test_position_equals_row_number(spark):
         assert {r["id"]: r["position"] for r in got if r["session_id"] == session} == {i: p for p, i in enumerate(ids)}
 
 
+def test_even_ranges_under_a_hot_hour(spark):
+    """Nine tenths of the rows in one hour, half of those at one time: no range is above twice
+    its share, ranges follow the order, positions are exact."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(8000):
+        hot = rng.random() < 0.9
+        at = T0 + timedelta(microseconds=rng.choice([0, rng.randint(0, 3_599_000_000)])) if hot else T0 + timedelta(hours=rng.randint(1, 500))
+        rows.append((i, 1 if hot else rng.randint(2, 9), at, i % 7))
+    df = spark.createDataFrame(rows, "id long, session_id long, created_at timestamp, _bucket int").repartition(4)
+    order = [F.col("created_at").desc(), F.col("id").desc()]
+    ranges = even_ranges(df.drop("_bucket"), ["session_id"], order, parts=16).collect()
+    sizes = Counter(r["_bucket"] for r in ranges)
+    assert len(sizes) == 16 and max(sizes.values()) <= 2 * len(rows) / 16
+    placed = sorted(ranges, key=lambda r: (r["session_id"], -r["created_at"].timestamp(), -r["id"]))
+    assert [r["_bucket"] for r in placed] == sorted(r["_bucket"] for r in ranges)
+    got = {r["id"]: (r["position"], r["_bucket"]) for r in with_position(df, ["session_id"], order).collect()}
+    seen = Counter()
+    for session, _, i in sorted((r[1], -r[2].timestamp(), -r[0]) for r in rows):
+        assert got[-i] == (seen[session], -i % 7)  # a column named like the range stays
+        seen[session] += 1
+    assert with_position(df.limit(0), ["session_id"], order).collect() == []
+
+
 def test_sessions_with_items_pages(spark):
     rows, df = hot_items(spark)
     sessions = spark.range(1, 12).withColumn("title", F.lit("s"))
