@@ -20,10 +20,11 @@ from pairforge.operators.compare import reconcile
 from pairforge.operators.training import split_hash, train_eval_split
 from pairforge.queries import query
 from pairforge.queries.tables import table
+from pairforge.session import scratch_path
 from pairforge.sources.source_files import decode_source
 from pairforge.sources.store import with_defaults
 from pairforge.streaming.activity import activity_sessions
-from pairforge.streaming.lockout import login_lockout
+from pairforge.streaming.lockout import lockout_stream, login_lockout
 
 
 def as_text(ts: Column) -> Column:
@@ -351,7 +352,7 @@ def q_split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 HALF_DAY = 43_200
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+LOCKOUT_SQL = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM (SELECT *, event_type = 'purchase' AS ok FROM (SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN -1 ELSE user_id END AS user_id) FROM events))
   WHERE event_id % 17 <> 0),
 run AS (
@@ -367,14 +368,36 @@ run AS (
       WHEN (CASE WHEN e.t < run.counter_until THEN run.fails + 1 ELSE 1 END) >= 5 THEN 429 ELSE 401 END
   FROM run JOIN e ON e.user_id = run.user_id AND e.n = run.n + 1)
 SELECT event_id, CAST(status AS INTEGER) AS status, CAST(CASE WHEN status = 401 THEN 5 - fails END AS INTEGER) AS attempts_left FROM run
-UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 17 = 0""")
-def q_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
+UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 17 = 0"""
+
+
+def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 13th event has no key (they are one key), every 17th no time."""
-    attempts = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         "event_id", F.when(F.col("event_id") % 17 != 0, F.col("ts")).alias("ts"),
         F.when(F.col("event_id") % 13 != 0, F.col("user_id").cast("string")).alias("key"), (F.col("event_type") == "purchase").alias("ok"),
     )
-    return login_lockout(attempts, row_id="event_id", lockout_seconds=HALF_DAY).select("event_id", "status", "attempts_left")
+
+
+@query(LOCKOUT_SQL)
+def q_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return login_lockout(logins(spark, sf_dir), row_id="event_id", lockout_seconds=HALF_DAY).select("event_id", "status", "attempts_left")
+
+
+@query(LOCKOUT_SQL)
+def q_lockout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same attempts in three arrivals, split by time; states travel between micro-batches."""
+    attempts = logins(spark, sf_dir)
+    folder, out, offsets = (scratch_path(spark, n) for n in ("logins", "lockout", "offsets"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, second = attempts.select(us.cast("double").alias("us")).approxQuantile("us", [0.3, 0.6], 0.01) or (0.0, 0.0)
+    arrival = F.when(us > second, 2).when(us > first, 1).otherwise(0)
+    for n in range(3):
+        attempts.filter(arrival == n).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(attempts.schema).parquet(folder)
+        lockout_stream(source, out, offsets, row_id="event_id", lockout_seconds=HALF_DAY).awaitTermination()
+    judged = spark.read.schema("event_id long, status int, attempts_left int").parquet(out + "/attempts")
+    return judged.select("event_id", "status", "attempts_left")
 
 
 @query(f"""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= {HALF_DAY}000000 THEN 0 ELSE 1 END AS fresh

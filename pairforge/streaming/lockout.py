@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from pairforge.functions.text import as_col, strip
 
@@ -228,34 +228,35 @@ def login_lockout(
     key: str = "key",
     ts: str = "ts",
     ok: str = "ok",
-    row_id: str | None = None,
+    row_id: str | list[str] | None = None,
     max_failures: int = ATTEMPTS,
     lockout_seconds: int = LOCKOUT_SECONDS,
     piece_buckets: int = PIECE_BUCKETS,
+    states: bool = False,
 ) -> DataFrame:
     """Add ``status`` (200 / 401 / 429) and ``attempts_left`` to every attempt.
 
-    Attempts are followed in time order (``row_id`` breaks ties) as sorted streams with one
+    Attempts are followed in time order (``row_id``, one or more columns, breaks ties) as sorted streams with one
     small state, so no group is held in memory. A stretch without a pause that reaches over
     several pieces of ``piece_buckets`` lockout periods (a key under attack) is followed piece
     by piece, from start states found by :func:`start_states`; all others start clear.
 
     Attempts without a key are one key. Attempts without a time cannot be placed: they keep
-    their row, with NULL status and attempts left, and count for nobody."""
+    their row, with NULL status and attempts left, and count for nobody. ``states`` adds the
+    state of the key after each attempt (``failures``, ``counter_until``, ``blocked_until``) and
+    the attempt's place among those of its key (``segment``, ``piece``, ``seq``)."""
     ttl = lockout_seconds * 1_000_000
     columns = attempts.columns
-    untimed = attempts.filter(F.col(ts).isNull()).withColumns({
-        "status": F.lit(None).cast("int"), "attempts_left": F.lit(None).cast("int"),
-    })
+    added = [T.StructField("status", T.IntegerType()), T.StructField("attempts_left", T.IntegerType())]
+    if states:
+        added += [*STATE_FIELDS, *(T.StructField(n, T.LongType()) for n in ("segment", "piece", "seq"))]
+    untimed = attempts.filter(F.col(ts).isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
     # Keys as text that is never NULL, so that joins lose no row.
     name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     attempts, key = attempts.filter(F.col(ts).isNotNull()).withColumn("_who", name), "_who"
     place = [key, "segment", "piece"]
-    order = ["_us"] + ([row_id] if row_id else [])
-    out = T.StructType(
-        [f for f in attempts.schema.fields if f.name in columns]
-        + [T.StructField("status", T.IntegerType()), T.StructField("attempts_left", T.IntegerType())]
-    )
+    order = ["_us"] + ([row_id] if isinstance(row_id, str) else row_id or [])
+    out = T.StructType([f for f in attempts.schema.fields if f.name in columns] + added)
     cut, long = with_pieces(attempts, key, ts, ok, lockout_seconds, piece_buckets)
     marked = cut.join(long.withColumn("_long", F.lit(True)), [key, "segment"], "left")
     starts = start_states(marked.filter("_long"), key, ok, order, max_failures, ttl, piece_buckets * ttl)
@@ -265,75 +266,97 @@ def login_lockout(
     )
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, CLEAR
+        current, state, seq = None, CLEAR, 0
         for pdf in batches:
-            status, left = [], []
+            status, left, after = [], [], []
             inputs = [pdf[c].tolist() for c in (*place, "_us", ok, *(f.name for f in STATE_FIELDS))]
             for k, segment, piece, at, good, *start in zip(*inputs):
                 if (k, segment, piece) != current:
-                    current, state = (k, segment, piece), tuple(start)
+                    current, state, seq = (k, segment, piece), tuple(start), 0
                 state, code, remaining = step(state, at, good, max_failures, ttl)
                 status.append(code)
                 left.append(remaining)
-            yield pdf[columns].assign(status=status, attempts_left=pd.array(left, dtype="Int32"))
+                if states:
+                    seq += 1
+                    after.append((*state, segment, piece, seq))
+            done = pdf[columns].assign(status=status, attempts_left=pd.array(left, dtype="Int32"))
+            if states:
+                done[[f.name for f in added[2:]]] = pd.DataFrame(after, index=done.index, dtype="int64")
+            yield done
 
     followed = staged.repartition(*place).sortWithinPartitions(*place, *order).mapInPandas(follow, out)
     return followed.unionByName(untimed)
 
 
-def lockout_stream(
-    attempts: DataFrame,
-    key: str = "key",
-    ts: str = "ts",
-    ok: str = "ok",
-    max_failures: int = ATTEMPTS,
-    lockout_seconds: int = LOCKOUT_SECONDS,
-    watermark: str = "1 minute",
+def next_states(before: DataFrame, followed: DataFrame, key: str, since_us: int) -> DataFrame:
+    """State per key (``who``) after a batch: of its last attempt, or the one from before where it made
+    none. Clear states and those that ran out by ``since_us`` go."""
+    names = [f.name for f in STATE_FIELDS]
+    place = [F.col(c) for c in ("segment", "piece", "seq")]
+    last = followed.filter(F.col("seq").isNotNull()).groupBy(F.col(key).cast("string").alias("who")).agg(
+        F.max_by(F.struct(*names), F.struct(*place)).alias("_state")
+    ).select("who", *[F.col(f"_state.{n}").alias(n) for n in names])
+    kept = before.join(last.select(F.col("who").alias("_who")), F.col("who").eqNullSafe(F.col("_who")), "left_anti")
+    return kept.unionByName(last).filter((F.col("failures") > 0) & (F.greatest("counter_until", "blocked_until") > since_us))
+
+
+def lockout_batch(
+    attempts: DataFrame, before: DataFrame, key: str = "key", ts: str = "ts", ok: str = "ok", row_id: str | None = None,
+    max_failures: int = ATTEMPTS, lockout_seconds: int = LOCKOUT_SECONDS, piece_buckets: int = PIECE_BUCKETS,
 ) -> DataFrame:
-    """The same rule on a stream: one state per key, shared by all executors. Attempts
-    of a micro-batch are taken in time order; state is dropped once counter and block
-    have run out."""
+    """:func:`login_lockout` with ``states`` for attempts that meet the states ``before`` (``who``
+    and the state's three numbers).
+
+    A state is what its failures were: they are put ahead of the attempts again, at the time of
+    the last one, and leave after. So a key of any size goes through the sorted pieces of the
+    batch operator. Attempts older than their key's last failure count as made at that time."""
     ttl = lockout_seconds * 1_000_000
-    result = T.StructType([
-        T.StructField("key", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("ok", T.BooleanType()),
-        T.StructField("status", T.IntegerType()),
-        T.StructField("attempts_left", T.IntegerType()),
-    ])
-    held = T.StructType([
-        T.StructField("failures", T.IntegerType()),
-        T.StructField("counter_until", T.LongType()),
-        T.StructField("blocked_until", T.LongType()),
+    columns = attempts.columns
+    live = before.select("who", F.col("failures").cast("int").alias("_n"), (F.col("counter_until") - ttl).alias("_since"))
+    timed = attempts.join(live, F.col(key).cast("string").eqNullSafe(F.col("who")), "left")
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    at = F.when(F.col(ts).isNotNull(), F.timestamp_micros(F.greatest(us, F.col("_since"))))
+    timed = timed.withColumns({"_at": at, "_phase": F.lit(1)}).select(*columns, "_at", "_phase")
+    again = live.select("who", "_since", F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_phase"))
+    values = {key: F.col("who").cast(attempts.schema[key].dataType), ok: F.lit(False), "_at": F.timestamp_micros("_since"), "_phase": F.col("_phase")}
+    replayed = again.select(*[
+        values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in timed.schema.fields
     ])
+    order = ["_phase", ts] + ([row_id] if row_id else [])
+    followed = login_lockout(
+        replayed.unionByName(timed), key, "_at", ok, order, max_failures, lockout_seconds, piece_buckets, states=True
+    )
+    return followed.filter("_phase = 1").drop("_at", "_phase")
 
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        current = state.get if state.exists else CLEAR
-        rows = pd.concat(list(batches)).sort_values("us", kind="stable")
-        status, left = [], []
-        for at, good in zip(rows["us"], rows["ok"]):
-            current, code, remaining = step(current, int(at), bool(good), max_failures, ttl)
-            status.append(code)
-            left.append(remaining)
-        if current == CLEAR:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(current)
-            expiry = max(current[1], current[2]) // 1000 + 1
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            "key": group[0], "ts": rows["ts"], "ok": rows["ok"], "status": status,
-            "attempts_left": pd.array(left, dtype="Int32"),
-        })
+
+def lockout_stream(
+    attempts: DataFrame, out: str, checkpoint: str, key: str = "key", ts: str = "ts", ok: str = "ok",
+    row_id: str | None = None, max_failures: int = ATTEMPTS, lockout_seconds: int = LOCKOUT_SECONDS,
+    watermark_seconds: int = 60, piece_buckets: int = PIECE_BUCKETS,
+) -> StreamingQuery:
+    """The same rule on a stream of attempts: judge what is there and stop (``availableNow``); run
+    again for more. Writes ``<out>/attempts/batch=<n>`` (attempts with status and the key's state
+    after them) and ``<out>/states/batch=<n>``, the states of all live keys that the next
+    micro-batch starts from.
+
+    Attempts of a micro-batch are taken in time order, micro-batches in order of arrival. A
+    retried batch starts from the same states and overwrites its own folders. States go
+    ``watermark_seconds`` after counter and block have run out; no attempt is dropped."""
+    held = T.StructType([T.StructField("who", T.StringType()), *STATE_FIELDS])
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.createDataFrame([], held)
+        if batch_id > 0:
+            before = spark.read.schema(held).parquet(f"{out}/states/batch={batch_id - 1}")
+        followed = lockout_batch(batch, before, key, ts, ok, row_id, max_failures, lockout_seconds, piece_buckets)
+        path = f"{out}/attempts/batch={batch_id}"
+        followed.write.mode("overwrite").parquet(path)
+        done = spark.read.schema(followed.schema).parquet(path)
+        newest = done.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()[0]
+        since = -(2**63) if newest is None else newest - watermark_seconds * 1_000_000
+        next_states(before, done, key, since).write.mode("overwrite").parquet(f"{out}/states/batch={batch_id}")
 
     return (
-        attempts.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(ok).alias("ok"))
-        .withColumn("us", F.unix_micros("ts"))
-        .withWatermark("ts", watermark)
-        .groupBy("key")
-        .applyInPandasWithState(update, result, held, "append", GroupStateTimeout.EventTimeTimeout)
+        attempts.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

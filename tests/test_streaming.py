@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.streaming.activity import activity_sessions, activity_stream
-from pairforge.streaming.lockout import client_key, lockout_stream, login_lockout
+from pairforge.streaming.lockout import client_key, lockout_batch, lockout_stream, login_lockout, next_states
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -99,16 +99,33 @@ def test_lockout_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         df.filter(f"i >= {part * 100} and i < {part * 100 + 100}").coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = (
-        lockout_stream(source).writeStream.format("memory").queryName("locked").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    streamed = spark.table("locked").select("key", "ts", "status", "attempts_left").collect()
+    lockout_stream(source, str(tmp_path / "o"), str(tmp_path / "c"), row_id="i", piece_buckets=2).awaitTermination()
+    streamed = spark.read.parquet(str(tmp_path / "o" / "attempts")).select("key", "ts", "status", "attempts_left").collect()
     batch = login_lockout(df, row_id="i").select("key", "ts", "status", "attempts_left").collect()
     assert sorted(map(tuple, streamed), key=str) == sorted(map(tuple, batch), key=str)
 
 
+@pytest.mark.parametrize("seed, gap, good, limit", [(21, 40, 0.1, 5), (22, 9, 0.02, 5), (23, 200, 0.2, 5), (24, 60, 0.1, 1)])
+def test_states_between_batches(spark, seed, gap, good, limit):
+    """One key holds nine tenths; a key without name, one that is silent for a while and an
+    attempt without time. Cut anywhere, batches give what one run gives."""
+    rows = [(k, START + timedelta(seconds=at + i / 1000), ok, i) for k, at, ok, i in attack(seed, 300, gap, good, ["a"] * 18 + ["b", None])]
+    df = spark.createDataFrame([*rows, ("a", None, False, 300)], "key string, ts timestamp, ok boolean, i int")
+    want = {r.i: (r.status, r.attempts_left) for r in login_lockout(df, row_id="i", max_failures=limit).collect()}
+    before = spark.createDataFrame([], "who string, failures long, counter_until long, blocked_until long")
+    got, cuts = {}, [0, 7, 150, 150, 301]
+    for low, high in zip(cuts, cuts[1:]):
+        done = lockout_batch(df.filter(f"i >= {low} and i < {high}"), before, row_id="i", max_failures=limit, piece_buckets=2)
+        found = done.collect()
+        got |= {r.i: (r.status, r.attempts_left) for r in found}
+        assert len(found) == min(high, 301) - low
+        done = spark.createDataFrame(found, done.schema)
+        states = next_states(before, done, "key", -(2**63)).collect()
+        before = spark.createDataFrame(states, before.schema)
+    assert got == want
+    assert next_states(before, done, "key", 2**62).collect() == []
+
+
 def activity_brute(events, idle):
     out = []
     for key in {k for k, _ in events}:
