@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions import facts as fx
+from pairforge.operators.audit import audit_base
 from pairforge.plans.corpus import audit_corpus
 from pairforge.queries import query
 from pairforge.queries.audit_queries import LINES_SQL, corpus_lines
 from pairforge.queries.tables import PAIRS_SQL, pairs
 from pairforge.session import scratch_path
+from pairforge.sources.pairs import read_pairs
+from pairforge.sources.sinks import OUTCOMES, write_split
 from pairforge.sources.training import read_training
 from pairforge.streaming.audit import audit_stream, audited_stream, running_audit_counts, running_counts_state
 
@@ -50,6 +53,15 @@ def q_write_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(DECIDED_SQL + """SELECT o.outcome, CAST(count(d.outcome) AS BIGINT) AS n
+FROM (VALUES ('kept'), ('rejected'), ('quarantined')) o(outcome) LEFT JOIN decided d ON d.outcome = o.outcome GROUP BY o.outcome""")
+def q_write_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each outcome, observed while the split is written."""
+    totals = Observation("totals")
+    write_split(audit_base(read_pairs(spark, line_files(spark, sf_dir))), scratch_path(spark, "split"), totals=totals)
+    return spark.createDataFrame([(o, totals.get[o]) for o in OUTCOMES], "outcome string, n long")
+
+
 @query(DECIDED_SQL + "SELECT input, fixed AS output FROM decided WHERE outcome = 'kept'")
 def q_training_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept lines as the training reader sees them."""

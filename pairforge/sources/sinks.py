@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairforge.functions.maps import set_fields
@@ -16,17 +16,22 @@ def kept_line() -> Column:
     return set_fields(F.col("extra"), {"output": F.col("output")})
 
 
-def write_split(audited: DataFrame, path: str, mode: str = "overwrite", batch: int | None = None) -> DataFrame:
+def write_split(audited: DataFrame, path: str, mode: str = "overwrite", batch: int | None = None,
+                totals: Observation | None = None) -> DataFrame:
     """Write an audited frame once, as ``<path>/audited`` (outcome, reason, raw and the line to
     keep, Parquet by outcome), and from that table ``<path>/lines/outcome=kept|rejected|
     quarantined/`` text files: kept records re-serialised with all their keys, the others as
     their raw line; and ``<path>/reasons`` with raw line, outcome and reason. Returns the table.
 
     ``batch`` adds a ``batch=<n>`` level to all, for a stream that writes one folder per
-    micro-batch. The audit runs once, with no count in between; row order is not kept."""
+    micro-batch. The audit runs once, with no count in between; row order is not kept.
+    ``totals`` is an observation that gets the number of lines of each outcome from the write
+    itself (``totals.get``), so a report needs no second pass."""
     level = "" if batch is None else f"/batch={batch}"
     line = F.when(F.col("outcome") == "kept", kept_line()).otherwise(F.col("raw"))
     once = path + "/audited" + level
+    if totals is not None:
+        audited = audited.observe(totals, *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
     audited.select("raw", "reason", line.alias("value"), "outcome").write.mode(mode).partitionBy("outcome").parquet(once)
     schema = "raw string, reason string, value string, outcome string"
     written = audited.sparkSession.read.schema(schema).parquet(once)

@@ -4,11 +4,13 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from pairforge.operators.audit import audit_base, audit_edge, partition_check
+from pairforge.operators.audit import audit_base, audit_edge, audit_summary, partition_check
 from pairforge.plans.corpus import audit_corpus, training_tables
 from pairforge.sources.pairs import parse_pairs, read_pairs
+from pairforge.sources.sinks import OUTCOMES, write_split
 from pairforge.streaming.audit import audit_stream, audited_stream, running_audit_counts
 
 ADD = "def add(a, b):\n    return a + b"
@@ -130,6 +132,16 @@ def test_split_round_trip(spark, corpus, tmp_path):
     assert spark.read.parquet(out + "/reasons").count() == rejected.count()
 
 
+def test_totals_observed_on_the_write(spark, corpus, tmp_path):
+    totals = Observation("t")
+    audited = write_split(audit_base(read_pairs(spark, corpus)), str(tmp_path / "o"), totals=totals)
+    counted = {r["outcome"]: r["n"] for r in audit_summary(audited).groupBy("outcome").agg(F.sum("n").alias("n")).collect()}
+    assert {o: n for o, n in totals.get.items() if n} == counted and set(totals.get) == set(OUTCOMES)
+    empty = Observation("e")
+    write_split(audit_base(read_pairs(spark, corpus)).limit(0), str(tmp_path / "e"), totals=empty)
+    assert set(empty.get.values()) <= {0}
+
+
 def test_stream_equals_batch(spark, corpus, tmp_path):
     out, checkpoint = str(tmp_path / "stream"), str(tmp_path / "checkpoint")
     audit_stream(spark, corpus, out, checkpoint, max_files_per_trigger=1).awaitTermination()
