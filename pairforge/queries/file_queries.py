@@ -13,7 +13,7 @@ from pairforge.queries.audit_queries import LINES_SQL, corpus_lines
 from pairforge.queries.tables import PAIRS_SQL, pairs
 from pairforge.session import scratch_path
 from pairforge.sources.pairs import read_pairs
-from pairforge.sources.sinks import OUTCOMES, write_split
+from pairforge.sources.sinks import OUTCOMES, write_exports, write_split
 from pairforge.sources.training import read_training
 from pairforge.streaming.audit import audit_stream, audited_stream, running_audit_counts, running_counts_state
 
@@ -62,6 +62,17 @@ def q_write_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(o, totals.get[o]) for o in OUTCOMES], "outcome string, n long")
 
 
+@query(PAIRS_SQL + """SELECT pair_id AS id, CASE WHEN pair_id % 4 = 0 THEN 'tests_item_' || pair_id || '.py' ELSE 'test_' || family || '.py' END AS file_name,
+  CASE WHEN pair_id % 4 = 0 THEN 'assert True' ELSE output END AS content FROM pairs WHERE pair_id % 4 < 2""")
+def q_write_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported files read back; items with empty or no tests have none."""
+    k = F.col("pair_id") % 4
+    tests = F.when(k == 0, "assert True").when(k == 1, F.col("output")).when(k == 2, "")
+    out = scratch_path(spark, "exports")
+    write_exports(pairs(spark, sf_dir).select(F.col("pair_id").alias("id"), tests.alias("generated_tests")), out)
+    return spark.read.schema("id long, file_name string, content string").parquet(out)
+
+
 @query(DECIDED_SQL + "SELECT input, fixed AS output FROM decided WHERE outcome = 'kept'")
 def q_training_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept lines as the training reader sees them."""
