@@ -54,6 +54,16 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*names))))
 
 
+def grouped(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of equal keys together in one partition, sorted by keys and order, for a function over
+    whole partitions.
+
+    The partitions go by a hash of the keys, not by the keys: a repartition by the very keys of a
+    join below is dropped by the planner, and where adaptive execution then makes that join a
+    broadcast, the rows stay where they lay before it and a key is in several partitions."""
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``. Only a session in local mode that
     names none, as in tests, gets a temporary folder of its own."""

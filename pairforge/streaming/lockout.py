@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pairforge.functions.text import as_col, strip
+from pairforge.session import grouped
 
 # Failures until the block, seconds a counter or block lives.
 ATTEMPTS, LOCKOUT_SECONDS = 5, 300
@@ -214,11 +215,11 @@ def start_states(long_events: DataFrame, key: str, ok: str, order: list[str], ma
         yield from frames(chain(rows(batches, ways_schema.names)), starts_schema.names)
 
     passed = (
-        long_events.repartition(key, "segment", "piece").sortWithinPartitions(key, "segment", "piece", *order)
+        grouped(long_events, [key, "segment", "piece"], order)
         .mapInPandas(follow_pieces, ways_schema)
     )
     return (
-        passed.repartition(key, "segment").sortWithinPartitions(key, "segment", "piece", "live", "entry_us")
+        grouped(passed, [key, "segment"], ["piece", "live", "entry_us"])
         .mapInPandas(chain_pieces, starts_schema)
     )
 
@@ -284,7 +285,7 @@ def login_lockout(
                 done[[f.name for f in added[2:]]] = pd.DataFrame(after, index=done.index, dtype="int64")
             yield done
 
-    followed = staged.repartition(*place).sortWithinPartitions(*place, *order).mapInPandas(follow, out)
+    followed = grouped(staged, place, order).mapInPandas(follow, out)
     return followed.unionByName(untimed)
 
 

@@ -75,6 +75,17 @@ def test_pieces_follow_one_timeline(spark, seed, gap, good):
     assert run(spark, attempts) == want
 
 
+def test_a_key_stays_in_one_partition_beside_a_broadcast(spark):
+    """Many keys under attack: their start states meet them in a join that becomes a broadcast while
+    the query runs; the partitions of the join must not be taken for those of the keys."""
+    attempts = attack(7, 2000, 3, 0.1, keys=tuple("abcdefghijklmnop"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(spark, attempts, piece_buckets=2) == brute(attempts)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_rows_without_key_or_time_stay(spark):
     attempts = [(None, float(10 * i), False, i) for i in range(6)] + [("a", 5.0, False, 6)]
     rows = [(k, START + timedelta(seconds=at), good, i) for k, at, good, i in attempts] + [("a", None, False, 7), (None, None, True, 8)]
