@@ -335,11 +335,13 @@ def q_true_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.concat(F.lit("linear(b="), b, F.lit(", a="), a, F.lit(")"))
     value = F.col("a") * 2 + F.col("b") - 1
     exact = value.cast("string")
+    # Near the value for pytest.approx, whose tolerance is a share of it, but 1e-12 for zero.
+    near = F.concat(exact, F.when(value == 0, ".0000000000001").otherwise(".0000001"))
     kind = F.col("pair_id") % SIDE_KINDS
     line = (
         F.when(kind == 0, F.concat(exact, F.lit(" == "), call)).when(kind == 1, F.concat(call, F.lit(" < 20")))
         .when(kind == 2, F.concat(F.lit("5 <= "), call, F.lit(" <= 25")))
-        .when(kind == 3, F.concat(call, F.lit(" == pytest.approx("), exact, F.lit(".0000001)")))
+        .when(kind == 3, F.concat(call, F.lit(" == pytest.approx("), near, F.lit(")")))
         .when(kind == 4, F.concat((value + 1).cast("string"), F.lit(" == "), call))
         .when(kind == 5, F.concat(F.lit("5 == linear("), a, F.lit(", "), b, F.lit(", 1)")))
         .when(kind == 6, F.concat(F.lit("1 / "), call, F.lit(" != 7")))
