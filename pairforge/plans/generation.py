@@ -43,13 +43,16 @@ def admit(submissions: DataFrame) -> DataFrame:
     df = submissions.withColumn("code", F.when(is_paste, pasted).otherwise(decode_source("file_bytes")))
     quota = (F.col("n_items"), F.col("item_limit")) if "n_items" in df.columns else (None, None)
     rules = admission_rules(pasted, F.col("file_bytes"), F.col("code"), F.col("facts"), *quota)
-    # The parser only sees texts that pass every cheaper rule.
+    # The parser only sees texts that pass every cheaper rule. Reason and text are settled ahead of it:
+    # rows wait beside a Python function with every column that is read after it, so an upload
+    # that is read by the cheap rules alone must not be one of them.
     cheap = first_reason([r for r in rules if r[0] not in PARSER_REASONS])
-    df = df.withColumn("facts", fx.extract_code_facts(F.when(cheap.isNull(), F.col("code")))).withColumn(
-        "input_method", F.when(is_paste, "paste").otherwise("upload")
-    )
+    df = df.withColumn("input_method", F.when(is_paste, "paste").otherwise("upload")).withColumn("_cheap", cheap)
+    df = settle(df.withColumn("_sent", F.when(cheap.isNull(), F.col("code"))), "_cheap", "_sent")
+    df = df.withColumn("facts", fx.extract_code_facts("_sent"))
+    reason = F.coalesce("_cheap", first_reason([r for r in rules if r[0] in PARSER_REASONS]))
     mode = submission_mode("mode") if "mode" in df.columns else F.lit("base")
-    return settle(df.withColumn("reason", first_reason(rules)).withColumn("mode", mode), "reason", "facts")
+    return settle(df.withColumn("reason", reason).withColumn("mode", mode).drop("_cheap", "_sent"), "reason", "facts")
 
 
 def functions(sources: DataFrame, code: str = "code", facts: str = "facts") -> DataFrame:

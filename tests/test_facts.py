@@ -279,3 +279,21 @@ def test_string_functions_get_texts(spark):
     offers = offered.filter("id = 1").select("id", "func_name", F.lit(1).alias("stage"), "idx", "text")
     chosen = choose_tests(requests, offers, ["id"], unverifiable="accept").collect()
     assert len(chosen) == 1 and "assert up('12') == '12'" in chosen[0].text
+
+
+def test_no_upload_waits_beside_the_parser(spark):
+    """What the parser's rows wait with is kept on disk where memory ends: of a submission only what
+    is read after the parser, never an upload that the cheap rules have read."""
+    from pairforge.plans.generation import admit
+
+    rows = [(1, None, b"def f(x):\n    return x\n"), (2, None, b"#" * 200_001), (3, "x = 1", None)]
+    admitted = admit(spark.createDataFrame(rows, "id int, pasted_code string, file_bytes binary")).select("id", "reason")
+    nodes, waiting = [admitted._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if "EvalPython" in node.nodeName():
+            waiting.append(children[0].output().mkString(","))
+        nodes += children
+    assert waiting and not any(name in w for w in waiting for name in ("file_bytes", "pasted_code", "code#"))
+    assert sorted(map(tuple, admitted.collect())) == [(1, None), (2, "file_too_large"), (3, "no_function")]
