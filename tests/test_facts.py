@@ -297,3 +297,66 @@ def test_no_upload_waits_beside_the_parser(spark):
         nodes += children
     assert waiting and not any(name in w for w in waiting for name in ("file_bytes", "pasted_code", "code#"))
     assert sorted(map(tuple, admitted.collect())) == [(1, None), (2, "file_too_large"), (3, "no_function")]
+
+
+def test_results_are_kept_for_later_batches():
+    """A text that was read in one batch is not read again in the next; past the bound all starts anew."""
+    import pyarrow as pa
+
+    read, kept = [], {}
+
+    def length(text):
+        read.append(text)
+        return len(text)
+
+    def run(*texts):
+        return fx._per_distinct(pa.array(texts, pa.string()), length, pa.int32(), kept).to_pylist()
+
+    assert run("a", None, "bb", "a") == [1, None, 2, 1]
+    assert run("bb", "ccc", None) == [2, 3, None]
+    assert read == ["a", "bb", "ccc"]
+    assert run() == [] and run(None) == [None]
+    long = "x" * fx.KEPT_CHARS
+    assert run(long, "a") == [fx.KEPT_CHARS, 1] and run("bb", "a", long) == [2, 1, fx.KEPT_CHARS]
+
+
+def test_a_pair_offered_often_is_judged_once(spark, monkeypatch):
+    """Eight submissions of one function with the same two candidates, and one with another."""
+    from pairforge.plans import generation
+
+    judged = []
+
+    def counted(candidates, *args, **options):
+        judged.append(candidates.count())
+        return gate(candidates, *args, **options)
+
+    gate = generation.gate_candidates
+    monkeypatch.setattr(generation, "gate_candidates", counted)
+    code = "def add(a, b):\n    return a + b"
+    sources = spark.range(8).select("id", F.lit(code).alias("code")).withColumn("facts", fx.extract_code_facts("code"))
+    tests = ["def test_add():\n    assert add(1, 2) == 4", "def test_add():\n    assert add(1, 2) == 3"]
+    rows = [(i, "add", 1, n, t) for i in range(8) for n, t in enumerate(tests)] + [(3, "add", 1, 2, None)]
+    candidates = spark.createDataFrame(rows, "id long, func_name string, stage int, idx int, text string")
+    chosen = choose_tests(generation.functions(sources), candidates, ["id"]).select("id", "n_candidates", "idx").collect()
+    assert judged == [3]
+    assert sorted(map(tuple, chosen)) == [(i, 3 if i == 3 else 2, 1) for i in range(8)]
+    earlier = sources.select("id", F.col("code").alias("source_code"), F.lit(tests[1]).alias("generated_tests"))
+    again = regenerate(earlier, candidates).collect()
+    assert judged == [3, 3] and {r["generated_tests"].split("\n")[0] for r in again} == {"# Origin: Regen (fallback - reused previous)"}
+
+
+def test_facts_do_not_move_to_meet_their_target(spark):
+    from pairforge.operators.candidates import calls_target
+
+    df = spark.createDataFrame([(1, "add", "assert add(1) == 2"), (2, "add", "assert m.add(1) == 2"), (3, "add", "add =")], "id int, func_name string, t string")
+    tests = df.select("id", fx.extract_code_facts("t").alias("facts"))
+    found = calls_target(tests, df.select("id", "func_name"), ["id"]).select("id")
+    nodes, met = [found._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            met.append(children[0].output().mkString(","))
+        nodes += children
+    assert met and "facts" not in met[0] and "pythonUDF" not in met[0]
+    assert [r["id"] for r in found.collect()] == [1]
