@@ -49,19 +49,30 @@ def overlap_bound(a: Column | str, b: Column | str) -> Column:
     return let(F.struct(as_col(a).alias("a"), as_col(b).alias("b")), body)
 
 
+#: Ratios that a task keeps for equal pairs that follow: so many characters, then it starts anew.
+KEPT_CHARS = 2_000_000
+_KEPT_RATIOS: dict = {}
+
+
+def _ratio(x: str, y: str) -> float:
+    if (x, y) not in _KEPT_RATIOS:
+        _KEPT_RATIOS["chars"] = _KEPT_RATIOS.get("chars", 0) + len(x) + len(y)
+        if _KEPT_RATIOS["chars"] > KEPT_CHARS:
+            _KEPT_RATIOS.clear()
+        _KEPT_RATIOS[x, y] = SequenceMatcher(None, x, y).ratio()
+    return _KEPT_RATIOS[x, y]
+
+
 @F.arrow_udf(T.DoubleType())
 def _ratio_udf(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = [
-        None if x is None or y is None else SequenceMatcher(None, x, y).ratio()
-        for x, y in zip(a.to_pylist(), b.to_pylist())
-    ]
+    out = [None if x is None or y is None else _ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())]
     return pa.array(out, type=pa.float64())
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _ratios_udf(names: pa.Array, target: pa.Array) -> pa.Array:
     out = [
-        None if xs is None or y is None else [SequenceMatcher(None, x, y).ratio() for x in xs]
+        None if xs is None or y is None else [_ratio(x, y) for x in xs]
         for xs, y in zip(names.to_pylist(), target.to_pylist())
     ]
     return pa.array(out, type=pa.list_(pa.float64()))
