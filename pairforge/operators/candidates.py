@@ -338,11 +338,13 @@ def calls_target(tests: DataFrame, functions: DataFrame, on: list[str], target:
                  facts: str = "facts") -> DataFrame:
     """Tests that call the function of their key at least once by its bare name."""
     names = functions.select(*on, F.col(target).alias("_target"))
-    called = F.exists(F.col(facts)["calls"], lambda c: (c["kind"] == "name") & (c["name"] == F.col("_target")))
-    condition = called
+    # The names alone meet the target: the facts of a test are wide, and are moved only if they are read later.
+    called = F.transform(F.filter(F.col(facts)["calls"], lambda c: c["kind"] == "name"), lambda c: c["name"])
+    named = settle(tests.withColumn("_called", F.array_distinct(called)), "_called")
+    condition = F.array_contains("_called", F.col("_target"))
     for k in on:
-        condition = (tests[k] == names[k]) & condition
-    return tests.join(names, condition, "left_semi")
+        condition = (named[k] == names[k]) & condition
+    return named.join(names, condition, "left_semi").select(*tests.columns)
 
 
 def references_any(test_facts: Column | str, function_facts: Column | str) -> Column:
