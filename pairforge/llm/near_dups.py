@@ -305,8 +305,10 @@ def _in_pieces(members: DataFrame, most: int) -> DataFrame:
 def _piece_by_slice(known: DataFrame, most: int) -> DataFrame:
     """``known`` (key, id, comp, n, further columns) of buckets with several components, a row for
     each (piece, slice) the member is compared in. Slices deal the whole bucket, pieces the
-    members outside its largest component, both about ``most`` at a time."""
-    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).groupBy("key").agg(
+    members outside its largest component, both about ``most`` at a time, or ``SHINGLES`` of their
+    shingles where ``known`` has ``n``."""
+    shingles = F.sum("n") if "n" in known.columns else F.lit(0)
+    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("members"), shingles.alias("shingles")).groupBy("key").agg(
         F.max(F.struct("members", "comp", "shingles")).alias("large"), F.sum("members").alias("k"), F.sum("shingles").alias("s")
     ).where("large.members < k").select(
         "key", F.col("large.comp").alias("large"),
