@@ -13,6 +13,8 @@ import numpy as np
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of text whose running sum is held at a time; a longer piece has one of its own.
+RUN_BYTES = (1 << 18) - 1
 #: Odd multipliers, one per family.
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -55,12 +57,21 @@ def family(k: int) -> _Powers:
 
 
 def pieces_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0) -> np.ndarray:
-    """Hash of each byte range of ``data``; its length counts."""
-    powers = family(k)
-    up, down = powers.of(len(data) + 1)
-    run = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(powers.table[data] * up[: len(data)], out=run[1:])
-    h = (run[ends] - run[starts]) * down[starts]
+    """Hash of each byte range of ``data``; its length counts. Ranges are ascending. The running
+    sum is made for about ``RUN_BYTES`` at a time: a hash does not depend on where its range lies,
+    and a worker keeps powers for the longest run it has met."""
+    powers, h = family(k), np.empty(len(starts), dtype=np.uint64)
+    begin = 0
+    while begin < len(starts):
+        at = int(starts[begin])
+        end = max(begin + 1, int(np.searchsorted(ends, at + RUN_BYTES, side="right")))
+        part = data[at : int(ends[end - 1])]
+        up, down = powers.of(len(part) + 1)
+        run = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(powers.table[part] * up[: len(part)], out=run[1:])
+        first = starts[begin:end] - at
+        h[begin:end] = (run[ends[begin:end] - at] - run[first]) * down[first]
+        begin = end
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
