@@ -79,10 +79,12 @@ def number(text: Column) -> Column:
     digits, ``i`` for those that fit into a long, ``d`` for every numeric literal; all NULL for
     anything else (or on overflow)."""
     is_int, is_float = text.rlike(INT_LITERAL), text.rlike(FLOAT_LITERAL)
+    # Only what a long cannot hold is read as a decimal.
+    i, wide = F.when(is_int, text.try_cast("bigint")), F.when(is_int, text.try_cast(WIDE))
     return F.struct(
-        F.when(is_int, text.try_cast("bigint")).alias("i"),
-        F.when(is_int, text.try_cast(WIDE)).alias("e"),
-        F.when(is_int, text.try_cast(WIDE).cast("double")).when(is_float, text.try_cast("double")).alias("d"),
+        i.alias("i"),
+        F.coalesce(i.cast(WIDE), wide).alias("e"),
+        F.coalesce(i.cast("double"), wide.cast("double"), F.when(is_float, text.try_cast("double"))).alias("d"),
     )
 
 
@@ -147,9 +149,12 @@ def _closed_form(v: Column) -> Column:
         .when((op == "**") & exact & ~F.isnan(F.pow(a, b)), F.pow(a, b))
     )
     stays_int = ints & (op != "/") & ~((op == "**") & (b < 0))
-    known_digits = (F.abs(float_value) <= LONG_LIMIT) | (F.abs(float_value) == float("inf")) | F.isnan(float_value)
+
+    def with_digits(x: Column) -> Column:
+        return F.when((F.abs(x) <= LONG_LIMIT) | (F.abs(x) == float("inf")) | F.isnan(x), x)
+
     whole = F.coalesce(int_value.cast("string"), _wide_value(op, wide_i, wide_j).cast("string"))
-    text = F.when(stays_int, whole).otherwise(format_literal(F.when(known_digits, float_value)))
+    text = F.when(stays_int, whole).otherwise(format_literal(let(float_value, with_digits)))
     text = F.when(~raises & a.isNotNull() & b.isNotNull(), text)
 
     def pack(t: Column) -> Column:
