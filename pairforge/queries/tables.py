@@ -23,7 +23,7 @@ def pick(index: Column, values: tuple[str, ...]) -> Column:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One (function, test) pair per order: six families, every fifth value wrong."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), narrow=True)
     df = orders.select(
         F.col("o_orderkey").alias("pair_id"),
         F.col("o_custkey").alias("owner"),

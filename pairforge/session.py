@@ -36,12 +36,16 @@ def get_session(app: str = "pairforge", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Spread a scan over the partitions that ``pairforge.spread`` names in the session, ahead
     of work that is heavy per row. Not set (the default): no shuffle, the scan's own splits
-    count. For small files of one row group, as in tests and the bench."""
+    count, unless its rows are ``narrow`` (a few numbers, cheap to move) and it has fewer splits
+    than two for each core: then over so many. For files of one row group, which are one task."""
     parts = df.sparkSession.conf.get("pairforge.spread", None)
-    return df.repartition(int(parts)) if parts else df
+    if parts:
+        return df.repartition(int(parts))
+    enough = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(enough) if narrow and df.rdd.getNumPartitions() < enough else df
 
 
 def settle(df: DataFrame, *names: str) -> DataFrame:
