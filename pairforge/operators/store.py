@@ -11,6 +11,8 @@ from pairforge.operators.ranking import with_position
 from pairforge.session import cut_lineage
 
 PAGE_SIZE = 1000
+#: Ids that every task can hold.
+FEW_IDS = 100_000
 
 
 def newest(item_time: str = "created_at", item_id: str = "id") -> list[Column]:
@@ -64,8 +66,14 @@ def owned_by(items: DataFrame, sessions: DataFrame, user: Column, item_session:
 
 def cascade_delete(sessions: DataFrame, items: DataFrame, ids: DataFrame, session_id: str = "id",
                    item_session: str = "session_id") -> tuple[DataFrame, DataFrame]:
-    """Both tables without the sessions in ``ids`` (one column)."""
-    gone = ids.toDF("_gone").distinct()
+    """Both tables without the sessions in ``ids`` (one column; ids may repeat).
+
+    How ids meet the rows goes by their number, which is counted first, not by the size of the
+    files they come from: up to ``FEW_IDS`` go to every task. More are dealt by hash with the
+    rows, and a task holds its share of the ids, each once; rows of both tables pass by unsorted,
+    so the items of a busy session can be split over tasks."""
+    gone = ids.toDF("_gone")
+    gone = F.broadcast(gone) if gone.count() <= FEW_IDS else gone.hint("shuffle_hash")
     return (
         sessions.join(gone, F.col(session_id) == F.col("_gone"), "left_anti"),
         items.join(gone, F.col(item_session) == F.col("_gone"), "left_anti"),
