@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import re
 import zlib
 
@@ -169,6 +170,37 @@ def test_token_files(spark, odd_docs, odd_rows, no_docs):
     assert token_files.read_token_files(spark, empty).collect() == []
 
 
+def test_pieces_are_learned_once_a_worker(odd_rows, tmp_path):
+    """op9 went over its CPU budget: every task loaded the vocabulary and learned all pieces again."""
+    import shutil
+
+    from tokenizers import Tokenizer
+
+    path = str(tmp_path / "vocabulary.json")
+    shutil.copyfile(vocabulary(), path)
+    rows = [(r[1] or "").encode() for r in odd_rows] + ["ÀÉ×÷ß it'S 12ab--é’s <|x".encode(), "Cafe\u0301 ﬁn 漢字".encode()]
+    plain = Tokenizer.from_file(path).encode
+    want = [plain(r.decode(), add_special_tokens=False).ids for r in rows]
+    first = token_files.worker_encoder(path)
+    assert [x.tolist() for x in first(rows)] == want
+    known = len(first.hashes)
+    again = token_files.worker_encoder(path)
+    assert again is first and [x.tolist() for x in again(rows)] == want and len(again.hashes) == known
+    # What a worker remembers is bounded; a vocabulary without the known way of writing words is asked in full.
+    small = token_files.Encoder(path, most=50)
+    for _ in range(2):
+        for r, ids in zip(rows, want, strict=True):
+            assert next(small([r])).tolist() == ids
+    assert 0 < len(small.hashes) < known
+    small.direct = False
+    small._forget()
+    assert [x.tolist() for x in small(rows)] == want
+    shutil.copyfile(path, path + ".new")
+    os.replace(path + ".new", path)
+    os.utime(path, ns=(1, 1))
+    assert token_files.worker_encoder(path) is not first
+
+
 def test_grammar_round_trips_and_shrinks():
     rng = np.random.default_rng(0)
     phrase = rng.integers(0, 40_000, 30)
