@@ -11,8 +11,8 @@ from pairforge.operators.ranking import with_position
 from pairforge.session import cut_lineage
 
 PAGE_SIZE = 1000
-#: Ids that every task can hold.
-FEW_IDS = 100_000
+#: Ids that every task can hold, and ids of a share that one task holds of more.
+FEW_IDS, SHARE_IDS = 100_000, 500_000
 
 
 def newest(item_time: str = "created_at", item_id: str = "id") -> list[Column]:
@@ -70,10 +70,15 @@ def cascade_delete(sessions: DataFrame, items: DataFrame, ids: DataFrame, sessio
 
     How ids meet the rows goes by their number, which is counted first, not by the size of the
     files they come from: up to ``FEW_IDS`` go to every task. More are dealt by hash with the
-    rows, and a task holds its share of the ids, each once; rows of both tables pass by unsorted,
-    so the items of a busy session can be split over tasks."""
+    rows into shares of about ``SHARE_IDS`` or fewer, whose number adaptive execution keeps. A
+    task holds one share, each id once; rows of both tables pass by unsorted."""
     gone = ids.toDF("_gone")
-    gone = F.broadcast(gone) if gone.count() <= FEW_IDS else gone.hint("shuffle_hash")
+    n = gone.count()
+    if n <= FEW_IDS:
+        gone = F.broadcast(gone)
+    else:
+        shares = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARE_IDS))
+        gone = gone.repartition(shares, "_gone").hint("shuffle_hash")
     return (
         sessions.join(gone, F.col(session_id) == F.col("_gone"), "left_anti"),
         items.join(gone, F.col(item_session) == F.col("_gone"), "left_anti"),
