@@ -207,12 +207,26 @@ def list_rank(links: DataFrame, sparse: int = SPARSE, few: int = FEW, level: int
     def sampled(c: Column) -> Column:
         return F.pmod(F.xxhash64(c, F.lit(level)), F.lit(sparse)) == 0
 
-    pending = F.col("next").isNotNull() & ~sampled(F.col("next"))
+    def open_end(c: Column) -> Column:
+        return c.isNotNull() & ~sampled(c)
+
+    # An arc and the one that jumps over it meet in a group, not in a join: a checkpoint keeps its plan's
+    # estimate of bytes, a join multiplies those of its sides, and after some 20 rounds that number alone
+    # would fill the driver. Settled arcs pass through the same group, so that a round leaves no more
+    # partitions than its shuffle has.
+    none = F.lit(None).cast("long")
+    sent = F.array(
+        F.struct(F.col("id").alias("at"), "next", "weight", none.alias("from"), none.alias("before")),
+        F.when(open_end(F.col("next")), F.struct(
+            F.col("next").alias("at"), none.alias("next"), none.alias("weight"), F.col("id").alias("from"), F.col("weight").alias("before")
+        )),
+    )
+    settled = F.when(~open_end(F.col("next")), F.struct(F.col("at").alias("id"), "next", "weight"))
+    jumped = F.when(F.col("from").isNotNull(), F.struct(F.col("from").alias("id"), "next", (F.col("weight") + F.col("before")).alias("weight")))
     hops = links
-    while not hops.where(pending).isEmpty():
-        on = hops.where(~sampled(F.col("id"))).select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("weight").alias("w2"))
-        jumped = hops.where(pending).join(on, "next").select("id", F.col("n2").alias("next"), (F.col("weight") + F.col("w2")).alias("weight"))
-        hops = durable(hops.where(~pending).union(jumped))
+    while not hops.where(open_end(F.col("next"))).isEmpty():
+        met = hops.select(F.inline(F.array_compact(sent))).groupBy("at").agg(*[F.max(c).alias(c) for c in ("next", "weight", "from", "before")])
+        hops = durable(met.where("weight is not null").select(F.inline(F.array_compact(F.array(settled, jumped)))))
     ranked = list_rank(hops.where(sampled(F.col("id"))), sparse, few, level + 1)
     rest = ranked.select(F.col("id").alias("next"), "rest")
     between = hops.where(~sampled(F.col("id"))).join(rest, "next", "left").select(

@@ -85,6 +85,16 @@ def test_list_ranking_by_levels(spark):
     assert {r.id: r.rest for r in ranked.collect()} == {int(a): int(b) for a, b in zip(order, rest, strict=True)}
 
 
+def test_rounds_of_list_ranking_do_not_square_the_estimate(spark):
+    """A checkpoint keeps the estimated bytes of its plan. Were the rounds joins, that number would have
+    twice as many digits after each of them, until it fills the driver."""
+    order = [int(i) for i in np.random.default_rng(5).permutation(80)]
+    rows = [(a, b, 1) for a, b in zip(order, [*order[1:], None], strict=True)]
+    ranked = prefix_trie.list_rank(spark.createDataFrame(rows, "id long, next long, weight long"), sparse=4, few=5)
+    assert ranked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+    assert sorted(map(tuple, ranked.collect())) == sorted((a, 80 - i) for i, a in enumerate(order))
+
+
 def brute_phrases(rows, longest=3, least=10, within=50, best=2000):
     counts = collections.defaultdict(collections.Counter)
     for lang, text in rows:
