@@ -211,7 +211,8 @@ def submission_mode(c: Column | str) -> Column:
     return F.when(mode == "edge", "edge").otherwise("base")
 
 
-# Reasons that need the parser.
+# Reasons that need an upload's text, and those that need the parser.
+TEXT_REASONS = ("upload_too_long",)
 PARSER_REASONS = ("not_python", "no_function")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import facts as fx
 from pairforge.functions.prompts import generation_prompt
-from pairforge.functions.rules import PARSER_REASONS, admission_rules, expects_strings, first_reason, route_prompt, submission_mode
+from pairforge.functions.rules import PARSER_REASONS, TEXT_REASONS, admission_rules, expects_strings, first_reason, route_prompt, submission_mode
 from pairforge.functions.text import function_name_or_default
 from pairforge.operators.blocks import (
     GENERATED_ORIGIN,
@@ -42,15 +42,19 @@ def admit(submissions: DataFrame) -> DataFrame:
     ``pasted_code`` and ``file_bytes`` (and ``n_items`` / ``item_limit`` if known)."""
     pasted = F.col("pasted_code")
     is_paste = F.coalesce(pasted != "", F.lit(False))
-    df = submissions.withColumn("code", F.when(is_paste, pasted).otherwise(decode_source("file_bytes")))
-    quota = (F.col("n_items"), F.col("item_limit")) if "n_items" in df.columns else (None, None)
-    rules = admission_rules(pasted, F.col("file_bytes"), F.col("code"), F.col("facts"), *quota)
+    quota = (F.col("n_items"), F.col("item_limit")) if "n_items" in submissions.columns else (None, None)
+    rules = admission_rules(pasted, F.col("file_bytes"), F.col("_text"), F.col("facts"), *quota)
+    # Only uploads that pass the rules on bytes and the paste are decoded for the next one.
+    early = first_reason([r for r in rules if r[0] not in TEXT_REASONS + PARSER_REASONS])
+    df = settle(submissions.withColumn("_early", early), "_early")
+    df = df.withColumn("code", F.when(is_paste, pasted).otherwise(decode_source("file_bytes")))
+    df = df.withColumn("_text", F.when(F.col("_early").isNull(), F.col("code")))
     # The parser only sees texts that pass every cheaper rule. Reason and text are settled ahead of it:
     # rows wait beside a Python function with every column that is read after it, so an upload
     # that is read by the cheap rules alone must not be one of them.
-    cheap = first_reason([r for r in rules if r[0] not in PARSER_REASONS])
+    cheap = F.coalesce("_early", first_reason([r for r in rules if r[0] in TEXT_REASONS]))
     df = df.withColumn("input_method", F.when(is_paste, "paste").otherwise("upload")).withColumn("_cheap", cheap)
-    df = settle(df.withColumn("_sent", F.when(cheap.isNull(), F.col("code"))), "_cheap", "_sent")
+    df = settle(df.withColumn("_sent", F.when(cheap.isNull(), F.col("_text"))).drop("_early", "_text"), "_cheap", "_sent")
     df = df.withColumn("facts", fx.extract_code_facts("_sent"))
     reason = F.coalesce("_cheap", first_reason([r for r in rules if r[0] in PARSER_REASONS]))
     mode = submission_mode("mode") if "mode" in df.columns else F.lit("base")

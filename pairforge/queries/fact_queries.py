@@ -195,13 +195,14 @@ def q_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairforge.plans.generation import admit
 
     k = F.col("pair_id") % 8
+    pad = "#" * 4096  # rpad copies its pad once for each time it fits
     pasted = (
-        F.when(k == 2, F.rpad("input", 8001, "#")).when(k.isin(3, 4, 5), F.lit(None).cast("string"))
+        F.when(k == 2, F.rpad("input", 8001, pad)).when(k.isin(3, 4, 5), F.lit(None).cast("string"))
         .when(k == 6, "def (").when(k == 7, "x = 1").otherwise(F.col("input"))
     )
-    upload = F.when(k == 3, F.rpad("input", 200_001, "#")).when(k == 5, F.rpad("input", 9000, "#"))
+    upload = F.when(k == 3, F.rpad("input", 200_001, pad)).when(k == 5, F.rpad("input", 9000, pad))
     submissions = pairs(spark, sf_dir).select(
-        "pair_id", pasted.alias("pasted_code"), F.encode(upload, "UTF-8").alias("file_bytes"),
+        "pair_id", pasted.alias("pasted_code"), upload.cast("binary").alias("file_bytes"),
         F.when(k == 1, 50).otherwise(3).alias("n_items"), F.lit(50).alias("item_limit"),
     )
     return admit(submissions).select("pair_id", "reason", "input_method")

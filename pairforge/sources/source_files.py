@@ -11,9 +11,9 @@ from pairforge.functions.text import as_col
 def decode_source(content: Column | str) -> Column:
     """UTF-8 if the bytes are valid UTF-8, else Latin-1, which never fails."""
     content = as_col(content)
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(
-        F.decode(content, "ISO-8859-1")
-    )
+    # Valid bytes are the text as it stands.
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))
 
 
 def read_source_files(spark: SparkSession, path: str, glob: str = "*.py") -> DataFrame:

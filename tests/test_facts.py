@@ -361,3 +361,33 @@ def test_facts_do_not_move_to_meet_their_target(spark):
         nodes += children
     assert sorted(met) == ["array<string>", "int"]
     assert [r["id"] for r in found.collect()] == [1]
+
+
+def test_uploads_refused_by_their_bytes_are_not_decoded_for_the_rules(spark):
+    """Decoding is read by the rule on an upload's text alone, behind the rules that need none. A
+    caller who asks for the text still gets all of it."""
+    from pairforge.plans.generation import admit
+
+    large, latin = b"#" * 200_001, "é = 1".encode("latin-1")
+    rows = [
+        (1, None, large, 0), (2, None, b"#" * 8001, 0), (3, None, latin, 0), (4, "x = 1", large[:9000], 0), (5, "", None, 0),
+        (6, None, "def é():\n    pass".encode(), 0), (7, None, "def f():\n    pass".encode(), 9), (8, None, None, None), (9, None, b"", 0),
+    ]
+    submissions = spark.createDataFrame(rows, "id int, pasted_code string, file_bytes binary, n_items int").withColumn("item_limit", F.lit(9))
+    admitted = admit(submissions)
+    reasons = admitted.select("id", "reason")
+    nodes, decoding = [reasons._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        said = node.simpleString(100_000)
+        if "ISO-8859-1" in said:
+            decoding.append(said)
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert decoding and all("isnull(_early" in d for d in decoding)
+    assert dict(map(tuple, reasons.collect())) == {
+        1: "file_too_large", 2: "upload_too_long", 3: "no_function", 4: "no_function", 5: "nothing_given", 6: None,
+        7: "session_full", 8: "nothing_given", 9: "no_function",
+    }
+    assert {r.id: r.code for r in admitted.collect()} == {
+        1: large.decode(), 2: "#" * 8001, 3: "é = 1", 4: "x = 1", 5: None, 6: "def é():\n    pass", 7: "def f():\n    pass", 8: None, 9: "",
+    }
