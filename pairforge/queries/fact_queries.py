@@ -195,7 +195,7 @@ def q_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairforge.plans.generation import admit
 
     k = F.col("pair_id") % 8
-    pad = "#" * 4096  # rpad copies its pad once for each time it fits
+    pad = "#" * 512  # rpad copies its pad once for each time it fits, and counts its characters
     pasted = (
         F.when(k == 2, F.rpad("input", 8001, pad)).when(k.isin(3, 4, 5), F.lit(None).cast("string"))
         .when(k == 6, "def (").when(k == 7, "x = 1").otherwise(F.col("input"))
